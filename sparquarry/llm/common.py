@@ -28,16 +28,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    written(df, path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparquarry_path = path
     return out
 
 
+def written(df: DataFrame, path: str, **options: str) -> None:
+    """Write df as Parquet; the shuffle files of that write go as soon as it has ended."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by stored() that nothing reads any more."""
     for df in frames:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .token_output import encoded_corpus
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +24,22 @@ def query(f):
     return f
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A convolutional classifier over whole texts, fitted on labels.toxic outside the held-out fold."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of whole texts; links from a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+@query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as ids of the byte-level vocabulary, written as coded blocks and read back."""
+    import public_tokenizers
+
+    back = encoded_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
