@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .quality import quality
 from .token_output import encoded_corpus
 from .toxicity import toxicity
 
@@ -43,3 +44,9 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     back = encoded_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random-indexing pools and a two-layer network, fitted on labels.quality outside the held-out fold."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
