@@ -77,3 +77,8 @@ def ascii_lower(text: Column) -> Column:
 def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def sized(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """df, which must be cheap to count (a stored table), with a broadcast hint only if it has few rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
 from .quality import quality
+from .quality_rules import quality_rules
 from .token_output import encoded_corpus
 from .toxicity import toxicity
 
@@ -50,3 +51,9 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-indexing pools and a two-layer network, fitted on labels.quality outside the held-out fold."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers by language and source over whole texts."""
+    return quality_rules(table(spark, sf_dir, "documents"))
