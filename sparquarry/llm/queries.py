@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .mixing import mixture
 from .quality import quality
 from .quality_rules import quality_rules
 from .token_output import encoded_corpus
@@ -57,3 +58,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers by language and source over whole texts."""
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by sources that weigh 1, 2, 3, repeating; at most three times a source's size."""
+    return mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
