@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import conversation_digests, format_conversations
+from .common import stored
 from .minhash import near_duplicates
 from .mixing import mixture
 from .quality import quality
 from .quality_rules import quality_rules
 from .token_output import encoded_corpus
 from .toxicity import toxicity
+from .url_filters import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +67,64 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by sources that weigh 1, 2, 3, repeating; at most three times a source's size."""
     return mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
+
+
+#: The rules of the query: host, path, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and redirect equivalence over every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op2_url_filters"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut
+), fits AS (
+  SELECT *, '.' || host AS dotted FROM parts
+)
+SELECT page_id, host, path,
+  CASE WHEN dotted LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7'
+       WHEN dotted LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
+       WHEN dotted LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/'
+       WHEN dotted LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/'
+       WHEN dotted LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule,
+  CASE WHEN dotted LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'allow'
+       WHEN (dotted LIKE '%.com' AND path LIKE '/en/%') OR (dotted LIKE '%.net' AND path LIKE '/de/%') OR (dotted LIKE '%.org' AND path LIKE '/es/%') THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM fits
+"""
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings in its texts, formatted, stored and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    formatted = stored(format_conversations(turns.unionByName(extra)), "chat")
+    return conversation_digests(formatted)
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g'))
+    + len(regexp_extract_all(text, '<\|')) + len(regexp_extract_all(text, '</?s>')) + len(regexp_extract_all(text, '<</?SYS>>')) + len(regexp_extract_all(text, '\[/?INST\]')) AS n
+  FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + length(role) + 1 + n + 7 + 1) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
