@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_conversations
 from .common import stored
+from .decontamination import contamination
 from .minhash import near_duplicates
 from .mixing import mixture
 from .quality import quality
 from .quality_rules import quality_rules
+from .sentence_dedup import drop_repeated_spans
 from .token_output import encoded_corpus
 from .toxicity import toxicity
 from .url_filters import url_verdicts
@@ -128,3 +130,15 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(8 + length(role) + 1 + n + 7 + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item by spaced seeds."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences in repeated runs removed from all documents but the first."""
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
