@@ -3,9 +3,10 @@
 Copies with one shingle set collapse to their smallest id first. Each set gets a
 signature from two permutations of 2**32: the first shuffles the elements, the second
 is applied after a circular shift by k for coordinate k. Sets that agree on a band meet
-in a bucket. A bucket is never expanded into all its pairs: a pivot is compared with
-every member, members joined to each other leave, and the rest is settled by further
-pivots and at last by comparing what lies outside the bucket's largest component.
+in a bucket. A bucket is never expanded into all its pairs: it is dealt into small slots,
+whose first member is compared with the others. Most buckets then are of one component.
+Documents of the others are compared exactly, by a join on their rarest shingles, with
+all that isn't in their component already.
 """
 
 from __future__ import annotations
@@ -119,7 +120,44 @@ def _fits(percent: int):
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, pivots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), k).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return run
+
+
+def _rare_pairs(texts: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar enough; no pair that is gets lost.
+
+    parts: id, component. Similar sets share one of the first n - need + 1 of their n
+    shingles in any order, here from rare to frequent, and from the first shared one on
+    enough must be left in both. Per shingle, the members of its largest component aren't
+    compared with each other.
+    """
+    held = stored(texts.join(parts, "id", "left_semi").select("id", "text").mapInArrow(_shingles(k), "id long, shingles array<long>"), "sets")
+    each = held.select("id", F.explode("shingles").alias("s"))
+    frequent = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one document alone come first; only their number matters.
+    shared = each.join(frequent, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    ranked = shared.join(held.select("id", F.size("shingles").alias("n")), "id").join(parts, "id")
+    need = F.ceil(F.col("n") * F.lit(percent) / 100)
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("shared")).withColumn("width", F.greatest(F.lit(0), (F.col("n") - need + 1 - F.col("alone")).cast("int")))
+    prefix = stored(ranked.select("id", "component", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("width"))).alias("at", "e")).select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("e.s").alias("s")), "prefixes")
+    sizes = prefix.groupBy("s", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("big"), F.count("*").alias("parts")).where("parts > 1").select("s", "big")
+    mixed = prefix.join(largest, "s")
+    left = mixed.where("component <> big").select("s", F.col("id").alias("pid"), F.col("n").alias("m"), F.col("left").alias("pleft"), F.col("component").alias("pc"))
+    # At most the smaller rest is shared, from the first shared shingle on.
+    enough = (100 + percent) * F.least("left", "pleft") >= percent * (F.col("n") + F.col("m"))
+    once = (F.col("pid") < F.col("id")) | (F.col("component") == F.col("big"))
+    pairs = mixed.join(left, "s").where((F.col("component") != F.col("pc")) & once).where(_fits(percent)).where(enough)
+    return pairs.select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slot: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both.
@@ -141,8 +179,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     alike = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "alike")
     reps = usable.join(alike.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     placed = reps.select("id", "n", F.explode("bands").alias("key"))
-    crowded = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    members = stored(placed.join(crowded, "key").select("key", "id", "n"), "members")
+    crowded = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "c")
+    members = stored(placed.join(crowded, "key").select("key", "id", "n", "c"), "members")
 
     wanted = members.select("id").distinct()
     texts = stored(read.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
@@ -151,42 +189,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     many = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
     tied = copies.join(many.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
-    tested, links = None, stored(tied, "links")
-    rest = members.select("key", "id", "n").withColumn("component", F.col("id"))
-    used: list[DataFrame] = [members]
-    for turn in range(pivots + 1):
-        by_size = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
-        largest = by_size.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("big"), F.count("*").alias("parts")).where("parts > 1").select("key", "big")
-        mixed = rest.join(largest, "key")
-        if turn < pivots:
-            first = mixed.groupBy("key").agg(F.min(F.struct(((F.col("component") == F.col("big")) & F.lit(turn > 0)).alias("in_big"), "id", "n", "component")).alias("p"))
-            left = first.select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("m"), F.col("p.component").alias("pc"))
-        else:
-            # What no pivot has settled: everything outside the largest component against all other components.
-            left = mixed.where("component <> big").select("key", F.col("id").alias("pid"), F.col("n").alias("m"), F.col("component").alias("pc"))
-        pairs = mixed.join(left, "key").where(F.col("component") != F.col("pc")).where(_fits(percent))
-        pairs = pairs.select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = _measured(pairs, texts, shingle_words, percent)
-        used.append(found)
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        links = links.union(found.where("similar").select("a", "b"))
-        label = stored(connected_components(links), "labels")
-        used.append(label)
-        if turn == pivots:
-            break
-        # The pivot has met everybody in its bucket.
-        after = rest.join(left.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti").join(largest.select("key"), "key", "left_semi")
-        after = after.drop("component").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        split = after.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = stored(after.join(split, "key", "left_semi"), "unsettled")
-        used.append(rest)
-        if rest.isEmpty():
-            break
+    # Slots of a few members each, however large the bucket: the first meets the others.
+    dealt = members.withColumn("slot", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / slot)))
+    first = dealt.groupBy("key", "slot").agg(F.min("id").alias("pid"), F.min_by("n", "id").alias("m"))
+    pairs = dealt.join(first, ["key", "slot"]).where((F.col("id") != F.col("pid")) & _fits(percent)).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct()
+    met = _measured(pairs, texts, shingle_words, percent)
+    links = stored(met.where("similar").select("a", "b").union(tied), "links")
+    label = stored(connected_components(links), "labels")
+
+    # Buckets that are of several components still, but for those whose only pair has been compared.
+    named = members.where("c > 2").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    parts = stored(named.join(split, "key", "left_semi").select("id", "component").distinct(), "parts")
+    used = [members, texts, met, links, parts]
+    if not parts.isEmpty():
+        late = _measured(_rare_pairs(texts, parts, shingle_words, percent).join(met.select("a", "b"), ["a", "b"], "left_anti"), texts, shingle_words, percent)
+        # Components of the first links, joined by the late ones.
+        to_component = label.select(F.col("node").alias("b"), F.col("component").alias("to"))
+        moved = late.where("similar").select("a", "b").join(to_component, "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+        moved = moved.join(to_component.select(F.col("b").alias("a"), "to"), "a", "left").select(F.coalesce("to", "a").alias("a"), "b")
+        over = stored(connected_components(moved.distinct()), "labels")
+        every = label.select("node", "component").union(over.select("node", "node"))
+        after = every.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").groupBy("node").agg(F.min(F.coalesce("to", "component")).alias("component"))
+        used += [late, over, label]
+        label = stored(after, "labels")
 
     out = signed.select("id", "n", "digest").join(alike.select("digest", "rep"), "digest", "left")
     out = out.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
-    discard(texts, *(t for t in used if t is not label))
+    discard(*used)
     return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
