@@ -70,7 +70,7 @@ def base_statistics(text: Column) -> Column:
 
 
 def _statistics() -> dict[str, Column]:
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words").cast("double"), F.lit(1.0))
     return {
         "length": F.log(n),
         "word_size": F.log2(F.col("word_chars") / n) * 2,
