@@ -5,6 +5,430 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import ids, paths, text
+from ..operators import chunking, evaluate, rank, retrieve, scope, search, tables
+from ..streaming import jobs
+from . import fixtures as fx
+from .fixtures import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk, index, search by BM25 and exact text, rerank and pack, for all benchmark texts."""
+    questions = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    index = retrieve.build_index(fx.chunks(spark, d).persist())
+    index.postings, index.grams = index.postings.persist(), index.grams.persist()  # read by several branches
+    return retrieve.retrieve(questions, index)
+
+
+@query()
+def x10_retrieve(spark, d):
+    return flagship(spark, d).select("query_id", F.length("context").alias("context_chars"), F.size("citations").alias("n_citations"), F.to_json("citations").alias("citations"))
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()} SELECT chunk_id, repo_id, path, start_line, end_line, content_hash FROM chunks_")
+def x1_chunk_lines(spark, d):
+    return fx.chunks(spark, d).select("chunk_id", "repo_id", "path", "start_line", "end_line", "content_hash")
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()} SELECT repo_id, count(*) AS chunks FROM chunks_ GROUP BY repo_id")
+def a1_chunk_counts(spark, d):
+    return fx.chunks(spark, d).groupBy("repo_id").agg(F.count("*").alias("chunks"))
+
+
+def _headed(spark, d):
+    """Documents whose every third line is made a heading."""
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("## "), x)).otherwise(x))
+    return fx.files(spark, d).withColumn("content", F.array_join(lines, "\n"))
+
+
+@query(rf"""WITH {fx.FILES}, lines_ AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS raw, unnest(range(len(string_split(content, chr(10))))) AS i FROM files_),
+h AS (SELECT repo_id, path, i, CASE WHEN i % 3 = 1 THEN '## ' || raw ELSE raw END AS line FROM lines_),
+m AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+(.*\S)\s*$') AS is_h FROM h),
+g AS (SELECT *, sum(CASE WHEN is_h AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, path ORDER BY i) AS sec FROM m),
+s AS (SELECT repo_id, path, sec, min(i) AS at_, max(i) AS last_, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body, arg_min(CASE WHEN is_h THEN regexp_extract(line, '^#{{1,6}}\s+(.*\S)\s*$', 1) END, i) AS symbol FROM g GROUP BY repo_id, path, sec)
+SELECT repo_id, path, CAST(at_ + 1 AS INT) AS start_line, CAST(last_ + 1 AS INT) AS end_line, symbol, sha256(substr(body, 1, 8000)) AS content_hash FROM s WHERE body <> ''""")
+def x2_chunk_headings(spark, d):
+    return chunking.chunk_headings(_headed(spark, d)).select("repo_id", "path", "start_line", "end_line", "symbol", "content_hash")
+
+
+@query(f"WITH {fx.SNAPSHOTS} SELECT coalesce(o.repo_id, n.repo_id) AS repo_id, coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.blob_sha = n.blob_sha THEN 'unchanged' ELSE 'modified' END AS status FROM old_f o FULL JOIN new_f n ON o.repo_id = n.repo_id AND o.path = n.path")
+def s4_snapshot_diff(spark, d):
+    return tables.snapshot_diff(fx.old_files(spark, d), fx.new_files(spark, d))
+
+
+@query(f"WITH {fx.SNAPSHOTS} SELECT n.file_id, coalesce(o.blob_sha <> n.blob_sha, true) AS work FROM new_f n LEFT JOIN old_f o USING (file_id)")
+def j11_blob_skip(spark, d):
+    return tables.split_by_hash(fx.new_files(spark, d), fx.old_files(spark, d)).select("file_id", "work")
+
+
+@query(f"WITH {fx.SNAPSHOTS}, {fx.chunks_sql('old_f', 'oc')}, {fx.chunks_sql('new_f', 'nc')} SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'stale' WHEN n.content_hash = o.content_hash THEN 'clean' ELSE 'dirty' END AS status FROM nc n FULL JOIN oc o ON n.chunk_id = o.chunk_id")
+def j12_chunk_diff(spark, d):
+    cut = lambda f: chunking.chunk_lines(f, fx.WINDOW, fx.OVERLAP)
+    return tables.chunk_diff(cut(fx.new_files(spark, d)), cut(fx.old_files(spark, d)))
+
+
+@query(f"WITH {fx.SNAPSHOTS}, {fx.chunks_sql('new_f', 'nc')} SELECT chunk_id, content_hash FROM nc")
+def x12_update_index(spark, d):
+    cut = lambda f: chunking.chunk_lines(f, fx.WINDOW, fx.OVERLAP)
+    old = fx.old_files(spark, d)
+    return tables.update_index(old, cut(old), fx.new_files(spark, d), cut)["chunks"].select("chunk_id", "content_hash")
+
+
+_DIRS, _NAMES = ["src", "node_modules", "lib/dist", "a/b"], ["a.ts", "b.min.js", "yarn.lock", ".env", ".gitignore", "c.PNG", "d.py", "e", "Cargo.lock", "f.md"]
+
+
+@query(rf"""WITH p AS (SELECT page_id, ({_DIRS})[1 + page_id % 4] AS dir, ({_NAMES})[1 + page_id % 10] AS name, length(html) * 300 AS size FROM pages), q AS (SELECT *, dir || '/' || name AS path, lower(name) AS n, nullif(regexp_extract(lower(name), '^.+\.([^.]*)$', 1), '') AS ext FROM p)
+SELECT page_id, path, CASE WHEN dir = 'node_modules' THEN 'ignored directory: node_modules' WHEN dir = 'lib/dist' THEN 'ignored directory: dist' WHEN n IN ('yarn.lock') THEN 'ignored filename: ' || n WHEN n = '.env' THEN 'hidden file: .env' WHEN ext IN ('png', 'lock') THEN 'ignored extension: .' || ext WHEN n LIKE '%.min.js' THEN 'minified asset' WHEN size > 1048576 THEN 'too large: ' || size || ' bytes' END AS reason,
+ CASE ext WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'md' THEN 'markdown' END AS language FROM q""")
+def p1_p3_path_rules(spark, d):
+    at = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("page_id") % n).cast("int"))
+    p = read(spark, d, "pages").select("page_id", F.concat(at(_DIRS, 4), F.lit("/"), at(_NAMES, 10)).alias("path"), (F.length("html") * 300).alias("size"))
+    return p.select("page_id", "path", paths.skip_reason(F.col("path"), F.col("size")).alias("reason"), paths.language(F.col("path")).alias("language"))
+
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
+_TERMS = rf"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2 AND x NOT IN {_STOP})"
+
+
+@query(f"WITH t AS (SELECT item_id, text, {_TERMS} AS l FROM benchmark) SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], ' ') AS terms, CASE WHEN regexp_matches(lower(text), '\\b(where|defined|definition|declare)\\b') THEN 'definition' WHEN regexp_matches(lower(text), '\\b(call|called|use|usage|used|invoke)\\b') THEN 'usage' WHEN regexp_matches(lower(text), '\\b(how|why|explain|what does|walk me)\\b') THEN 'explanation' ELSE 'general' END AS intent FROM t")
+def f6_parse_question(spark, d):
+    t = F.col("text")
+    return read(spark, d, "benchmark").select("item_id", F.array_join(text.terms(t), " ").alias("terms"), text.question_intent(t).alias("intent"))
+
+
+_RED = "text"
+for _n, _p in text.SECRETS.items():
+    _RED = f"regexp_replace({_RED}, '{_p.replace(chr(39), chr(39) * 2)}', '[REDACTED:{_n}]', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_RED}) AS redacted_hash, {_RED} <> text AS has_secret FROM documents")
+def f11_redaction(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", F.sha2(text.redact(t), 256).alias("redacted_hash"), (F.size(text.secret_rules(t)) > 0).alias("has_secret"))
+
+
+def _logs(spark, d):
+    """Documents as logs: every seventh line an error."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("2024-05-01T10:00:00.000Z "), F.when(i % 7 == 3, F.concat(F.lit("##[error]"), x)).otherwise(x)))
+    return read(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("log"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+e AS (SELECT doc_id, i, n, CASE WHEN i % 7 = 3 THEN '##[error]' || x ELSE x END AS line, CASE WHEN i % 7 = 3 THEN 1 ELSE 0 END AS is_err FROM l),
+w AS (SELECT *, max(is_err) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS near_, max(CASE WHEN is_err = 1 THEN i END) OVER (PARTITION BY doc_id) AS last_ FROM e),
+k AS (SELECT *, least(n - 1, coalesce(last_ + 10, n - 1)) AS end_ FROM w),
+s AS (SELECT * FROM k WHERE near_ = 1 OR (i <= end_ AND i >= CASE WHEN last_ IS NULL THEN n - 150 ELSE end_ - 150 END)),
+g AS (SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) <> i - 1 THEN '…' || chr(10) || line ELSE line END AS line FROM s),
+t AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS x FROM g GROUP BY doc_id)
+SELECT doc_id, sha256(CASE WHEN length(x) > 8000 THEN '…' || substr(x, length(x) - 7998, 8000) ELSE x END) AS excerpt_hash FROM t""")
+def f13_error_excerpt(spark, d):
+    return chunking.error_excerpt(_logs(spark, d), ["doc_id"]).select("doc_id", F.sha2("excerpt", 256).alias("excerpt_hash"))
+
+
+_MESSAGES = ["429 Too Many Requests", "error TS2304: x timed out", "read ECONNRESET", "process killed: exit code 137", "all fine", "no space left on device", "operation timed out", "--timeout=5m"]
+
+
+@query(f"WITH m AS (SELECT event_id, ({_MESSAGES})[1 + event_id % 8] AS x FROM events) SELECT event_id, CASE WHEN regexp_matches(x, 'error TS\\d+') THEN NULL WHEN x LIKE '%ECONNRESET%' THEN 'network error' WHEN x LIKE '429%' THEN 'rate limit' WHEN x LIKE '%137' THEN 'out of memory' WHEN x LIKE 'no space%' THEN 'runner disk full' WHEN x LIKE '%timed out%' THEN 'timeout' END AS reason FROM m")
+def f15_transient_reason(spark, d):
+    x = F.get(F.array(*[F.lit(m) for m in _MESSAGES]), (F.col("event_id") % 8).cast("int"))
+    return read(spark, d, "events").select("event_id", text.transient_reason(x).alias("reason"))
+
+
+@query("SELECT c_custkey, replace(replace(rtrim(to_base64(encode(c_name)), '='), '+', '-'), '/', '_') AS b64, greatest(1, CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT)) AS number_ FROM customer")
+def f27_f32_encodings(spark, d):
+    return read(spark, d, "customer").select("c_custkey", ids.base64url(F.col("c_name")).alias("b64"), ids.short_number(F.col("c_name")).alias("number_"))
+
+
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, max(score) AS score, min(s) AS s, list(DISTINCT s ORDER BY s) AS all_ FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, score, (['symbol','exact','vector','lexical','graph'])[1 + s] AS source, array_to_string([(['symbol','exact','vector','lexical','graph'])[1 + x] for x in all_], ',') AS sources FROM m")
+def a3_merge_candidates(spark, d):
+    return rank.merge_candidates(fx.hits(spark, d)).select("query_id", "chunk_id", "score", "source", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {fx.HITS} SELECT query_id, count(*) FILTER (source = 'symbol') AS symbol, count(*) FILTER (source = 'exact') AS exact, count(*) FILTER (source = 'vector') AS vector, count(*) FILTER (source = 'lexical') AS lexical, count(*) FILTER (source = 'graph') AS graph FROM hits_ GROUP BY query_id")
+def a4_source_counts(spark, d):
+    return rank.source_counts(fx.hits(spark, d))
+
+
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, max(score) AS score, min(s) AS s FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, count(*) AS pool_size, count(*) FILTER (score >= 0.4) AS high_confidence_hits, count(*) FILTER (s <= 1) AS code_intel_hits FROM m GROUP BY query_id")
+def a5_evidence(spark, d):
+    return rank.evidence(rank.merge_candidates(fx.hits(spark, d)), 0.4)
+
+
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, min(s) AS s, arg_min(ord, (s, ord)) AS ord FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, chunk_id FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, ord, chunk_id) <= 60")
+def w12_pool_cap(spark, d):
+    return rank.cap_pool(fx.hits(spark, d)).select("query_id", "chunk_id")
+
+
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, max(score) AS final, min((s, ord, chunk_id)) AS at_ FROM hits_ GROUP BY query_id, chunk_id), p AS (SELECT m.*, p_brand AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, at_) AS place FROM m JOIN part ON p_partkey = chunk_id), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY place) AS in_file FROM p), r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY in_file > 3, place) AS rank FROM f) SELECT query_id, chunk_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12")
+def w1_diversify(spark, d):
+    m = rank.merge_candidates(fx.hits(spark, d)).withColumn("final", F.col("score"))
+    p = m.join(read(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("path")), "chunk_id")
+    return rank.diversified(p).select("query_id", "chunk_id", "rank")
+
+
+_BM = "WITH " + fx.FILES + ", " + fx.chunks_sql() + rf""",
+t AS (SELECT item_id AS query_id, {_TERMS} AS l FROM benchmark), nd AS (SELECT query_id, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:6]) AS w FROM t),
+tok AS (SELECT chunk_id, f, unnest(list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM (SELECT chunk_id, 'path' AS f, path AS x FROM chunks_ UNION ALL SELECT chunk_id, 'content', content FROM chunks_)),
+cnt AS (SELECT chunk_id, f, term, count(*) AS c FROM tok GROUP BY ALL), len_ AS (SELECT chunk_id, sum(c) AS length FROM cnt GROUP BY chunk_id), st AS (SELECT count(*) AS docs, avg(length) AS mean FROM len_),
+voc AS (SELECT DISTINCT w, term FROM (SELECT DISTINCT w FROM nd) a JOIN (SELECT DISTINCT term FROM cnt) b ON starts_with(b.term, a.w)),
+tf AS (SELECT query_id, nd.w, chunk_id, sum(c * CASE f WHEN 'path' THEN 4.0 ELSE 1.0 END) AS tf FROM nd JOIN voc ON voc.w = nd.w JOIN cnt ON cnt.term = voc.term GROUP BY query_id, nd.w, chunk_id),
+df AS (SELECT query_id, w, count(*) AS df FROM tf GROUP BY query_id, w),
+sc AS (SELECT tf.query_id, chunk_id, sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25 FROM tf JOIN df ON df.query_id = tf.query_id AND df.w = tf.w JOIN len_ USING (chunk_id), st GROUP BY tf.query_id, chunk_id)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS INT) AS ord, round(bm25, 6) AS bm25 FROM sc QUALIFY ord <= 25"""
+
+
+@query(_BM)
+def x4_bm25_search(spark, d):
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.terms(F.col("text")), 1, 6).alias("needles"))
+    return search.bm25_search(q, search.build_postings(fx.chunks(spark, d))).select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"))
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 30")
+def x5_vector_search(spark, d):
+    v = read(spark, d, "embeddings")
+    return search.vector_search(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), F.lit("r").alias("repo_id"), "embedding")).select("query_id", "chunk_id")
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, q AS (SELECT item_id AS query_id, unnest([substr(text, 1, 25), substr(text, 31, 20)]) AS lit FROM benchmark), h AS (SELECT query_id, chunk_id, count(DISTINCT lit) AS literals FROM q JOIN chunks_ ON contains(lower(content), lower(lit)) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, literals FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY literals DESC, chunk_id) <= 20")
+def x6_exact_search(spark, d):
+    c = fx.chunks(spark, d)
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 25), F.substring("text", 31, 20)).alias("needles"))
+    return search.exact_search(q, c, search.build_trigrams(c)).select("query_id", "chunk_id", "literals")
+
+
+@query(f"WITH {fx.EDGES}, s AS (SELECT p_partkey AS symbol_id, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) <= 3) SELECT from_node, to_symbol, line, symbol_id FROM edges_ JOIN s ON p_name = to_symbol")
+def j13_resolve_names(spark, d):
+    return search.resolve_names(fx.edges(spark, d), fx.part_symbols(spark, d)).select("from_node", "to_symbol", "line", "symbol_id")
+
+
+def _order_chunks(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.lit("r").alias("repo_id"))
+
+
+@query(f"WITH {fx.EDGES}, a AS (SELECT p_partkey AS query_id, p_name AS symbol FROM part WHERE p_partkey % 40 = 0), h AS (SELECT DISTINCT query_id, from_node AS chunk_id FROM a JOIN edges_ ON to_symbol = symbol JOIN orders ON o_orderkey = from_node) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 8")
+def j4_callers(spark, d):
+    asked = read(spark, d, "part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("symbol"))
+    return search.callers(asked, fx.edges(spark, d), _order_chunks(spark, d)).select("query_id", "chunk_id")
+
+
+def _part_chunks(spark, d):
+    """Definitions: one chunk a part."""
+    return read(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.lit("r").alias("repo_id"), F.col("p_name").alias("symbol"), F.lit("function").alias("chunk_type"))
+
+
+@query(f"WITH {fx.EDGES}, seeds AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id FROM orders WHERE o_custkey % 20 = 0), n AS (SELECT DISTINCT query_id, to_symbol AS name FROM seeds JOIN edges_ ON from_node = chunk_id), c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 20), h AS (SELECT DISTINCT query_id, p_partkey AS chunk_id FROM c JOIN part ON p_name = name), x AS (SELECT * FROM h ANTI JOIN seeds USING (query_id, chunk_id)) SELECT query_id, chunk_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 10")
+def j6_graph_expand(spark, d):
+    seeds = read(spark, d, "orders").where("o_custkey % 20 = 0").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.lit(None).cast("string").alias("symbol"))
+    return search.graph_expand(seeds, fx.edges(spark, d), _part_chunks(spark, d)).select("query_id", "chunk_id")
+
+
+def _line_chunks(spark, d):
+    c = fx.chunks(spark, d)
+    return c.withColumn("symbol", F.when(F.col("start_line") == 1, F.element_at(F.split("path", "/"), -1))).withColumn("chunk_type", F.when(F.col("start_line") == 1, "function").otherwise("generic"))
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT 'f' || doc_id AS symbol, source AS repo_id, lang || '/' || doc_id || '.txt' AS path, 1 + doc_id % 5 AS a, 12 + doc_id % 5 AS b, doc_id FROM documents), h AS (SELECT doc_id AS query_id, chunk_id, min((CASE WHEN c.start_line = 1 THEN 0 ELSE 1 END, c.end_line - c.start_line)) AS rank_ FROM s JOIN chunks_ c ON c.repo_id = s.repo_id AND c.path = s.path AND s.a <= c.end_line AND s.b >= c.start_line WHERE doc_id % 5 = 0 GROUP BY doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank_, chunk_id) <= 10")
+def j7_definition_search(spark, d):
+    doc = F.col("doc_id")
+    s = read(spark, d, "documents").select(doc.alias("symbol_id"), F.col("source").alias("repo_id"), F.concat(F.lit("f"), doc).alias("symbol"), F.concat(F.lit("f"), doc).alias("display_name"), F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("path"), (1 + doc % 5).alias("start_line"), (12 + doc % 5).alias("end_line"))
+    q = read(spark, d, "documents").where("doc_id % 5 = 0").select(doc.alias("query_id"), F.array(F.concat(F.lit("f"), doc)).alias("needles"))
+    return search.definition_search(q, s, _line_chunks(spark, d)).select("query_id", "chunk_id")
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, h AS (SELECT d.doc_id AS query_id, c.* FROM documents d JOIN chunks_ c ON c.path = d.lang || '/' || d.doc_id || '.txt' AND c.start_line <= 30 AND c.end_line >= 5 WHERE d.doc_id % 3 = 0) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY start_line, chunk_id) <= 12")
+def j10_read_file(spark, d):
+    asked = read(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("/"), "doc_id", F.lit(".TXT")).alias("path"), F.lit(5).alias("start_line"), F.lit(30).alias("end_line"))
+    return search.read_file_chunks(asked, fx.chunks(spark, d)).select("query_id", "chunk_id")
+
+
+@query("WITH t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS u, last_value(CASE WHEN role = 'assistant' THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END IGNORE NULLS) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, regexp_replace(concat_ws(' ', nullif(u, ''), nullif(a, ''), nullif(text, '')), '^\\s+|\\s+$', '', 'g') AS search_text FROM t WHERE role = 'user'")
+def w5_retrieval_text(spark, d):
+    return retrieve.retrieval_text(read(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+def w4_last_turns(spark, d):
+    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return read(spark, d, "conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS issue FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def f33_user_turns(spark, d):
+    g = read(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return g.select("conv_id", F.array_join(F.transform("t", lambda s: s["text"]), "\n\n").alias("issue"))
+
+
+_RANKS = {"view": 0, "click": 1, "signup": 2, "purchase": 3, "error": 4}
+_RANK_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _RANKS.items()) + " END"
+
+
+@query(f"WITH r AS (SELECT event_id, user_id, {_RANK_SQL} AS rank_ FROM events), m AS (SELECT *, max(rank_) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r) SELECT event_id, user_id, rank_ FROM m WHERE seen IS NULL OR rank_ > seen")
+def w14_forward_only(spark, d):
+    ranks = F.create_map(*[F.lit(x) for p in _RANKS.items() for x in p])
+    return chunking.running_stage(read(spark, d, "events").select("event_id", "user_id", ranks[F.col("event_type")].alias("rank_")), "user_id", "rank_", "event_id")
+
+
+def _old_new(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("v"))
+    return c.where("id % 3 <> 0"), c.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, "BUILDING").alias("status"), (F.col("v") + 1).alias("v"))
+
+
+_ON = "WITH o AS (SELECT c_custkey AS id, c_mktsegment AS status, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'BUILDING' END AS status, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 2 = 0) "
+_FULL = " FROM o FULL JOIN n ON o.id = n.id"
+
+
+@query(_ON + "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.id IS NOT NULL THEN o.status ELSE n.status END AS status, CASE WHEN n.id IS NULL THEN o.v ELSE n.v END AS v" + _FULL)
+def m1_upsert(spark, d):
+    return tables.upsert(*_old_new(spark, d), ["id"], ["v"])
+
+
+@query(_ON + "SELECT * FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (id)")
+def m2_insert_absent(spark, d):
+    return tables.insert_absent(*_old_new(spark, d), ["id"])
+
+
+@query(_ON + "SELECT coalesce(o.id, n.id) AS id, coalesce(n.status, o.status) AS status, coalesce(n.v, o.v) AS v" + _FULL)
+def m3_upsert_coalesce(spark, d):
+    return tables.upsert_coalesce(*_old_new(spark, d), ["id"])
+
+
+@query(_ON + "SELECT id FROM n ANTI JOIN o USING (id)")
+def m4_claim(spark, d):
+    return tables.claim(*_old_new(spark, d), ["id"]).select("id")
+
+
+@query(_ON + "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.status = 'MACHINERY' THEN o.status ELSE n.status END AS status, CASE WHEN n.id IS NULL OR o.status = 'MACHINERY' THEN o.v ELSE n.v END AS v" + _FULL)
+def m5_no_downgrade(spark, d):
+    return tables.upsert_no_downgrade(*_old_new(spark, d), ["id"], final="MACHINERY")
+
+
+@query(_ON + "SELECT * FROM o ANTI JOIN n USING (id)")
+def m6_delete(spark, d):
+    o, n = _old_new(spark, d)
+    return tables.delete_by(o, n.select("id"))
+
+
+@query("WITH r AS (SELECT * FROM customer WHERE c_nationkey < 5 AND c_custkey % 2 = 0) SELECT c_custkey, c_nationkey, c_name FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM r) UNION ALL SELECT c_custkey, c_nationkey, 'new' FROM r")
+def m7_replace_partition(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
+    return tables.replace_partition(c, c.where("c_nationkey < 5 and c_custkey % 2 = 0").withColumn("c_name", F.lit("new")), "c_nationkey")
+
+
+def _selections(spark, d):
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("repo_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+
+
+@query("SELECT c_nationkey AS tenant_id, c_custkey AS repo_id, c_acctbal > 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) AS enabled FROM customer")
+def m8_disable_where(spark, d):
+    return tables.disable_where(_selections(spark, d), read(spark, d, "supplier").select(F.col("s_suppkey").alias("repo_id")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def x14_purge_orphans(spark, d):
+    allowed = read(spark, d, "supplier").select(F.col("s_suppkey").alias("repo_id"), (F.col("s_acctbal") > 0).alias("enabled"))
+    index = {"orders": read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("repo_id"))}
+    return tables.purge_orphans(index, tables.in_use(_selections(spark, d), allowed))["orders"].select("o_orderkey")
+
+
+@query("WITH s AS (SELECT DISTINCT c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0) SELECT o_orderkey AS event_id, n_regionkey AS team_id FROM orders LEFT JOIN s ON c_custkey = o_custkey")
+def j17_notify_targets(spark, d):
+    channels = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("repo_id"), F.col("n_regionkey").alias("team_id"))
+    ev = read(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("repo_id"))
+    return scope.notify_targets(ev, _selections(spark, d), channels).select("event_id", "team_id")
+
+
+@query("SELECT o_orderkey AS event_id, c_nationkey AS tenant_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND c_nationkey % 3 <> 0")
+def j18_selection_jobs(spark, d):
+    ev = read(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("repo_id"))
+    tenants = read(spark, d, "nation").select(F.col("n_nationkey").alias("tenant_id"), (F.col("n_nationkey") % 3 != 0).alias("active"))
+    return scope.selection_jobs(ev, _selections(spark, d), tenants).select("event_id", "tenant_id")
+
+
+@query("WITH g AS (SELECT s_nationkey AS i, s_suppkey AS r FROM supplier WHERE s_nationkey % 2 = 0), p AS (SELECT c_nationkey AS i, c_custkey AS r FROM customer) SELECT i AS installation_id, r AS repo_id FROM g UNION ALL SELECT i, r FROM p WHERE i NOT IN (SELECT i FROM g)")
+def j21_granted_or_pending(spark, d):
+    g = read(spark, d, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("installation_id"), F.col("s_suppkey").alias("repo_id"))
+    return scope.granted_or_pending(g, read(spark, d, "customer").select(F.col("c_nationkey").alias("installation_id"), F.col("c_custkey").alias("repo_id")))
+
+
+_ST = "(['PENDING','INDEXING','READY','FAILED'])"
+
+
+@query(f"WITH l AS (SELECT o_orderkey AS repo_id, {_ST}[1 + o_orderkey % 4] AS status, o_orderkey % 5 AS files FROM orders), r AS (SELECT o_orderkey AS repo_id, {_ST}[1 + o_custkey % 4] AS status, o_custkey % 7 AS files FROM orders WHERE o_custkey % 3 <> 0), b AS (SELECT l.*, r.status AS rs, r.files AS rf, least(2, o.k) AS k, CASE WHEN r.status IS NOT NULL THEN least(2, list_position({_ST}, r.status) - 1) END AS rk FROM l LEFT JOIN r USING (repo_id), LATERAL (SELECT list_position({_ST}, l.status) - 1 AS k) o), c AS (SELECT *, coalesce(rk > k OR (rk = k AND rf > files), false) AS taken FROM b) SELECT repo_id, CASE WHEN taken THEN rs ELSE status END AS status, CASE WHEN taken THEN rf ELSE files END AS files, taken FROM c")
+def j26_reconciled_status(spark, d):
+    st = F.array(*[F.lit(s) for s in ("PENDING", "INDEXING", "READY", "FAILED")])
+    o = read(spark, d, "orders")
+    local = o.select(F.col("o_orderkey").alias("repo_id"), F.get(st, (F.col("o_orderkey") % 4).cast("int")).alias("status"), (F.col("o_orderkey") % 5).alias("files"))
+    remote = o.where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("repo_id"), F.get(st, (F.col("o_custkey") % 4).cast("int")).alias("status"), (F.col("o_custkey") % 7).alias("files"))
+    return scope.reconciled_status(local, remote)
+
+
+@query("SELECT c_nationkey AS tenant_id, count(*) FILTER (c_acctbal > 0) AS enabled, count(*) FILTER (NOT c_acctbal > 0) AS disabled, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 1) AS enabled_pct FROM customer GROUP BY c_nationkey")
+def a10_selection_rollup(spark, d):
+    n = F.count_if("enabled")
+    return _selections(spark, d).groupBy("tenant_id").agg(n.alias("enabled"), F.count_if(~F.col("enabled")).alias("disabled"), F.round(100.0 * n / F.count("*"), 1).alias("enabled_pct"))
+
+
+@query("WITH r AS (SELECT c_nationkey AS tenant_id, c_custkey AS repo_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_name), c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) SELECT tenant_id, repo_id, CAST(rn AS INT) AS rn, total > 20 AS has_more FROM r WHERE rn > 10 AND rn <= 20")
+def t7_page(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("repo_id"), "c_name")
+    return scope.page_of(c, "tenant_id", [F.lower("c_name"), "repo_id"], F.lit(2), F.lit(10)).select("tenant_id", "repo_id", "rn", "has_more")
+
+
+@query("SELECT s_nationkey AS set_id, sha256(string_agg(s_name || '=' || sha256(s_name), chr(10) ORDER BY s_name, s_suppkey)) AS set_hash FROM supplier GROUP BY s_nationkey")
+def a14_set_hash(spark, d):
+    g = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("set_id")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.sha2("s_name", 256).alias("hash"))).alias("p"))
+    return g.select("set_id", ids.set_hash(F.col("p")).alias("set_hash"))
+
+
+def _pushes(spark, d):
+    e = read(spark, d, "events").where("event_type in ('view', 'click', 'purchase')")
+    name = lambda n, ext: F.concat(F.lit("src/f"), (F.col("event_id") % n).cast("string"), F.lit(ext))
+    commit = F.struct(F.array(name(7, ".ts")).alias("added"), F.array(name(5, ".py"), name(3, ".png")).alias("modified"), F.array(name(4, ".ts"), name(2, ".lock")).alias("removed"))
+    return e.select(F.when(F.col("event_type") == "click", "refs/heads/dev").otherwise("refs/heads/main").alias("ref"), F.col("event_id").cast("string").alias("after"), F.struct(F.concat(F.lit("R/"), (F.col("user_id") % 40).cast("string")).alias("full_name"), F.lit("main").alias("default_branch")).alias("repository"), F.array(commit).alias("commits"))
+
+
+@query("""WITH p AS (SELECT event_id, 'r/' || (user_id % 40) AS repo_id, ['src/f' || (event_id % 7) || '.ts', 'src/f' || (event_id % 5) || '.py'] AS changed, ['src/f' || (event_id % 4) || '.ts'] AS gone FROM events WHERE event_type IN ('view', 'purchase')),
+s AS (SELECT 'r/' || n_nationkey AS repo_id, n_regionkey AS tenant_id FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r/' || r, NULL FROM range(25, 30) t(r))
+SELECT CAST(event_id AS VARCHAR) AS after, p.repo_id, array_to_string(changed, ',') AS changed, array_to_string(list_filter(gone, lambda x: NOT list_contains(changed, x)), ',') AS removed, tenant_id FROM p JOIN s ON s.repo_id = p.repo_id""")
+def st1_push_jobs(spark, d):
+    n = read(spark, d, "nation")
+    selections = n.select(F.concat(F.lit("r/"), "n_nationkey").alias("repo_id"), F.col("n_regionkey").alias("tenant_id"), (F.col("n_nationkey") % 2 == 0).alias("enabled"))
+    allowed = spark.range(25, 30).select(F.concat(F.lit("r/"), "id").alias("repo_id"), F.lit(True).alias("enabled"))
+    out = jobs.push_jobs(_pushes(spark, d), selections, allowed)
+    return out.select("after", "repo_id", F.array_join("changed", ",").alias("changed"), F.array_join("removed", ",").alias("removed"), "tenant_id")
+
+
+@query("WITH e AS (SELECT user_id AS run_id, event_id % 3 AS attempt, min(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY ALL) SELECT run_id, attempt FROM e ANTI JOIN (SELECT user_id AS run_id, event_id % 3 AS attempt FROM events WHERE event_type = 'signup' AND event_id % 2 = 0) USING (run_id, attempt)")
+def st3_claims(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("event_id") % 3).alias("attempt"), "event_type", "event_id")
+    return jobs.claim_runs(e.where("event_type = 'error'"), e.where("event_type = 'signup' and event_id % 2 = 0")).select("run_id", "attempt")
+
+
+@query()
+def x15_evaluate(spark, d):
+    """Benchmark texts as golden cases, the pipeline's own citations as answers."""
+    b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
+    found = flagship(spark, d).select(F.col("query_id").cast("string").alias("id"), "citations")
+    answers = found.select("id", F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c["pos"].cast("string"), F.lit("]"))), " ").alias("answer"), F.transform("citations", lambda c: F.struct(c["repo_id"].alias("repoFullName"), c["path"].alias("path"), c["source"].alias("source"), c["sources"].alias("sources"))).alias("citations"))
+    grams = search.build_trigrams(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    where_ = search.exact_search(b.select(F.col("item_id").alias("query_id"), F.array("text").alias("needles")), docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("repo_id"), F.col("text").alias("content")), grams, k=1000)
+    paths_ = where_.join(docs.select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id").groupBy("query_id").agg(F.collect_set(F.struct(F.concat("lang", F.lit("/"), "chunk_id", F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("repo"))).alias("expectedFiles"))
+    none = F.lit(None).cast("array<string>")
+    cases = b.join(paths_, F.col("query_id") == F.col("item_id"), "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), "expectedFiles", none.alias("expectedCitationSources"), none.alias("answerMust"), none.alias("answerMustNot"), F.col("expectedFiles").isNull().alias("expectNoAnswer"), F.lit(None).cast("string").alias("notes"))
+    return evaluate.summary(evaluate.score_cases(cases, answers), cases)
