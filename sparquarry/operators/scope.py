@@ -101,3 +101,30 @@ def page_of(df: DataFrame, key: str, order: list, page: Column, size: Column) ->
     w = W.partitionBy(key)
     rows = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
     return rows.where((F.col("rn") > (page - 1) * n) & (F.col("rn") <= page * n)).withColumn("has_more", F.col("total") > page * n).drop("total")
+
+
+def selected_flags(repos: DataFrame, selections: DataFrame) -> DataFrame:
+    """repos (tenant_id, repo_id, ...) with selected, whether the tenant has the repo enabled."""
+    s = selections.where("enabled").select("tenant_id", "repo_id").distinct().withColumn("s_", F.lit(True))
+    return repos.join(s, ["tenant_id", "repo_id"], "left").withColumn("selected", F.col("s_").isNotNull()).drop("s_")
+
+
+def onboarding_steps(steps: DataFrame, keys: list[str], derived: dict[str, Column] | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """One row a tenant with a column for each step: done or not; derived columns over facts (tenant_id, ...) override."""
+    wide = steps.groupBy("tenant_id").pivot("step", keys).agg(F.max("done"))
+    if facts is not None:
+        wide = wide.join(facts, "tenant_id", "left")
+    flags = [F.coalesce((derived or {}).get(k, F.lit(None).cast("boolean")), F.col(k), F.lit(False)).alias(k) for k in keys]
+    return wide.select("tenant_id", *flags)
+
+
+def latest_rows(df: DataFrame, keys: list[str], updated: str, tie: str) -> DataFrame:
+    """The last updated row of each key."""
+    w = W.partitionBy(*keys).orderBy(F.desc(updated), F.desc(tie))
+    return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def progress_percent(status: Column, done: Column, total: Column) -> Column:
+    """What a progress bar shows: 100 at an end, 3 to 99 on the way, 70 or 4 where nothing is counted yet."""
+    on_way = F.when(total > 0, F.greatest(F.lit(3), F.least(F.lit(99), F.round(100.0 * done / F.nullif(total, F.lit(0))).cast("int")))).when(status == "INDEXING", 70).otherwise(4)
+    return F.when(status.isin("READY", "FAILED"), 100).otherwise(on_way)

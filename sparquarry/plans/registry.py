@@ -432,3 +432,72 @@ def x15_evaluate(spark, d):
     none = F.lit(None).cast("array<string>")
     cases = b.join(paths_, F.col("query_id") == F.col("item_id"), "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), "expectedFiles", none.alias("expectedCitationSources"), none.alias("answerMust"), none.alias("answerMustNot"), F.col("expectedFiles").isNull().alias("expectNoAnswer"), F.lit(None).cast("string").alias("notes"))
     return evaluate.summary(evaluate.score_cases(cases, answers), cases)
+
+
+@query(f"WITH {fx.EDGES}, a AS (SELECT p_partkey AS query_id, p_name AS symbol FROM part WHERE p_partkey % 50 = 0), own AS (SELECT DISTINCT query_id, p_partkey AS from_node FROM a JOIN part ON p_name = symbol), n AS (SELECT DISTINCT query_id, to_symbol AS s FROM own JOIN edges_ USING (from_node)), c AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s) <= 10), h AS (SELECT DISTINCT query_id, p_partkey AS chunk_id FROM c JOIN part ON p_name = s) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 8")
+def j5_callees(spark, d):
+    asked = read(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("symbol"))
+    return search.callees(asked, fx.edges(spark, d), _part_chunks(spark, d)).select("query_id", "chunk_id")
+
+
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT doc_id, source AS repo_id FROM documents WHERE doc_id % 5 = 0), r AS (SELECT s.doc_id, d.source AS repo_id, d.lang || '/' || d.doc_id || '.txt' AS path, 3 AS a, 15 AS b FROM s JOIN documents d ON d.source = s.repo_id AND d.doc_id % 3 = 0), h AS (SELECT r.doc_id AS query_id, chunk_id, min(c.end_line - c.start_line) AS span FROM r JOIN chunks_ c ON c.repo_id = r.repo_id AND c.path = r.path AND r.a <= c.end_line AND r.b >= c.start_line GROUP BY r.doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY span, chunk_id) <= 12")
+def j8_reference_search(spark, d):
+    doc, docs = F.col("doc_id"), read(spark, d, "documents")
+    named = docs.where("doc_id % 5 = 0")
+    s = named.select(doc.alias("symbol_id"), F.col("source").alias("repo_id"), F.concat(F.lit("f"), doc).alias("symbol"), F.concat(F.lit("f"), doc).alias("display_name"))
+    at = docs.where("doc_id % 3 = 0").select(F.col("source").alias("repo_id"), F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("path"))
+    refs = s.select("symbol_id", "repo_id").join(at, "repo_id").select("*", F.lit("reference").alias("role"), F.lit(3).alias("start_line"), F.lit(15).alias("end_line"), F.lit("none").alias("enclosing_symbol"))
+    q = named.select(doc.alias("query_id"), F.array(F.concat(F.lit("f"), doc)).alias("needles"))
+    return search.reference_search(q, s, refs, fx.chunks(spark, d)).select("query_id", "chunk_id")
+
+
+@query("WITH a AS (SELECT c_nationkey AS t, c_custkey AS r FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT c_nationkey AS t, c_custkey AS r, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS i FROM customer WHERE c_custkey % 3 = 0), g AS (SELECT s_suppkey AS r, s_nationkey AS i FROM supplier), e AS (SELECT a.t, a.r, coalesce(s.i, g.i) AS i, 1 AS p FROM a JOIN s ON a.t = s.t AND a.r = s.r LEFT JOIN g ON g.r = a.r UNION ALL SELECT a.t, a.r, g.i, 2 FROM a JOIN g ON g.r = a.r) SELECT t AS tenant_id, r AS repo_id, i AS installation_id, p AS priority FROM e WHERE i IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t, r ORDER BY p, i) = 1")
+def j15_repo_grants(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("repo_id"))
+    selected = c.where("repo_id % 3 = 0").withColumn("installation_id", F.when(F.col("repo_id") % 4 == 0, F.col("repo_id")))
+    grants = read(spark, d, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.col("s_nationkey").cast("long").alias("installation_id"))
+    return scope.repo_grants(c.where("repo_id % 2 = 0"), selected, grants)
+
+
+@query("SELECT c_nationkey AS tenant_id, c_custkey AS repo_id, s_nationkey AS installation_id, coalesce(st, 'PENDING') AS status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS st FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def j16_tenant_repos(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("repo_id"))
+    inst = read(spark, d, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.col("s_nationkey").alias("installation_id"))
+    status = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo_id")).agg(F.min("o_orderstatus").alias("status"))
+    return scope.tenant_repos(c, inst, status).select("tenant_id", "repo_id", "installation_id", "status")
+
+
+@query("SELECT c_nationkey AS tenant_id, c_custkey AS repo_id, c_acctbal > 0 AS selected FROM customer")
+def j25_selected_flags(spark, d):
+    s = _selections(spark, d)
+    return scope.selected_flags(s.select("tenant_id", "repo_id"), s)
+
+
+@query("SELECT user_id AS tenant_id, coalesce(bool_or(event_type = 'view'), false) AS \"view\", bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase FROM events GROUP BY user_id")
+def a13_onboarding(spark, d):
+    steps = read(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.col("event_type").alias("step"), F.lit(True).alias("done"))
+    return scope.onboarding_steps(steps, ["view", "click", "purchase"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def w6_latest(spark, d):
+    return scope.latest_rows(read(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH o AS (SELECT o_orderkey, {_ST}[1 + o_orderkey % 4] AS s, o_custkey % 101 AS done, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 100 END AS total FROM orders) SELECT o_orderkey, CAST(CASE WHEN s IN ('READY', 'FAILED') THEN 100 WHEN total > 0 THEN greatest(3, least(99, done)) WHEN s = 'INDEXING' THEN 70 ELSE 4 END AS INT) AS pct FROM o")
+def f39_progress(spark, d):
+    st = F.array(*[F.lit(s) for s in ("PENDING", "INDEXING", "READY", "FAILED")])
+    o = read(spark, d, "orders")
+    return o.select("o_orderkey", scope.progress_percent(F.get(st, (F.col("o_orderkey") % 4).cast("int")), F.col("o_custkey") % 101, F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(100)).cast("int").alias("pct"))
+
+
+@query("WITH o AS (SELECT 'shard' || s_nationkey || '_v16.' || s_suppkey || '.idx' AS key, sha256(s_name) AS h FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT 'shard' || s_nationkey || '_v16.' || s_suppkey || '.idx' AS key, CASE WHEN s_suppkey % 2 = 0 THEN sha256(s_name) ELSE 'x' END AS h FROM supplier WHERE s_suppkey % 5 <> 0) SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN 'delete' WHEN o.h = n.h THEN 'keep' ELSE 'write' END AS action, regexp_extract(coalesce(o.key, n.key), '^(shard\\d+)', 1) AS shard FROM o FULL JOIN n ON o.key = n.key")
+def s19_sync_artifacts(spark, d):
+    s = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("shard"), "s_nationkey", F.lit("_v16."), "s_suppkey", F.lit(".idx")).alias("key"), F.sha2("s_name", 256).alias("hash"))
+    return tables.sync_artifacts(s.where("s_suppkey % 3 <> 0"), s.where("s_suppkey % 5 <> 0").withColumn("hash", F.when(F.col("s_suppkey") % 2 == 0, F.col("hash")).otherwise("x")))
+
+
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, min((s, ord, chunk_id)) AS at_ FROM hits_ GROUP BY query_id, chunk_id), f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY at_) AS n FROM m) SELECT query_id, sha256(string_agg('- r/' || p_brand || ':1-' || p_size || ' function ' || p_name || ' — ' || substr(regexp_replace(p_type, '\\s+', ' ', 'g'), 1, 160), chr(10) ORDER BY n)) AS summary_hash FROM f JOIN part ON p_partkey = chunk_id WHERE n <= 24 GROUP BY query_id")
+def f28_evidence_lines(spark, d):
+    c = read(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.lit("r").alias("repo_id"), F.col("p_brand").alias("path"), F.lit(1).alias("start_line"), F.col("p_size").alias("end_line"), F.lit("function").alias("chunk_type"), F.col("p_name").alias("symbol"), F.col("p_type").alias("content"))
+    return rank.evidence_lines(rank.merge_candidates(fx.hits(spark, d)), c).select("query_id", F.sha2("summary", 256).alias("summary_hash"))
