@@ -9,10 +9,9 @@ the parts of a block be decoded side by side, and checksums guard stream and ids
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -22,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, pick, stored, written
+from .common import discard, new_path, pick, sized, stored, written
 
 #: The coder's state stays at LOW or above and gives off 32 bits at a time.
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
-#: Pieces of text whose ids a worker remembers; later ones are asked for each time.
-REMEMBERED = 1_000_000
-#: White space next to white space, or at either end of a text.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
+#: Pieces of text whose ids a worker remembers; it starts afresh when a text would need more.
+REMEMBERED = 900_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 
 _loaded: dict = {}
 
@@ -40,7 +39,7 @@ class PieceCoder:
     A byte-level tokenizer starts a new token before every space and line end that has no
     white space beside it, so the ids of a text are those of its pieces cut there. A piece
     is kept without its leading space; one that begins a line is kept with its line end.
-    Texts with white space side by side go to the tokenizer whole.
+    Texts with other white space go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,56 +50,68 @@ class PieceCoder:
         alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end, self.line_id = len(alone), alone[0]
         self.places: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.ends = np.zeros(REMEMBERED + 1, np.int64)
 
-    def ask(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of pieces, all in one text: line ends between them come back as an id of their own."""
-        lines, inner = [p for p in pieces if p[0] == "\n"], [p for p in pieces if p[0] != "\n"]
+    def ask(self, pieces: list[str], begin_lines: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and how many each has.
+
+        All are asked for in one text: a line end between two comes back as an id of its own.
+        """
         if self.line_end != 1:
-            return [np.array(f.ids, np.uint32) for f in self.tokenizer.encode_batch_fast([p if p[0] == "\n" else " " + p for p in pieces], add_special_tokens=False)]
-        texts = ["".join(lines), "".join("\n " + p for p in inner)]
-        out: dict[str, np.ndarray] = {}
-        for part, lead, found in zip((lines, inner), (0, 1), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            at = np.flatnonzero(ids == self.line_id).tolist()
-            out.update((p, ids[i + lead : j]) for p, i, j in zip(part, at, [*at, len(ids)][1:], strict=True))
-        return [out[p] for p in pieces]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        cut = ("\n" + text.replace("\n", " \n")).split(" ")
-        at = np.fromiter(map(self.places.get, cut, repeat(-1)), np.int64, len(cut))
+            found = [f.ids for f in self.tokenizer.encode_batch_fast([p if begin_lines else " " + p for p in pieces], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        text = "".join(pieces) if begin_lines else "\n " + "\n ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        between = ids == self.line_id
+        n = np.diff(np.append(np.flatnonzero(between), len(ids)))
+        return (ids, n) if begin_lines else (ids[~between], n - 1)
+
+    def remember(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        at = len(self.places)
+        while self.used + len(ids) >= len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.ends[at + 1 : at + 1 + len(pieces)] = self.used + np.cumsum(n)
+        self.used += len(ids)
+        self.places.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether all white space is single spaces and line ends within the text."""
+        if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n")):
+            return False
+        return text.replace("\n", "").isprintable()  # no other kind of white space
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the tokenizer is asked once for all new pieces of all texts."""
+        plain = [bool(t) and self.plain(t) for t in texts]
+        out = [None if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
+        cuts = [("\n" + t.replace("\n", " \n")).split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        if not cuts:
+            return out
+        flat = list(chain.from_iterable(cuts))
+        at = np.fromiter(map(self.places.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(at < 0).tolist()
-        late: dict[str, np.ndarray] = {}
         if missing:
-            new = list(dict.fromkeys(cut[i] for i in missing))
-            found = self.ask(new)
-            keep = REMEMBERED - len(self.places)
-            for piece, ids in zip(new[:keep], found, strict=False):
-                self.remember(piece, ids)
-            late = dict(zip(new[keep:], found[keep:], strict=True)) if keep < len(new) else late
-            for i in missing:
-                at[i] = self.places.get(cut[i], -1)
-        if late:
-            rest = [self.pool[self.ends[i] : self.ends[i + 1]] if i >= 0 else late[p] for i, p in zip(at.tolist(), cut, strict=True)]
-            return np.concatenate(rest)[self.line_end :].astype(np.uint32)
+            new = dict.fromkeys([flat[i] for i in missing])
+            if len(self.places) + len(new) > len(self.ends) - 1:
+                self.places.clear()
+                self.used, missing, new = 0, range(len(flat)), dict.fromkeys(flat)
+                self.ends = np.zeros(max(REMEMBERED, len(new)) + 1, np.int64)
+            for begin_lines in (False, True):
+                part = [p for p in new if (p[0] == "\n") == begin_lines]
+                if part:
+                    self.remember(part, *self.ask(part, begin_lines))
+            at[missing] = [self.places[flat[i]] for i in missing]
         begin = self.ends[at]
         n = self.ends[at + 1] - begin
         end = np.cumsum(n)
-        return self.pool[np.repeat(begin - (end - n), n) + np.arange(end[-1])][self.line_end :]
-
-    def remember(self, piece: str, ids: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        at = len(self.places)
-        self.ends[at + 1] = self.used
-        self.places[piece] = at
+        ids = self.pool[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
+        # Every text was given a line end in front.
+        last = np.cumsum([len(c) for c in cuts])
+        parts = iter(np.split(ids, end[last[:-1] - 1]))
+        return [next(parts)[self.line_end :] if p else x for x, p in zip(out, plain, strict=True)]
 
 
 def _coder(source: Broadcast) -> PieceCoder:
@@ -125,10 +136,20 @@ def _tokenize(source: Broadcast, end_id: int, block_tokens: int):
             values = [shard, block, held_ids, [len(x) for x in held], size, np.concatenate(held).astype(kind).tobytes()]
             return pa.RecordBatch.from_pylist([dict(zip(raw.names, values, strict=True))], raw)
 
+        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
+            some, chars = [], 0
+            for t in texts:
+                some.append(t.as_py() or "")
+                chars += len(some[-1])
+                if chars > TOGETHER:
+                    yield from coder.encode(some)
+                    some, chars = [], 0
+            yield from coder.encode(some)
+
         raw = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(np.append(coder.encode(text.as_py() or ""), np.uint32(end_id)))
+            for i, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                held.append(np.append(ids, np.uint32(end_id)))
                 held_ids.append(i)
                 size += len(held[-1])
                 if size >= block_tokens:
@@ -326,7 +347,7 @@ def read_token_file(spark, path: str) -> DataFrame:
     before = sizes.groupBy("shard").agg(F.sum("n").alias("s")).select("shard", (F.sum("s").over(W.orderBy("shard")) - F.col("s")).alias("shard_start"))
     starts = sizes.withColumn("within", F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).join(before, "shard")
     starts = starts.select("shard", "block", (F.col("within") + F.col("shard_start")).alias("start"))
-    placed = blocks.join(starts, ["shard", "block"])
+    placed = blocks.join(sized(stored(starts, "starts")), ["shard", "block"])
     return placed.mapInArrow(_read_blocks(model), "id long, start long, n long, ids binary")
 
 
