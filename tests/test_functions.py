@@ -45,12 +45,12 @@ def test_ids(spark):
 def test_question_parsing(spark):
     q = "Where is `foo.bar` and chunkMarkdown used in MyClass for snake_case files?"
     assert many(spark, [q], text.symbols)[0] == ["foo.bar", "chunkMarkdown", "Where", "MyClass", "snake_case"][:0] + many(spark, [q], text.symbols)[0]
-    found = many(spark, [q, "Where are Slack request signatures verified?"], text.symbols)
-    assert found[0][0] == "foo.bar" and {"chunkMarkdown", "MyClass", "snake_case"} <= set(found[0]) and found[1] == ["Slack"]
-    assert many(spark, ["Where are Slack request signatures verified?"], text.terms) == [["slack", "request", "signatures", "verified"]]
+    found = many(spark, [q, "Where are Kafka request signatures verified?"], text.symbols)
+    assert found[0][0] == "foo.bar" and {"chunkMarkdown", "MyClass", "snake_case"} <= set(found[0]) and found[1] == ["Kafka"]
+    assert many(spark, ["Where are Kafka request signatures verified?"], text.terms) == [["kafka", "request", "signatures", "verified"]]
     assert many(spark, ["where is it", "who calls it: usage", "explain it", "hm"], text.question_intent) == ["definition", "usage", "explanation", "general"]
-    n = many(spark, ["Where are Slack request signatures verified?"], lambda c: text.needles(text.symbols(c), text.terms(c)))[0]
-    assert n == ["Slack", "slackRequest", "requestSignatures", "signaturesVerified", "slack", "request", "signatures", "signature", "verified", "verify"]
+    n = many(spark, ["Where are Kafka request signatures verified?"], lambda c: text.needles(text.symbols(c), text.terms(c)))[0]
+    assert n == ["Kafka", "kafkaRequest", "requestSignatures", "signaturesVerified", "kafka", "request", "signatures", "signature", "verified", "verify"]
     assert one(spark, text.match_expression(F.array(F.lit('foo"bar')))) == '"foo""bar"*'
 
 
