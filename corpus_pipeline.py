@@ -62,8 +62,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The mix as a token file, read back: start, number and checksum of each document's ids."""
     import public_tokenizers
 
-    back = encoded_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    back = encoded_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digests=True)
+    return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix), ("tokens", write_tokens)]

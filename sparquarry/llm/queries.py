@@ -49,8 +49,8 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as ids of the byte-level vocabulary, written as coded blocks and read back."""
     import public_tokenizers
 
-    back = encoded_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    back = encoded_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digests=True)
+    return back.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
 @query

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +25,7 @@ from .common import discard, new_path, pick, sized, stored, written
 
 #: The coder's state stays at LOW or above and gives off 32 bits at a time.
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
-#: Pieces of text whose ids a worker remembers; it starts afresh when a text would need more.
+#: Pieces of text whose ids a worker remembers; when they are more it forgets the later half.
 REMEMBERED = 900_000
 #: Characters of texts that are encoded together.
 TOGETHER = 1 << 20
@@ -51,7 +51,7 @@ class PieceCoder:
         self.line_end, self.line_id = len(alone), alone[0]
         self.places: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.ends = np.zeros(REMEMBERED + 1, np.int64)
+        self.ends = np.zeros(REMEMBERED + 1, np.int32)
 
     def ask(self, pieces: list[str], begin_lines: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after another, and how many each has.
@@ -67,6 +67,12 @@ class PieceCoder:
         n = np.diff(np.append(np.flatnonzero(between), len(ids)))
         return (ids, n) if begin_lines else (ids[~between], n - 1)
 
+    def forget(self, kept: int) -> int:
+        """Keep only the pieces that were learned first; the frequent ones are among them."""
+        self.places = dict(islice(self.places.items(), kept))
+        self.used = int(self.ends[kept])
+        return kept
+
     def remember(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         at = len(self.places)
         while self.used + len(ids) >= len(self.pool):
@@ -96,9 +102,13 @@ class PieceCoder:
         if missing:
             new = dict.fromkeys([flat[i] for i in missing])
             if len(self.places) + len(new) > len(self.ends) - 1:
-                self.places.clear()
-                self.used, missing, new = 0, range(len(flat)), dict.fromkeys(flat)
-                self.ends = np.zeros(max(REMEMBERED, len(new)) + 1, np.int64)
+                kept = self.forget(len(self.places) // 2)
+                missing = np.flatnonzero((at < 0) | (at >= kept)).tolist()
+                new = dict.fromkeys([flat[i] for i in missing])
+            if len(self.places) + len(new) > len(self.ends) - 1:  # these texts alone need more
+                self.forget(0)
+                missing, new = range(len(flat)), dict.fromkeys(flat)
+                self.ends = np.zeros(max(REMEMBERED, len(new)) + 1, np.int32)
             for begin_lines in (False, True):
                 part = [p for p in new if (p[0] == "\n") == begin_lines]
                 if part:
@@ -106,8 +116,8 @@ class PieceCoder:
             at[missing] = [self.places[flat[i]] for i in missing]
         begin = self.ends[at]
         n = self.ends[at + 1] - begin
-        end = np.cumsum(n)
-        ids = self.pool[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
+        end = np.cumsum(n, dtype=np.int32)
+        ids = self.pool[np.repeat(begin - (end - n), n) + np.arange(end[-1], dtype=np.int32)]
         # Every text was given a line end in front.
         last = np.cumsum([len(c) for c in cuts])
         parts = iter(np.split(ids, end[last[:-1] - 1]))
@@ -122,7 +132,7 @@ def _coder(source: Broadcast) -> PieceCoder:
     return _loaded[key]
 
 
-_RAW = "shard int, block long, doc_ids array<long>, lengths array<long>, n long, ids binary"
+_RAW = "shard int, block long, doc_ids array<long>, lengths array<long>, n long, ids binary, counts binary"
 
 
 def _tokenize(source: Broadcast, end_id: int, block_tokens: int):
@@ -133,7 +143,8 @@ def _tokenize(source: Broadcast, end_id: int, block_tokens: int):
         held, held_ids, size, block = [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            values = [shard, block, held_ids, [len(x) for x in held], size, np.concatenate(held).astype(kind).tobytes()]
+            ids = np.concatenate(held)
+            values = [shard, block, held_ids, [len(x) for x in held], size, ids.astype(kind).tobytes(), np.bincount(ids).astype("<u4").tobytes()]
             return pa.RecordBatch.from_pylist([dict(zip(raw.names, values, strict=True))], raw)
 
         def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -146,7 +157,7 @@ def _tokenize(source: Broadcast, end_id: int, block_tokens: int):
                     some, chars = [], 0
             yield from coder.encode(some)
 
-        raw = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("ids", pa.binary())])
+        raw = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for i, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
                 held.append(np.append(ids, np.uint32(end_id)))
@@ -183,10 +194,11 @@ def _numbers(row: dict) -> np.ndarray:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for row in batch.to_pylist():
-            c = np.bincount(_numbers(row), minlength=len(total))
-            c[: len(total)] += total
-            total = c
+        for x in batch.column(0):
+            c = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
+            if len(c) > len(total):
+                c, total = total, c
+            total[: len(c)] += c
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "c"])
 
@@ -215,7 +227,7 @@ def scaled_frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
 class RangeCoder:
     """Interleaved static rANS over one frequency table."""
 
-    def __init__(self, frequencies: np.ndarray, bits: int, lanes: int = 2048, every: int = 256):
+    def __init__(self, frequencies: np.ndarray, bits: int, lanes: int = 4096, every: int = 256):
         self.f, self.bits, self.lanes, self.every = frequencies, np.uint64(bits), lanes, every
         self.cum = np.concatenate([[0], np.cumsum(frequencies)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies.astype(np.int64))
@@ -245,7 +257,7 @@ class RangeCoder:
         """The ids; all parts of the block advance together, one row each a step."""
         if not n:
             return np.empty(0, np.uint32)
-        code = np.append(np.frombuffer(stream, "<u4"), np.uint32(0))
+        code = np.frombuffer(stream, "<u4")
         marks = np.frombuffer(checkpoints, "<u8").reshape(-1, self.lanes + 1)
         at, x = marks[:, 0].astype(np.int64), marks[:, 1:].astype(np.uint64)
         rows, mask = -(-n // self.lanes), np.uint64((1 << int(self.bits)) - 1)
@@ -262,11 +274,13 @@ class RangeCoder:
                 s = self.symbol[slot]
                 out[row[part], :w] = s
                 now = self.f[s] * (now >> self.bits) + slot - self.cum[s]
+                # Each part's next words go to its lanes that ran low, in order.
                 low = now < LOW
-                take = np.cumsum(low, axis=1)
-                fill = code[np.minimum(at[part, None] + take - 1, len(code) - 1)]
-                x[part, :w] = np.where(low, (now << WORD_BITS) | fill, now)
-                at[part] += take[:, -1]
+                taken = low.sum(axis=1)
+                fill = [code[a : a + k] for a, k in zip(at[part].tolist(), taken.tolist(), strict=True)]
+                now[low] = (now[low] << WORD_BITS) | (fill[0] if len(fill) == 1 else np.concatenate(fill))
+                x[part, :w] = now
+                at[part] += taken
         return out.reshape(-1)[:n]
 
 
@@ -295,7 +309,7 @@ def _encode_blocks(model: Broadcast):
     return run
 
 
-def write_token_file(blocks: DataFrame, path: str, bits: int = 20, lanes: int = 2048, every: int = 256) -> None:
+def write_token_file(blocks: DataFrame, path: str, bits: int = 20, lanes: int = 4096, every: int = 256) -> None:
     """Write what token_blocks gave, as path/model and path/blocks.
 
     The frequency table counts all ids. The driver gets one count for each id of the
@@ -303,41 +317,40 @@ def write_token_file(blocks: DataFrame, path: str, bits: int = 20, lanes: int =
     read twice, so it should be a table.
     """
     spark = blocks.sparkSession
-    tally = blocks.select("n", "ids").mapInArrow(_tally, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect()
+    tally = blocks.select("counts").mapInArrow(_tally, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect()
     counts = np.zeros(1 + max((r["token"] for r in tally), default=0), np.int64)
     for r in tally:
         counts[r["token"]] = r["c"]
     frequencies = scaled_frequencies(counts, bits)
     spark.createDataFrame([(bits, lanes, every, [int(f) for f in frequencies])], "bits int, lanes int, every int, frequencies array<long>").coalesce(1).write.parquet(f"{path}/model")
     model = spark.sparkContext.broadcast((frequencies, bits, lanes, every))
-    written(blocks.mapInArrow(_encode_blocks(model), _BLOCKS), f"{path}/blocks", compression="uncompressed")
+    written(blocks.drop("counts").mapInArrow(_encode_blocks(model), _BLOCKS), f"{path}/blocks", compression="uncompressed")
 
 
-def _read_blocks(model: Broadcast):
+def _read_blocks(model: Broadcast, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _range_coder(model)
         for batch in batches:
             for r in batch.to_pylist():
                 if zlib.crc32(r["checkpoints"], zlib.crc32(r["stream"])) != r["stream_crc32"]:
                     raise ValueError(f"shard {r['shard']}, block {r['block']}: the stream is damaged")
-                ids = coder.decode(r["stream"], r["checkpoints"], r["n"]).astype("<u4")
-                if zlib.crc32(ids.tobytes()) != r["ids_crc32"]:
+                ids = memoryview(coder.decode(r["stream"], r["checkpoints"], r["n"]).astype("<u4", copy=False)).cast("B")
+                if zlib.crc32(ids) != r["ids_crc32"]:
                     raise ValueError(f"shard {r['shard']}, block {r['block']}: the ids are damaged")
                 ends = np.cumsum(r["lengths"])
                 starts = ends - r["lengths"]
-                parts = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(parts, pa.binary())],
-                    ["id", "start", "n", "ids"],
-                )
+                parts = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                last = pa.array(list(map(zlib.crc32, parts)), pa.int64()) if digests else pa.array(list(map(bytes, parts)), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"], pa.int64()), pa.array(r["lengths"], pa.int64()), last], ["id", "start", "n", "ids_crc32" if digests else "ids"])
 
     return run
 
 
-def read_token_file(spark, path: str) -> DataFrame:
+def read_token_file(spark, path: str, digests: bool = False) -> DataFrame:
     """(id, start, n, ids) from a file that write_token_file wrote; start counts the ids of all documents before.
 
-    Blocks are decoded on their own. Damage is an error.
+    Blocks are decoded on their own. Damage is an error. With digests the CRC-32 of each
+    document's ids, as little-endian unsigned 32-bit numbers, comes in place of the ids.
     """
     m = spark.read.parquet(f"{path}/model").first()
     model = spark.sparkContext.broadcast((np.array(m["frequencies"], np.uint64), m["bits"], m["lanes"], m["every"]))
@@ -348,18 +361,18 @@ def read_token_file(spark, path: str) -> DataFrame:
     starts = sizes.withColumn("within", F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).join(before, "shard")
     starts = starts.select("shard", "block", (F.col("within") + F.col("shard_start")).alias("start"))
     placed = blocks.join(sized(stored(starts, "starts")), ["shard", "block"])
-    return placed.mapInArrow(_read_blocks(model), "id long, start long, n long, ids binary")
+    return placed.mapInArrow(_read_blocks(model, digests), f"id long, start long, n long, {'ids_crc32 long' if digests else 'ids binary'}")
 
 
-def encoded_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs as a token file in the shared folder and read it back: (id, start, n, ids).
+def encoded_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Write docs as a token file in the shared folder and read it back: (id, start, n, ids or ids_crc32).
 
     Every row counts, also with a null or repeated id, and null, empty or very long texts.
     Other columns aren't read. The file stays; its frame's folder is a new one each call.
     """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
-    blocks = stored(token_blocks(docs, tokenizer, end_id, id_col=id_col, text_col=text_col), "ids", compression="zstd")
+    blocks = stored(token_blocks(docs, tokenizer, end_id, id_col=id_col, text_col=text_col), "ids", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"})
     write_token_file(blocks, path)
     discard(blocks)
-    return read_token_file(spark, path)
+    return read_token_file(spark, path, digests)

@@ -128,6 +128,15 @@ def test_damage_is_found(spark):
         token_output.read_token_file(spark, path).count()
 
 
+def test_piece_coder_forgets(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 40)
+    coder = token_output.PieceCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    rng = random.Random(4)
+    for _ in range(200):
+        texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))]
+        assert [list(x) for x in coder.encode(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_piece_coder_equals_tokenizer():
     coder = token_output.PieceCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     rng, parts = random.Random(1), ["a", " ", "\n", "'s", "1", "!", "é", "\x1f", "日", "\t", "word", "<|endoftext|>"]
