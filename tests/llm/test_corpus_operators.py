@@ -279,7 +279,11 @@ def test_classifiers(spark, op, label):
 def test_long_text_scores_as_a_whole():
     model = toxicity.train_conv([toxicity.word_buckets(t, 256) for t in ("good fine", "vile thing")] * 20, np.array([0.0, 1.0] * 20), np.ones(40), 256)
     long = toxicity.word_buckets("good fine " * 40_000 + "vile thing " + "good fine " * 40_000, 256)
-    assert model.scores([long], model.tables())[0] > 0.5 > model.scores([long[:, :1000]], model.tables())[0]
+    short = toxicity.word_buckets("good fine " * 100 + "vile thing " + "good fine " * 100, 256)
+    clean = toxicity.word_buckets("good fine " * 80_000, 256)
+    found = model.scores([long, short, clean], model.tables())
+    # The words in the middle of the long text count as they do in a short one.
+    assert abs(found[0] - found[1]) < 1e-9 and found[0] > 10 * found[2]
 
 
 def test_chat(spark):
