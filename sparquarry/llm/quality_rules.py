@@ -2,7 +2,7 @@
 
 The statistics of the documents that pass the limits are transformed and, for every
 language and source, their minimum-covariance-determinant centre and scatter are found
-by concentration steps: the closest part of the rows gives the next estimate. Rows too
+by concentration steps: the closest half of the rows gives the next estimate. Rows too
 far away by Mahalanobis distance are rejected. All of it is DataFrame operations.
 """
 
@@ -87,8 +87,8 @@ def _quantiles(binned: DataFrame, keys: list[str], shares: dict[str, float]) ->
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("bin") + 1) * BIN)).alias(name) for name, share in shares.items()])
 
 
-def _with_inverse(params: DataFrame) -> DataFrame:
-    """From means m_i and scatter s_i_j (i >= j), the inverse v_i_j of its Cholesky factor."""
+def _with_inverse(params: DataFrame, keys: tuple[str, ...] = ("g",)) -> DataFrame:
+    """From means m_i and scatter s_i_j (i >= j), the inverse v_i_j of its Cholesky factor, beside the keys."""
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"s_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
@@ -97,7 +97,7 @@ def _with_inverse(params: DataFrame) -> DataFrame:
         params = params.withColumn(f"v_{j}_{j}", 1 / F.col(f"l_{j}_{j}"))
         for i in range(j + 1, D):
             params = params.withColumn(f"v_{i}_{j}", -sum((F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l_{i}_{i}"))
-    return params.select("g", *[f"m_{i}" for i in range(D)], *[f"v_{i}_{j}" for i in range(D) for j in range(i + 1)])
+    return params.select(*keys, *[f"m_{i}" for i in range(D)], *[f"v_{i}_{j}" for i in range(D) for j in range(i + 1)])
 
 
 def _distance() -> Column:
@@ -105,67 +105,115 @@ def _distance() -> Column:
     return sum((F.pow(sum((F.col(f"v_{i}_{j}") * (F.col(f"x_{j}") - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0)), F.lit(2.0)) for i in range(D)), F.lit(0.0))
 
 
-def robust_estimates(rows: DataFrame, part: float = 0.75, steps: int = 4) -> DataFrame:
-    """By group g, centre and inverse factor of the scatter of x_0..x_4: a table of one row a group.
+def _log_det() -> Column:
+    """The logarithm of the scatter's determinant, from v_i_j."""
+    return -2 * sum((F.log(f"v_{i}_{i}") for i in range(D)), F.lit(0.0))
+
 
-    The start takes each statistic's median and quartiles; every step takes the rows
-    within the distance that holds part of the group, and their mean and covariance,
-    scaled to be right for normal data. Bins give the quantiles, so that they don't
-    depend on how rows are dealt out; nothing is gathered by group but sums and bins.
+def _starts(binned: DataFrame, part: float) -> DataFrame:
+    """By group g and start k, centre and inverse factor: each statistic on its own, in three ways.
+
+    Start 0 has the middle and width of the shortest interval that holds part of the rows, 1 the
+    median and quartiles, and 2 the median and that width.
     """
-    floors = list(STATISTICS.values())
-    scale = part / chi2_cdf(chi2_quantile(part, D), D + 2)
-    # Bins of all statistics in one pass.
-    long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x_{i}") / BIN).alias("bin")) for i in range(D)])).alias("e"))
-    binned = long.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("c"))
-    middle = _quantiles(binned, ["g", "i"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    first = middle.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("q2"))).alias(f"m_{i}") for i in range(D)], *[F.max(F.when(F.col("i") == i, F.pow((F.col("q3") - F.col("q1")) / 1.349, F.lit(2.0)) + floors[i] ** 2)).alias(f"s_{i}_{i}") for i in range(D)])
+    floors, steps = list(STATISTICS.values()), 40
+    at = [j / steps for j in range(steps + 1)]
+    ends = _quantiles(binned, ["g", "i"], {f"q{j}": a for j, a in enumerate(at)})
+    half = round(part * steps)
+    spans = F.array(*[F.struct((F.col(f"q{j + half}") - F.col(f"q{j}")).alias("width"), F.col(f"q{j + half // 2}").alias("middle")) for j in range(steps + 1 - half)])
+    # Normal data have part of their rows within so many standard deviations.
+    wide = 2 * math.sqrt(chi2_quantile(part, 1))
+    short = ends.select("g", "i", F.array_min(spans).alias("s"), F.col(f"q{steps // 2}").alias("median"), ((F.col(f"q{steps * 3 // 4}") - F.col(f"q{steps // 4}")) / 1.349).alias("quartiles"))
+    ways = [("s.middle", F.col("s.width") / wide), ("median", F.col("quartiles")), ("median", F.col("s.width") / wide)]
+    each = short.select("g", "i", F.posexplode(F.array(*[F.struct(F.col(m).alias("m"), d.alias("d")) for m, d in ways])).alias("k", "e"))
+    first = each.groupBy("g", "k").agg(*[F.max(F.when(F.col("i") == i, F.col("e.m"))).alias(f"m_{i}") for i in range(D)], *[F.max(F.when(F.col("i") == i, F.pow(F.col("e.d"), F.lit(2.0)) + floors[i] ** 2)).alias(f"s_{i}_{i}") for i in range(D)])
     for i in range(D):
         for j in range(i):
             first = first.withColumn(f"s_{i}_{j}", F.lit(0.0))
-    now = stored(_with_inverse(stored(first, "start")), "estimates")
-    for _ in range(steps):
-        far = rows.join(sized(now), "g").withColumn("d", _distance())
-        bins = far.select("g", F.floor(F.log(F.col("d") + 1e-9) / BIN).alias("bin")).groupBy("g", "bin").agg(F.count("*").alias("c"))
-        limit = stored(_quantiles(bins, ["g"], {"most": part}), "limits")
-        near = far.join(sized(limit), "g").where(F.log(F.col("d") + 1e-9) <= F.col("most"))
-        x = [F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(D)]  # by the last centre, against cancellation
-        sums = near.groupBy("g").agg(
-            F.count("*").alias("n"),
-            *[F.first(f"m_{i}").alias(f"o_{i}") for i in range(D)],
-            *[F.avg(x[i]).alias(f"a_{i}") for i in range(D)],
-            *[F.avg(x[i] * x[j]).alias(f"p_{i}_{j}") for i in range(D) for j in range(i + 1)],
-        )
-        moved = sums.select(
-            "g",
-            *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in range(D)],
-            *[(scale * (F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) + (floors[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i in range(D) for j in range(i + 1)],
-        )
-        after = stored(_with_inverse(stored(moved, "moments")), "estimates")
-        discard(now, limit)
+    return _with_inverse(stored(first, "start"), ("g", "k"))
+
+
+def _closest(rows: DataFrame, now: DataFrame, part: float, beyond: float, scale: float) -> DataFrame:
+    """The next estimates by g and k, from the rows within beyond times the squared distance that holds part of them.
+
+    Counts and moments are summed by bin of the distance, so that one pass finds limit and moments.
+    """
+    floors = list(STATISTICS.values())
+    x = [F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(D)]  # by the last centre, against cancellation
+    pairs = [(i, j) for i in range(D) for j in range(i + 1)]
+    far = rows.join(now, "g").withColumn("d", _distance())
+    bins = far.groupBy("g", "k", F.floor(F.log(F.col("d") + 1e-9) / BIN).alias("bin")).agg(
+        F.count("*").alias("c"),
+        F.first(_log_det()).alias("before"),
+        *[F.first(f"m_{i}").alias(f"o_{i}") for i in range(D)],
+        *[F.sum(x[i]).alias(f"a_{i}") for i in range(D)],
+        *[F.sum(x[i] * x[j]).alias(f"p_{i}_{j}") for i, j in pairs],
+    )
+    own = W.partitionBy("g", "k")
+    upto = bins.withColumn("upto", F.sum("c").over(own.orderBy("bin"))).withColumn("all", F.sum("c").over(own))
+    limit = F.min(F.when(F.col("upto") >= part * F.col("all"), F.col("bin"))).over(own)
+    near = upto.withColumn("most", limit).where(F.col("bin") <= F.col("most") + math.floor(math.log(beyond) / BIN))
+    n = F.sum("c")
+    sums = near.groupBy("g", "k").agg(F.first("before").alias("before"), *[F.first(f"o_{i}").alias(f"o_{i}") for i in range(D)], *[(F.sum(f"a_{i}") / n).alias(f"a_{i}") for i in range(D)], *[(F.sum(f"p_{i}_{j}") / n).alias(f"p_{i}_{j}") for i, j in pairs])
+    moved = sums.select(
+        "g",
+        "k",
+        "before",
+        *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in range(D)],
+        *[(scale * (F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) + (floors[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs],
+    )
+    return _with_inverse(moved, ("g", "k", "before"))
+
+
+def robust_estimates(rows: DataFrame, part: float = 0.5, most_steps: int = 30) -> DataFrame:
+    """By group g, centre and inverse factor of the scatter of x_0..x_4: a table of one row a group.
+
+    From three starts, every step takes the rows within the distance that holds part of the
+    group, and their mean and covariance, scaled to be right for normal data. Steps end when
+    no determinant's logarithm falls by a bin any more, and the smallest of a group counts. The
+    rows that normal data would have within the quantile of 0.975, as measured by the
+    distance that holds part, then give the final estimate. Bins give the quantiles, so that
+    they don't depend on how rows are dealt out; nothing is gathered by group but sums and
+    bins.
+    """
+    inner, outer = chi2_quantile(part, D), chi2_quantile(0.975, D)
+    # Bins of all statistics in one pass.
+    long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x_{i}") / BIN).alias("bin")) for i in range(D)])).alias("e"))
+    now = stored(_starts(long.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("c")), part), "estimates")
+    for _ in range(most_steps):
+        after = stored(_closest(rows, sized(now), part, 1.0, part / chi2_cdf(inner, D + 2)), "estimates")
+        discard(now)
         now = after
-    return now
+        moved = now.agg(F.max(F.col("before") - _log_det())).first()[0]
+        if moved is None or moved < BIN:
+            break
+    best = stored(now.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy(_log_det(), "k"))).where("place = 1").drop("place", "before"), "best")
+    out = stored(_closest(rows, sized(best), part, outer / inner, 0.975 / chi2_cdf(outer, D + 2)).drop("k", "before"), "estimates")
+    discard(now, best)
+    return out
 
 
-def quality_rules(docs: DataFrame, tail: float = 1e-12, least_group: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, loss: float = 0.01, least_group: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: id, the counts, base_failed, distance and kept.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. The
-    others are judged by their language's and source's estimates: kept unless the squared
-    distance is beyond the chi-squared quantile of 1 - tail. Groups of under least_group
-    rows are put together by language, and what is then still small into one last group;
+    others are judged by their language's and source's estimates, in which copies of a text
+    count once: kept unless the squared distance is beyond the chi-squared quantile of
+    1 - loss / n for a group of n texts, n rounded up to a power of 2, so that a group of
+    normal data loses no row in all but a share loss of cases. Groups of under least_group
+    texts are put together by language, and what is then still small into one last group;
     if that is small too, its rows are kept. Null is a language or source of its own. Null
     and blank texts have counts of 0 and fail. Repeated rows count as often as they occur;
     a null id changes nothing. Other columns aren't read. An empty table gives an empty
     result.
     """
     read = pick(docs, [id_col, text_col, lang_col, source_col]).toDF("id", "text", "lang", "source")
-    counted = read.select("id", "lang", "source", base_statistics(F.col("text")).alias("b"))
-    counted = counted.select("id", "lang", "source", F.col("b.w.n_words"), F.col("b.w.word_chars"), F.col("b.n_symbols"), F.col("b.n_dup_lines"), F.col("b.w.n_repeat_words"))
+    counted = read.select("id", "lang", "source", F.xxhash64("text").alias("copy"), base_statistics(F.col("text")).alias("b"))
+    counted = counted.select("id", "lang", "source", "copy", F.col("b.w.n_words"), F.col("b.w.word_chars"), F.col("b.n_symbols"), F.col("b.n_dup_lines"), F.col("b.w.n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = stored(counted.withColumn("base_failed", failed), "counts")
 
-    passed = counted.where("not base_failed")
+    passed = stored(counted.where("not base_failed").drop("id").distinct(), "texts")
     sizes = stored(passed.groupBy("lang", "source").agg(F.count("*").alias("c")), "sizes")
     small = F.col("c") < least_group
     by_lang = W.partitionBy("lang")
@@ -179,10 +227,11 @@ def quality_rules(docs: DataFrame, tail: float = 1e-12, least_group: int = 50, i
 
     x = [c.alias(f"x_{i}") for i, c in enumerate(_statistics().values())]
     estimates = robust_estimates(stored(grouped(passed).select("g", *x), "statistics"))
-    limit = chi2_quantile(1 - tail, D)
-    enough = stored(sizes.join(groups, (sizes.lang.eqNullSafe(groups.lang)) & (sizes.source.eqNullSafe(groups.source))).groupBy("g").agg(F.sum("c").alias("members")).where(F.col("members") >= least_group).select("g"), "enough")
-    known = stored(estimates.join(enough, "g", "left_semi"), "known")
+    members = sizes.join(groups, (sizes.lang.eqNullSafe(groups.lang)) & (sizes.source.eqNullSafe(groups.source))).groupBy("g").agg(F.sum("c").alias("members"))
+    limits = F.array(*[F.lit(chi2_quantile(1 - loss / 2**j, D)) for j in range(41)])
+    enough = stored(members.where(F.col("members") >= least_group).select("g", F.element_at(limits, F.least(F.lit(41), F.ceil(F.log2("members")).cast("int") + 1)).alias("limit")), "enough")
+    known = stored(estimates.join(enough, "g"), "known")
     judged = grouped(counted).join(sized(known), "g", "left")
     judged = judged.select("*", *x).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -263,6 +263,19 @@ def test_robust_outlier_is_rejected(spark):
     assert abs(quality_rules.chi2_quantile(0.975, 5) - 12.8325) < 1e-3
 
 
+@pytest.mark.parametrize("share, copies", [(0.3, False), (0.4, False), (0.4, True)])
+def test_much_junk_is_rejected(spark, share, copies):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "tere") for b in ("ra", "s", "t", "von", "p")]
+    rows = [(i, " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(rng.randrange(80, 400))), "en", "a") for i in range(300)]
+    line = " ".join(f"word{i}$" for i in range(10))
+    junk = round(300 * share / (1 - share))
+    rows += [(1000 + i, "\n".join([" ".join(f"{x if copies else i}word{x}$" for x in range(150)), *[f"line{j} {line[:7]}" for j in range(30) for _ in (0, 1)]]), "en", "a") for i in range(junk)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert not any(got[i]["kept"] for i in got if i >= 1000) and sum(r["kept"] for r in got.values()) >= 297
+
+
 @pytest.mark.parametrize("op, label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
 def test_classifiers(spark, op, label):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
