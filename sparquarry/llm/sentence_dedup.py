@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-Every run of several consecutive sentences is hashed, the hashes are joined over all
-documents, and sentences that a repeated run covers are removed everywhere but at the
-run's first place.
+Every run of so many consecutive sentences is hashed and the hashes are joined over all
+documents. Repeated runs that overlap make up a stretch, and the sentences of a stretch of
+enough words are removed everywhere but at the runs' first places.
 """
 
 from __future__ import annotations
@@ -27,81 +27,91 @@ def sentences(text: str | None) -> list[str]:
     return SENTENCE.findall(text or "")
 
 
-def runs(found: list[str], least: int, least_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, number): from each sentence the shortest run of least sentences and least_words words."""
+def runs(found: list[str], least: int) -> list[int]:
+    """The hash of every run of least sentences, by the run's first sentence."""
     plain = [s.strip() for s in found]
-    counts = [len(s.split()) for s in plain]
-    out, end, held = [], 0, 0
-    for i in range(len(plain)):
-        while end < len(plain) and (end - i < least or held < least_words):
-            held += counts[end]
-            end += 1
-        if end - i < least or held < least_words:
-            break
-        out.append((xxhash.xxh3_64_intdigest("\n".join(plain[i:end])), i, end - i))
-        held -= counts[i]
+    return [xxhash.xxh3_64_intdigest("\n".join(plain[i : i + least])) for i in range(len(plain) - least + 1)]
+
+
+def stretches(starts: list[int], least: int) -> list[tuple[int, int]]:
+    """(first sentence, end) of what runs of least sentences cover together if they overlap; starts ascend."""
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], s + least)
+        else:
+            out.append((s, s + least))
     return out
 
 
-def _all_runs(least: int, least_words: int):
+def _all_runs(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, starts, lengths, again = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, versions, hashes, starts, again = [], [], [], [], []
+            for i, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = runs(sentences(text.as_py()), least)
                 seen: set[int] = set()
-                for h, start, n in runs(sentences(text.as_py()), least, least_words):
-                    ids.append(i)
-                    hashes.append(h)
-                    starts.append(start)
-                    lengths.append(n)
+                for h in own:
                     again.append(h in seen)
                     seen.add(h)
+                ids += [i] * len(own)
+                versions += [version] * len(own)
+                hashes += own
+                starts += range(len(own))
             h = np.array(hashes, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(again, pa.bool_())], ["id", "h", "start", "n", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(h, pa.int64()), pa.array(starts, pa.int32()), pa.array(again, pa.bool_())], ["id", "version", "h", "start", "again"])
 
     return run
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, totals, removed = [], [], []
-        for text, starts, lengths in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            text, starts, lengths = text.as_py(), starts.as_py() or [], lengths.as_py() or []
-            found = sentences(text)
-            drop = np.zeros(len(found), bool)
-            for s, n in zip(starts, lengths, strict=True):
-                drop[s : s + n] = True
-            totals.append(len(found))
-            removed.append(int(drop.sum()))
-            texts.append("".join(s for s, d in zip(found, drop, strict=True) if not d) if drop.any() else text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), batch.column(4), pa.array(texts, pa.string())], ["id", "n_sentences", "n_removed", "first_docs", "text"])
+def _without(least: int, least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, totals, removed, firsts = [], [], [], []
+            for text, late in zip(batch.column(1), batch.column(2), strict=True):
+                text, late = text.as_py(), late.as_py() or []
+                found = sentences(text)
+                first_doc = {x["start"]: x["first_doc"] for x in late}
+                drop, keepers = np.zeros(len(found), bool), set()
+                for s, end in stretches(sorted(first_doc), least):
+                    if sum(len(x.split()) for x in found[s:end]) >= least_words:
+                        drop[s:end] = True
+                        keepers.update(first_doc[i] for i in range(s, end - least + 1))
+                totals.append(len(found))
+                removed.append(int(drop.sum()))
+                firsts.append(sorted(keepers) if keepers else None)
+                texts.append("".join(s for s, d in zip(found, drop, strict=True) if not d) if drop.any() else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["id", "n_sentences", "n_removed", "first_docs", "text"])
+
+    return run
 
 
 def drop_repeated_spans(docs: DataFrame, least: int = 2, least_words: int = 20, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_sentences, n_removed, first_docs, kept, text.
 
-    From every sentence the shortest run of at least least sentences and least_words words
-    is hashed; runs with fewer words say too little to be a passage. Of equal runs the one in
-    the document with the smallest id, there the first, stays; the sentences of all others
-    are removed from text. first_docs are the ids of the documents that keep what was removed
-    here; kept is whether any sentence is left of a text that had some.
+    Every run of least sentences is hashed. Of equal runs the one in the document with the
+    smallest id, there the first, stays; all others are late. Late runs that share sentences
+    are one stretch, whose runs may be from several documents; the sentences of a stretch of
+    at least least_words words are removed from text, and fewer words say too little to be a
+    passage. first_docs are the ids of the documents that have the first places of what was
+    removed here; kept is whether any sentence is left of a text that had some.
 
     A null or blank text has no sentences, is returned as it is and kept. Rows that share an id
-    count as one document: they don't lose what repeats between them, but what repeats within
-    one row. Rows with a null id come after all others. Other columns aren't read. An empty
+    count as one document: they don't lose what repeats between them, but each what repeats within
+    it or was in an earlier document. Rows with a null id come after all others. Other columns aren't read. An empty
     table gives an empty result. Work grows with the number of sentences; a run that a third of
     all documents share is counted before it is shuffled, and its occurrences are joined by
     broadcast or by a join that Spark splits.
     """
-    read = pick(docs, [id_col, text_col]).toDF("id", "text")
-    every = stored(read.mapInArrow(_all_runs(least, least_words), "id long, h long, start int, n int, again boolean"), "runs")
+    read = pick(docs, [id_col, text_col]).toDF("id", "text").withColumn("version", F.xxhash64("text"))
+    every = stored(read.select("id", "version", "text").mapInArrow(_all_runs(least), "id long, version long, h long, start int, again boolean"), "runs")
     last = F.coalesce("id", F.lit((1 << 63) - 1))
     repeated = stored(every.groupBy("h").agg(F.count("*").alias("c"), F.min(last).alias("first_doc")).where("c > 1").select("h", "first_doc"), "repeated")
     late = every.join(sized(repeated, broadcast_rows), "h").where((last > F.col("first_doc")) | F.col("again"))
-    # As many spans as the document has sentences at most.
-    drops = stored(late.groupBy(F.col("id").alias("i_")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")), "drops")
-    joined = read.join(drops, F.col("id").eqNullSafe(F.col("i_")), "left").select("id", "text", "starts", "lengths", "first_docs")
-    out = joined.mapInArrow(_without, "id long, n_sentences long, n_removed long, first_docs array<long>, text string")
+    # As many runs as the text has sentences at most.
+    drops = stored(late.groupBy(F.col("id").alias("i_"), F.col("version").alias("v_")).agg(F.collect_set(F.struct("start", "first_doc")).alias("late")), "drops")
+    joined = read.join(drops, F.col("id").eqNullSafe(F.col("i_")) & (F.col("version") == F.col("v_")), "left").select("id", "text", "late")
+    out = joined.mapInArrow(_without(least, least_words), "id long, n_sentences long, n_removed long, first_docs array<long>, text string")
     discard(every, repeated)
     kept = (F.col("n_sentences") == 0) | (F.col("n_removed") < F.col("n_sentences"))
     return out.select(F.col("id").alias(id_col), "n_sentences", "n_removed", "first_docs", kept.alias("kept"), F.col("text").alias(text_col))

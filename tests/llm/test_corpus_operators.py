@@ -222,6 +222,41 @@ def test_sentence_spans(spark):
     assert drop_repeated_spans(documents(spark, [])).count() == 0
 
 
+def test_sentence_spans_against_brute_force(spark):
+    rng, names = random.Random(8), [f"w{i}" for i in range(4000)]
+    sentence = lambda n: " ".join(rng.choice(names) for _ in range(n)) + "."
+    passages = [[sentence(rng.randint(3, 9)) for _ in range(rng.randint(4, 9))] for _ in range(15)]
+    texts = []
+    for _ in range(60):
+        out = [sentence(rng.randint(3, 12)) for _ in range(3)]
+        for p in rng.sample(passages, 2):
+            a = rng.randrange(len(p) - 2)
+            out += p[a : rng.randint(a + 2, len(p))] + [sentence(rng.randint(3, 12)) for _ in range(2)]
+        texts.append(out)
+    got = {r["doc_id"]: r for r in drop_repeated_spans(documents(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    places, shared = defaultdict(set), 0
+    for i, t in enumerate(texts):
+        # All stretches of two sentences and 20 words or more that one earlier document has.
+        gone = {j for a in range(len(t)) for b in range(a + 2, len(t) + 1) if places[tuple(t[a:b])] and sum(len(x.split()) for x in t[a:b]) >= 20 for j in range(a, b)}
+        left = got[i]["text"]
+        assert not any(t[j] in left for j in gone), i
+        # And whatever goes is in two sentences or more that some earlier document has.
+        pairs = {j for a in range(len(t) - 1) if places[tuple(t[a : a + 2])] for j in (a, a + 1)}
+        assert all(t[j] in left for j in set(range(len(t))) - pairs), i
+        shared += len(gone)
+        for a in range(len(t)):
+            for b in range(a + 2, len(t) + 1):
+                places[tuple(t[a:b])].add(i)
+    assert shared > 100
+
+
+def test_sentence_spans_of_rows_under_one_id(spark):
+    passage = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi rho. Sigma tau upsilon phi chi psi omega one two three."
+    rows = [(1, passage, "en", "a"), (2, passage, "en", "a"), (2, "Own first. Own second. Own third.", "en", "a"), (2, passage, "en", "a")]
+    got = sorted(r["text"] for r in drop_repeated_spans(documents(spark, rows)).collect())
+    assert got == ["", "", passage, "Own first. Own second. Own third."]
+
+
 def base_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at, covered, seen, dup = defaultdict(list), set(), set(), 0
