@@ -7,13 +7,21 @@ hits. Around each hit the two token sequences are laid side by side and compared
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, let, pick, sized, stored
 
-#: 1: the token counts, 0: any token may stand there.
-MASKS = ("1101101111", "1111011011")
+#: From so many tokens of an item, its masks; 1: the token counts, 0: any token may stand there. However a fifth of
+#: an item's tokens, or of 16 in a row of a longer one, are replaced, some mask fits between them (see the tests).
+MASKS = (
+    (5, ("1111", "11011", "11101", "10111")),
+    (10, ("11101", "1000001011")),
+    (15, ("11101011", "11001000111", "10110010011")),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -21,22 +29,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seed_hashes(t: Column, masks: tuple[str, ...]) -> Column:
+def seed_hashes(t: Column, masks: Iterable[str]) -> Column:
     """For an array of tokens, one array of hashes for each mask, by the window's start."""
 
-    def by_mask(h: Column, m: int, mask: str) -> Column:
+    def by_mask(h: Column, mask: str) -> Column:
         at = [i for i, c in enumerate(mask) if c == "1"]
-        windows = F.transform(F.sequence(F.lit(0), F.size(h) - len(mask)), lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + j if j else i) for j in at]))
+        windows = F.transform(F.sequence(F.lit(0), F.size(h) - len(mask)), lambda i: F.xxhash64(F.lit(int(mask, 2)), *[F.get(h, i + j if j else i) for j in at]))
         return F.when(F.size(h) >= len(mask), windows).otherwise(F.array().cast("array<long>"))
 
-    return let(F.transform(t, lambda w: F.xxhash64(w)), lambda h: F.array(*[by_mask(h, m, mask) for m, mask in enumerate(masks)]))
+    return let(F.transform(t, lambda w: F.xxhash64(w)), lambda h: F.array(*[by_mask(h, mask) for mask in masks]))
 
 
-def _windows(df: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keys, at, hash for each window; masks of one length have equally many windows."""
-    by_mask = df.select(*keys, seed_hashes(F.col("t"), masks).alias("h"))
-    flat = by_mask.select(*keys, F.greatest(F.lit(1), F.size(F.get("h", F.lit(0)))).alias("each"), F.flatten("h").alias("h"))
-    return flat.select(*keys, "each", F.posexplode("h").alias("p", "hash")).select(*keys, (F.col("p") % F.col("each")).alias("at"), "hash")
+def _windows(df: DataFrame, keys: list[str], masks: Iterable[str]) -> DataFrame:
+    """keys, at, hash for each window of each mask."""
+    return df.select(*keys, F.explode(seed_hashes(F.col("t"), masks)).alias("h")).select(*keys, F.posexplode("h").alias("at", "hash"))
 
 
 def _best_window(same: Column, length: Column) -> Column:
@@ -46,14 +52,15 @@ def _best_window(same: Column, length: Column) -> Column:
     return F.when(F.size(same) >= length, F.array_max(sums)).otherwise(F.lit(0))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 16, percent: int = 80, least_tokens: int = 5, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 16, percent: int = 80, least_tokens: int = 5, masks: tuple[tuple[int, tuple[str, ...]], ...] = MASKS, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, contaminated, kept, items, overlap.
 
     A document is contaminated if it holds window tokens in a row of which percent at least
     are those of an item at the same places, with a hit of a mask on that diagonal; an item
-    of fewer tokens must be there as a whole. Items shorter than a mask must be there word
-    for word; items of under least_tokens tokens are left out. items are the ids found,
-    overlap the best share of equal tokens.
+    of fewer tokens must be there as a whole, with percent of its tokens at least. With the
+    window and percent given here, masks have a hit on every such diagonal. Items of under
+    least_tokens tokens are left out. items are the ids found, overlap the best share of
+    equal tokens.
 
     Null or blank texts and items match nothing. Repeated rows are judged alike, rows that
     share an id by their own texts; null ids are ordinary. Other columns aren't read. Empty
@@ -62,14 +69,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 16, perce
     """
     read = pick(docs, [id_col, text_col]).toDF("id", "text").withColumn("version", F.xxhash64("text"))
     items = stored(pick(benchmark, ["item_id", "text"]).select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= least_tokens).distinct(), "items")
-    span = len(masks[0])
-    # Items shorter than the masks: at most span - least_tokens lengths, each with a mask of its own.
-    short = [r["n"] for r in items.where(F.size("t") < span).select(F.size("t").alias("n")).distinct().orderBy("n").collect()]
-    seeds = _windows(items.where(F.size("t") >= span), ["item_id"], masks)
-    found = _windows(read.select("id", "version", tokens(F.col("text")).alias("t")), ["id", "version"], masks)
-    for n in short:
-        seeds = seeds.union(_windows(items.where(F.size("t") == n), ["item_id"], ("1" * n,)))
-        found = found.union(_windows(read.select("id", "version", tokens(F.col("text")).alias("t")), ["id", "version"], ("1" * n,)))
+    # Items by the masks of their lengths; documents have those masks that some item has.
+    bands = [(own, F.size("t").between(low, high - 1)) for (low, own), (high, _) in pairwise([*masks, (1 << 31, ())])]
+    lengths = items.select(*[F.count_if(fits).alias(f"n{k}") for k, (_, fits) in enumerate(bands)]).first()
+    bands = [band for band, n in zip(bands, lengths, strict=True) if n] or bands[-1:]
+    seeds = None
+    for own, fits in bands:
+        more = _windows(items.where(fits), ["item_id"], own)
+        seeds = more if seeds is None else seeds.union(more)
+    every = dict.fromkeys(mask for own, _ in bands for mask in own)
+    found = _windows(read.select("id", "version", tokens(F.col("text")).alias("t")), ["id", "version"], every)
     seeds = stored(seeds.distinct(), "seeds")
     hits = found.join(sized(seeds.withColumnRenamed("at", "item_at"), broadcast_rows), "hash")
     hits = stored(hits.select("id", "version", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).distinct(), "hits")

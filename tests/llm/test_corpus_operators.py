@@ -1,6 +1,8 @@
 """Every corpus operator on awkward rows, and against brute force, round trips or held-out rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparquarry.llm import chat, minhash, quality, quality_rules, token_output, toxicity
+from sparquarry.llm import chat, decontamination, minhash, quality, quality_rules, token_output, toxicity
 from sparquarry.llm.components import connected_components
 from sparquarry.llm.decontamination import contamination
 from sparquarry.llm.mixing import mixture
@@ -210,6 +212,32 @@ def test_decontamination(spark):
     assert "Python" not in every._jdf.queryExecution().executedPlan().toString()
 
 
+def test_masks_fit_every_accepted_pattern():
+    for n in range(5, 17):
+        masks = [own for low, own in decontamination.MASKS if low <= n][-1]
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n)):
+            assert any(all(i + j not in gone for j, c in enumerate(m) if c == "1") for m in masks for i in range(n - len(m) + 1)), (n, gone)
+
+
+def test_decontamination_of_replaced_words(spark):
+    rng, names = random.Random(9), [f"t{i}" for i in range(5000)]
+    items = [(n, [rng.choice(names) for _ in range(n)]) for n in (5, 7, 9, 10, 12, 15, 16, 17, 20, 30)]
+    rows, want = [], {}
+    for n, t in items:
+        span, first = min(n, 16), rng.randrange(max(1, n - 15))
+        for more in (0, 1):
+            for _ in range(15):
+                gone = {first + i for i in rng.sample(range(span), span - math.ceil(0.8 * span) + more)}
+                # Outside the window nothing is left of the item.
+                edited = [w if first <= i < first + span and i not in gone else f"x{i}" for i, w in enumerate(t)]
+                want[len(rows)] = not more
+                rows.append((len(rows), " ".join([*rng.choices(names, k=20), *edited, *rng.choices(names, k=20)]), "en", "a"))
+    rows.append((len(rows), " ".join(w if i % 5 else "zz" for i, w in enumerate(items[-1][1])), "en", "a"))
+    want[len(rows) - 1] = True
+    got = contamination(documents(spark, rows), spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string"))
+    assert {r["doc_id"]: r["contaminated"] for r in got.collect()} == want
+
+
 def test_sentence_spans(spark):
     passage = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi rho. Sigma tau upsilon phi chi psi omega one two three."
     rows = [(2, f"Own start of two. {passage} Own end of two here.", "en", "a"), (1, f"First. {passage}", "en", "a"), (3, "Nothing here repeats. It is short.", "en", "a"), (4, "Nothing here repeats. It is short.", "en", "a"), (5, f"{passage} Middle part. {passage}", "en", "a")]
