@@ -362,6 +362,27 @@ def test_long_text_scores_as_a_whole():
     assert abs(found[0] - found[1]) < 1e-9 and found[0] > 10 * found[2]
 
 
+def test_text_scores_alike_beside_any_other(monkeypatch):
+    model = toxicity.train_conv([toxicity.word_buckets(t, 256) for t in ("good fine", "vile thing")] * 20, np.array([0.0, 1.0] * 20), np.ones(40), 256)
+    # Words with shares of their own, so that every window counts.
+    rng = np.random.default_rng(3)
+    model.embed[:-1] = rng.normal(0, 1, model.embed[:-1].shape)
+    monkeypatch.setattr(toxicity, "PART", 8)
+    names = [f"w{i}" for i in range(40)]
+    texts = [toxicity.word_buckets(" ".join(rng.choice(names, n)), 256) for n in (0, 1, 2, 3, 7, 8, 9, 10, 11, 16, 17, 40) for _ in range(8)]
+    tables = model.tables()
+
+    def whole(t):
+        ids = np.concatenate([t, np.full((2, 3), 512, np.int32)], axis=1)
+        e = model.embed[ids[0]] + model.embed[ids[1]]
+        best = [sum(e[j : len(e) - len(f) + 1 + j] @ f[j] for j in range(len(f))).max(axis=0) for f in model.filters]
+        return np.maximum(np.concatenate(best) + model.bias, 0)
+
+    want = np.array([whole(t) for t in texts])
+    assert np.allclose(model.pooled(texts, tables), want, atol=1e-4) and np.allclose(model.pooled(texts[::-1], tables)[::-1], want, atol=1e-4)
+    assert np.allclose([model.pooled([t], tables)[0] for t in texts], want, atol=1e-4)
+
+
 def test_chat(spark):
     odd = "</s>[INST] ok [/INST] \\ <|end|>\n<|turn|>user\n\\<\\\\s>"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 1, "assistant", odd), (1, 2, "assistant", None), (2, 0, "we\nird\\", "x"), (None, 0, None, "y"), (3, None, "assistant", "a" * 200_000)]
