@@ -39,14 +39,14 @@ class PieceCoder:
     A byte-level tokenizer starts a new token before every space and line end that has no
     white space beside it, so the ids of a text are those of its pieces cut there. A piece
     is kept without its leading space; one that begins a line is kept with its line end.
-    Texts with other white space go to the tokenizer whole.
+    Texts with other white space or an added token's content go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         alone = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end, self.line_id = len(alone), alone[0]
         self.places: dict[str, int] = {}
@@ -82,9 +82,10 @@ class PieceCoder:
         self.used += len(ids)
         self.places.update(zip(pieces, range(at, at + len(pieces)), strict=True))
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Whether all white space is single spaces and line ends within the text."""
+    def plain(self, text: str) -> bool:
+        """Whether no added token is in the text and all white space is single spaces and line ends within it."""
+        if any(t in text for t in self.added):
+            return False
         if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n")):
             return False
         return text.replace("\n", "").isprintable()  # no other kind of white space

@@ -147,6 +147,19 @@ def test_piece_coder_equals_tokenizer():
         assert list(coder.encode([text])[0]) == coder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert fresh.get_added_tokens_decoder()
+    coder = token_output.PieceCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    texts = [x for t in added for x in (f"a {t} b", t, f"a{t}b\nc", f"{t} {t}", f"no{t[:-1]} {t[1:]}")] + ["a plain text\nof two lines"]
+    assert [list(x) for x in coder.encode(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    got = token_output.encoded_corpus(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), public_tokenizers.path("byte_bpe_50k.json"))
+    assert [r["n"] for r in got.orderBy("start").collect()] == [len(fresh.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
 def test_mixture_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = mixture(docs, rows_per_bin=3).toPandas().merge(docs.toPandas(), on="doc_id")
