@@ -8,14 +8,16 @@ the parts of a block be decoded side by side, and checksums guard stream and ids
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,10 +27,16 @@ from .common import discard, new_path, pick, sized, stored, written
 
 #: The coder's state stays at LOW or above and gives off 32 bits at a time.
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
-#: Pieces of text whose ids a worker remembers; when they are more it forgets the later half.
-REMEMBERED = 900_000
+#: Pieces of text whose ids a worker remembers; when they are more it forgets the rare ones.
+REMEMBERED = 700_000
 #: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on in their order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+#: ASCII signs, but for the apostrophe: after letters, a run of them is a word of its own to a byte-level tokenizer.
+SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
 _loaded: dict = {}
 
@@ -51,7 +59,24 @@ class PieceCoder:
         self.line_end, self.line_id = len(alone), alone[0]
         self.places: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.ends = np.zeros(REMEMBERED + 1, np.int32)
+        self.ends, self.hits = np.zeros(REMEMBERED + 1, np.int32), np.zeros(REMEMBERED + 1, np.uint8)
+        parts = json.loads(tokenizer_json)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        #: Whether a space and letters are one word for the model, spelt in the byte-level alphabet.
+        self.words_to_model = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and (parts["pre_tokenizer"] or {}).items() >= byte_level.items()
+
+    def ask_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of letters and then signs, each after a space, from the library's model without its splitting."""
+        tokenize, space = self.tokenizer.model.tokenize, BYTE_LETTERS[32]
+        found, n = [], []
+        for p in pieces:
+            word = p.rstrip(SIGNS)
+            ids = [t.id for t in tokenize(space + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)))]
+            if len(word) < len(p):
+                ids += [t.id for t in tokenize(p[len(word) :])]
+            found += ids
+            n.append(len(ids))
+        return np.array(found, np.uint32), np.array(n, np.int64)
 
     def ask(self, pieces: list[str], begin_lines: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after another, and how many each has.
@@ -67,11 +92,19 @@ class PieceCoder:
         n = np.diff(np.append(np.flatnonzero(between), len(ids)))
         return (ids, n) if begin_lines else (ids[~between], n - 1)
 
-    def forget(self, kept: int) -> int:
-        """Keep only the pieces that were learned first; the frequent ones are among them."""
-        self.places = dict(islice(self.places.items(), kept))
-        self.used = int(self.ends[kept])
-        return kept
+    def forget(self) -> None:
+        """Keep the pieces that most groups of texts had, at most half of them and none that only one had."""
+        n = len(self.places)
+        order = np.argsort(-self.hits[:n].astype(np.int16), kind="stable")[: n // 2]
+        kept = np.sort(order[self.hits[order] > 1])
+        begin, size = self.ends[kept], self.ends[kept + 1] - self.ends[kept]
+        end = np.cumsum(size, dtype=np.int32)
+        self.used = int(size.sum())
+        self.pool[: self.used] = self.pool[np.repeat(begin - (end - size), size) + np.arange(self.used, dtype=np.int32)]
+        self.ends[1 : len(kept) + 1] = end
+        self.hits[: len(kept)], self.hits[len(kept) :] = self.hits[kept] // 2, 0
+        names = list(self.places)
+        self.places = {names[i]: at for at, i in enumerate(kept.tolist())}
 
     def remember(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         at = len(self.places)
@@ -90,38 +123,49 @@ class PieceCoder:
             return False
         return text.replace("\n", "").isprintable()  # no other kind of white space
 
+    def learn(self, new: list[str]) -> None:
+        words, others, lines = [], [], []
+        for p in new:
+            if p[:1] == "\n":
+                lines.append(p)
+            else:
+                # Letters beyond these may be none yet to the library.
+                word = p.rstrip(SIGNS)
+                (words if self.words_to_model and word.isalpha() and (word.isascii() or max(word) < "\u0250") else others).append(p)
+        for pieces, ask in ((words, self.ask_words), (others, lambda x: self.ask(x, False)), (lines, lambda x: self.ask(x, True))):
+            if pieces:
+                self.remember(pieces, *ask(pieces))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; the tokenizer is asked once for all new pieces of all texts."""
+        """The ids of each text. Pieces are looked up once for all texts, and the tokenizer is asked for new ones."""
         plain = [bool(t) and self.plain(t) for t in texts]
         out = [None if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
-        cuts = [("\n" + t.replace("\n", " \n")).split(" ") for t, p in zip(texts, plain, strict=True) if p]
-        if not cuts:
+        cut = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), " ")
+        if not len(cut):
             return out
-        flat = list(chain.from_iterable(cuts))
-        at = np.fromiter(map(self.places.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = dict.fromkeys([flat[i] for i in missing])
-            if len(self.places) + len(new) > len(self.ends) - 1:
-                kept = self.forget(len(self.places) // 2)
-                missing = np.flatnonzero((at < 0) | (at >= kept)).tolist()
-                new = dict.fromkeys([flat[i] for i in missing])
-            if len(self.places) + len(new) > len(self.ends) - 1:  # these texts alone need more
-                self.forget(0)
-                missing, new = range(len(flat)), dict.fromkeys(flat)
-                self.ends = np.zeros(max(REMEMBERED, len(new)) + 1, np.int32)
-            for begin_lines in (False, True):
-                part = [p for p in new if (p[0] == "\n") == begin_lines]
-                if part:
-                    self.remember(part, *self.ask(part, begin_lines))
-            at[missing] = [self.places[flat[i]] for i in missing]
+        flat = cut.values.dictionary_encode()
+        pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.places) + len(missing) > len(self.ends) - 1:
+                self.forget()
+                at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+                missing = np.flatnonzero(at < 0)
+            more = len(self.places) + len(missing) + 1 - len(self.ends)
+            if more > 0:  # these texts alone need more
+                self.ends, self.hits = np.append(self.ends, np.zeros(more, np.int32)), np.append(self.hits, np.zeros(more, np.uint8))
+            new = [pieces[i] for i in missing.tolist()]
+            self.learn(new)
+            at[missing] = [self.places[p] for p in new]
+        self.hits[at] += self.hits[at] < 200
+        at = at[flat.indices.to_numpy()]
         begin = self.ends[at]
         n = self.ends[at + 1] - begin
         end = np.cumsum(n, dtype=np.int32)
         ids = self.pool[np.repeat(begin - (end - n), n) + np.arange(end[-1], dtype=np.int32)]
         # Every text was given a line end in front.
-        last = np.cumsum([len(c) for c in cuts])
-        parts = iter(np.split(ids, end[last[:-1] - 1]))
+        parts = iter(np.split(ids, end[cut.offsets.to_numpy()[1:-1] - 1]))
         return [next(parts)[self.line_end :] if p else x for x, p in zip(out, plain, strict=True)]
 
 
