@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -15,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (spark.checkpoint.dir); a local one only where it is unset."""
+    """The cluster's shared scratch folder (spark.checkpoint.dir); with a local master a local one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-sparquarry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -66,7 +69,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -79,6 +82,16 @@ def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def sized(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
-    """df, which must be cheap to count (a stored table), with a broadcast hint only if it has few rows."""
+def sized(df: DataFrame, most_rows: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """df with a broadcast hint only if it has few rows and the files that it reads are small together.
+
+    df must be cheap to count: a stored table or columns of one.
+    """
+    conf, total = df.sparkSession._jsc.hadoopConfiguration(), 0
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for file in df.inputFiles():
+        p = path(file)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if total > most_bytes:
+            return df
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
