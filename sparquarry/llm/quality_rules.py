@@ -2,8 +2,9 @@
 
 The statistics of the documents that pass the limits are transformed and, for every
 language and source, their minimum-covariance-determinant centre and scatter are found
-by concentration steps: the closest half of the rows gives the next estimate. Rows too
-far away by Mahalanobis distance are rejected. All of it is DataFrame operations.
+by concentration steps: the closest half of the rows gives the next estimate. Estimates of
+few rows are drawn towards those of their language. Rows too far away by Mahalanobis
+distance are rejected. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -87,27 +88,29 @@ def _quantiles(binned: DataFrame, keys: list[str], shares: dict[str, float]) ->
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("bin") + 1) * BIN)).alias(name) for name, share in shares.items()])
 
 
+def _names(letter: str) -> list[str]:
+    """Columns of a lower triangle: letter_i_j with i >= j."""
+    return [f"{letter}_{i}_{j}" for i in range(D) for j in range(i + 1)]
+
+
+MEANS = [f"m_{i}" for i in range(D)]
+
+
 def _with_inverse(params: DataFrame, keys: tuple[str, ...] = ("g",)) -> DataFrame:
     """From means m_i and scatter s_i_j (i >= j), the inverse v_i_j of its Cholesky factor, beside the keys."""
-    for i in range(D):
-        for j in range(i + 1):
-            rest = F.col(f"s_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
     for j in range(D):
-        params = params.withColumn(f"v_{j}_{j}", 1 / F.col(f"l_{j}_{j}"))
-        for i in range(j + 1, D):
-            params = params.withColumn(f"v_{i}_{j}", -sum((F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l_{i}_{i}"))
-    return params.select(*keys, *[f"m_{i}" for i in range(D)], *[f"v_{i}_{j}" for i in range(D) for j in range(i + 1)])
+        rest = {i: " - ".join([f"s_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))]) for i in range(j, D)}
+        params = params.selectExpr("*", f"sqrt(greatest({rest[j]}, 1e-12D)) AS l_{j}_{j}")
+        params = params.selectExpr("*", f"1 / l_{j}_{j} AS v_{j}_{j}", *[f"({rest[i]}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, D)])
+    for below in range(1, D):
+        params = params.selectExpr("*", *[f"-({' + '.join(f'l_{j + below}_{k} * v_{k}_{j}' for k in range(j, j + below))}) / l_{j + below}_{j + below} AS v_{j + below}_{j}" for j in range(D - below)])
+    return params.select(*keys, *MEANS, *_names("v"))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x_i under m_i and v_i_j."""
-    return sum((F.pow(sum((F.col(f"v_{i}_{j}") * (F.col(f"x_{j}") - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0)), F.lit(2.0)) for i in range(D)), F.lit(0.0))
-
-
-def _log_det() -> Column:
-    """The logarithm of the scatter's determinant, from v_i_j."""
-    return -2 * sum((F.log(f"v_{i}_{i}") for i in range(D)), F.lit(0.0))
+#: Squared Mahalanobis distance of x_i under m_i and v_i_j.
+DISTANCE = " + ".join("pow(" + " + ".join(f"v_{i}_{j} * (x_{j} - m_{j})" for j in range(i + 1)) + ", 2D)" for i in range(D))
+#: The logarithm of the scatter's determinant, from v_i_j.
+LOG_DET = "-2 * (" + " + ".join(f"ln(v_{i}_{i})" for i in range(D)) + ")"
 
 
 def _starts(binned: DataFrame, part: float) -> DataFrame:
@@ -130,108 +133,126 @@ def _starts(binned: DataFrame, part: float) -> DataFrame:
     for i in range(D):
         for j in range(i):
             first = first.withColumn(f"s_{i}_{j}", F.lit(0.0))
-    return _with_inverse(stored(first, "start"), ("g", "k"))
+    return _with_inverse(first, ("g", "k"))
 
 
 def _closest(rows: DataFrame, now: DataFrame, part: float, beyond: float, scale: float) -> DataFrame:
-    """The next estimates by g and k, from the rows within beyond times the squared distance that holds part of them.
+    """The next means m_i and scatter s_i_j by g and k, from the rows within beyond times the squared distance that holds part of them.
 
     Counts and moments are summed by bin of the distance, so that one pass finds limit and moments.
     """
     floors = list(STATISTICS.values())
-    x = [F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(D)]  # by the last centre, against cancellation
     pairs = [(i, j) for i in range(D) for j in range(i + 1)]
-    far = rows.join(now, "g").withColumn("d", _distance())
-    bins = far.groupBy("g", "k", F.floor(F.log(F.col("d") + 1e-9) / BIN).alias("bin")).agg(
-        F.count("*").alias("c"),
-        F.first(_log_det()).alias("before"),
-        *[F.first(f"m_{i}").alias(f"o_{i}") for i in range(D)],
-        *[F.sum(x[i]).alias(f"a_{i}") for i in range(D)],
-        *[F.sum(x[i] * x[j]).alias(f"p_{i}_{j}") for i, j in pairs],
+    # Moments by the last centre, against cancellation.
+    away = [f"x_{i} - m_{i} AS y_{i}" for i in range(D)]
+    far = rows.join(now, "g").selectExpr("g", "k", f"{DISTANCE} AS d", f"{LOG_DET} AS log_det", *MEANS, *away)
+    bins = far.groupBy("g", "k", F.expr(f"floor(ln(d + 1e-9D) / {BIN}D)").alias("bin")).agg(
+        F.expr("count(*) AS c"),
+        F.expr("first(log_det) AS before"),
+        *[F.expr(f"first(m_{i}) AS o_{i}") for i in range(D)],
+        *[F.expr(f"sum(y_{i}) AS a_{i}") for i in range(D)],
+        *[F.expr(f"sum(y_{i} * y_{j}) AS p_{i}_{j}") for i, j in pairs],
     )
-    own = W.partitionBy("g", "k")
-    upto = bins.withColumn("upto", F.sum("c").over(own.orderBy("bin"))).withColumn("all", F.sum("c").over(own))
-    limit = F.min(F.when(F.col("upto") >= part * F.col("all"), F.col("bin"))).over(own)
-    near = upto.withColumn("most", limit).where(F.col("bin") <= F.col("most") + math.floor(math.log(beyond) / BIN))
-    n = F.sum("c")
-    sums = near.groupBy("g", "k").agg(F.first("before").alias("before"), *[F.first(f"o_{i}").alias(f"o_{i}") for i in range(D)], *[(F.sum(f"a_{i}") / n).alias(f"a_{i}") for i in range(D)], *[(F.sum(f"p_{i}_{j}") / n).alias(f"p_{i}_{j}") for i, j in pairs])
-    moved = sums.select(
+    upto = bins.selectExpr("*", "sum(c) OVER (PARTITION BY g, k ORDER BY bin) AS upto", "sum(c) OVER (PARTITION BY g, k) AS all")
+    near = upto.selectExpr("*", f"min(CASE WHEN upto >= {part}D * all THEN bin END) OVER (PARTITION BY g, k) AS most").where(f"bin <= most + {math.floor(math.log(beyond) / BIN)}")
+    sums = near.groupBy("g", "k").agg(F.expr("first(before) AS before"), *[F.expr(f"first(o_{i}) AS o_{i}") for i in range(D)], *[F.expr(f"sum(a_{i}) / sum(c) AS a_{i}") for i in range(D)], *[F.expr(f"sum(p_{i}_{j}) / sum(c) AS p_{i}_{j}") for i, j in pairs])
+    return sums.selectExpr(
         "g",
         "k",
         "before",
-        *[(F.col(f"o_{i}") + F.col(f"a_{i}")).alias(f"m_{i}") for i in range(D)],
-        *[(scale * (F.col(f"p_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) + (floors[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in pairs],
+        *[f"o_{i} + a_{i} AS m_{i}" for i in range(D)],
+        *[f"{scale}D * (p_{i}_{j} - a_{i} * a_{j}) + {floors[i] ** 2 if i == j else 0.0}D AS s_{i}_{j}" for i, j in pairs],
     )
-    return _with_inverse(moved, ("g", "k", "before"))
 
 
-def robust_estimates(rows: DataFrame, part: float = 0.5, most_steps: int = 30) -> DataFrame:
-    """By group g, centre and inverse factor of the scatter of x_0..x_4: a table of one row a group.
+def robust_estimates(rows: DataFrame, groups: DataFrame, part: float = 0.5, most_steps: int = 30) -> DataFrame:
+    """By group g, centre m_i and scatter s_i_j of x_0..x_4: a table of one row a group.
 
     From three starts, every step takes the rows within the distance that holds part of the
-    group, and their mean and covariance, scaled to be right for normal data. Steps end when
-    no determinant's logarithm falls by a bin any more, and the smallest of a group counts. The
-    rows that normal data would have within the quantile of 0.975, as measured by the
-    distance that holds part, then give the final estimate. Bins give the quantiles, so that
-    they don't depend on how rows are dealt out; nothing is gathered by group but sums and
-    bins.
+    group, and their mean and covariance, scaled to be right for normal data. After two steps
+    the start with the smallest determinant goes on, until no determinant's logarithm falls by
+    a bin any more. The rows that normal data would have within the quantile of 0.975, as
+    measured by the distance that holds part, then give the final estimate. Bins give the
+    quantiles, so that they don't depend on how rows are dealt out; nothing is gathered by
+    group but sums and bins. groups is a table with one row for each g; estimates are
+    broadcast while it is small.
     """
     inner, outer = chi2_quantile(part, D), chi2_quantile(0.975, D)
+    # There are three estimates a group at most.
+    few = sized(groups, 10_000) is not groups
+    by_k, together = ("g", "k", "before"), 3
+
+    def near(now: DataFrame, beyond: float, scale: float) -> DataFrame:
+        return _closest(rows, F.broadcast(now) if few else now, part, beyond, scale)
+
+    def steps(now: DataFrame, n: int) -> DataFrame:
+        for _ in range(n):
+            now = _with_inverse(near(now, 1.0, part / chi2_cdf(inner, D + 2)), by_k)
+        return now
+
     # Bins of all statistics in one pass.
     long = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x_{i}") / BIN).alias("bin")) for i in range(D)])).alias("e"))
-    now = stored(_starts(long.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("c")), part), "estimates")
-    for _ in range(most_steps):
-        after = stored(_closest(rows, sized(now), part, 1.0, part / chi2_cdf(inner, D + 2)), "estimates")
-        discard(now)
-        now = after
-        moved = now.agg(F.max(F.col("before") - _log_det())).first()[0]
+    starts = stored(_starts(long.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("c")), part), "starts")
+    first = stored(steps(starts, 2), "estimates")
+    best = first.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy(F.expr(LOG_DET), "k"))).where("place = 1").drop("place")
+    now, used = stored(best, "estimates"), [starts, first]
+    for _ in range(2, most_steps, together):
+        used.append(now)
+        now = stored(steps(now, together), "estimates")
+        moved = now.agg(F.expr(f"max(before - ({LOG_DET}))")).first()[0]
         if moved is None or moved < BIN:
             break
-    best = stored(now.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy(_log_det(), "k"))).where("place = 1").drop("place", "before"), "best")
-    out = stored(_closest(rows, sized(best), part, outer / inner, 0.975 / chi2_cdf(outer, D + 2)).drop("k", "before"), "estimates")
-    discard(now, best)
+    out = stored(near(now, outer / inner, 0.975 / chi2_cdf(outer, D + 2)).drop("k", "before"), "estimates")
+    discard(*used, now)
     return out
 
 
-def quality_rules(docs: DataFrame, loss: float = 0.01, least_group: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def _moments(by: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys, the centre and scatter of groups (n, m_i, s_i_j) put together, and their n."""
+    pairs = [(i, j) for i in range(D) for j in range(i + 1)]
+    sums = by.groupBy(*keys).agg(F.expr("sum(n) AS n"), *[F.expr(f"sum(n * m_{i}) / sum(n) AS m_{i}") for i in range(D)], *[F.expr(f"sum(n * (s_{i}_{j} + m_{i} * m_{j})) / sum(n) AS q_{i}_{j}") for i, j in pairs])
+    return sums.selectExpr(*keys, "n", *MEANS, *[f"q_{i}_{j} - m_{i} * m_{j} AS s_{i}_{j}" for i, j in pairs])
+
+
+def _drawn(own: DataFrame, to: DataFrame, keys: list[str], prior: float) -> DataFrame:
+    """own's centres and scatters, drawn by prior / (n + prior) towards those of its language in to, or of to's only row."""
+    names, by_lang = [*MEANS, *_names("s")], "lang" in to.columns
+    t = to.selectExpr(*(["lang AS l_"] if by_lang else []), *[f"{c} AS to_{c}" for c in names])
+    both = own.join(t, F.col("lang").eqNullSafe(F.col("l_"))) if by_lang else own.join(F.broadcast(t))
+    return both.selectExpr(*keys, "n", *[f"({c} * n + to_{c} * {prior}D) / (n + {prior}D) AS {c}" for c in names])
+
+
+def quality_rules(docs: DataFrame, loss: float = 0.01, prior: float = 50.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: id, the counts, base_failed, distance and kept.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. The
     others are judged by their language's and source's estimates, in which copies of a text
-    count once: kept unless the squared distance is beyond the chi-squared quantile of
-    1 - loss / n for a group of n texts, n rounded up to a power of 2, so that a group of
-    normal data loses no row in all but a share loss of cases. Groups of under least_group
-    texts are put together by language, and what is then still small into one last group;
-    if that is small too, its rows are kept. Null is a language or source of its own. Null
-    and blank texts have counts of 0 and fail. Repeated rows count as often as they occur;
-    a null id changes nothing. Other columns aren't read. An empty table gives an empty
-    result.
+    count once. The estimate of n texts is drawn towards that of the whole language, and this
+    one towards that of all languages, by prior / (n + prior), so that a few texts are judged
+    mostly as others of their language are, and many as their own group. A row is kept unless
+    its squared distance is beyond the chi-squared quantile of 1 - loss / (n + prior), the sum
+    rounded up to a power of 2, so that a group of normal data loses no row in all but a share
+    loss of cases. Null is a language or source of its own. Null and blank texts have counts
+    of 0 and fail. Repeated rows count as often as they occur; a null id changes nothing.
+    Other columns aren't read. An empty table gives an empty result.
     """
     read = pick(docs, [id_col, text_col, lang_col, source_col]).toDF("id", "text", "lang", "source")
     counted = read.select("id", "lang", "source", F.xxhash64("text").alias("copy"), base_statistics(F.col("text")).alias("b"))
-    counted = counted.select("id", "lang", "source", "copy", F.col("b.w.n_words"), F.col("b.w.word_chars"), F.col("b.n_symbols"), F.col("b.n_dup_lines"), F.col("b.w.n_repeat_words"))
+    counted = counted.select("id", F.to_json(F.struct("lang", "source")).alias("g"), "lang", "copy", F.col("b.w.n_words"), F.col("b.w.word_chars"), F.col("b.n_symbols"), F.col("b.n_dup_lines"), F.col("b.w.n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = stored(counted.withColumn("base_failed", failed), "counts")
 
-    passed = stored(counted.where("not base_failed").drop("id").distinct(), "texts")
-    sizes = stored(passed.groupBy("lang", "source").agg(F.count("*").alias("c")), "sizes")
-    small = F.col("c") < least_group
-    by_lang = W.partitionBy("lang")
-    pooled = F.sum(F.when(small, F.col("c"))).over(by_lang)
-    name = F.when(~small, F.to_json(F.struct(F.lit(1).alias("k"), "lang", "source"))).when(pooled >= least_group, F.to_json(F.struct(F.lit(2).alias("k"), "lang"))).otherwise(F.lit("rest"))
-    groups = stored(sizes.select("lang", "source", name.alias("g")), "groups")
-
-    def grouped(df: DataFrame) -> DataFrame:
-        g = sized(groups.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "g"))
-        return df.join(g, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
-
     x = [c.alias(f"x_{i}") for i, c in enumerate(_statistics().values())]
-    estimates = robust_estimates(stored(grouped(passed).select("g", *x), "statistics"))
-    members = sizes.join(groups, (sizes.lang.eqNullSafe(groups.lang)) & (sizes.source.eqNullSafe(groups.source))).groupBy("g").agg(F.sum("c").alias("members"))
+    passed = stored(counted.where("not base_failed").drop("id").distinct().select("g", "lang", *x), "statistics")
+    groups = stored(passed.groupBy("g").agg(F.count("*").alias("n"), F.first("lang").alias("lang")), "groups")
+    own = stored(robust_estimates(passed, groups).join(groups, "g"), "own")
+    by_lang = stored(_moments(own, ["lang"]), "by_lang")
+    drawn = _drawn(own, _drawn(by_lang, _moments(by_lang, []), ["lang"], prior), ["g"], prior)
     limits = F.array(*[F.lit(chi2_quantile(1 - loss / 2**j, D)) for j in range(41)])
-    enough = stored(members.where(F.col("members") >= least_group).select("g", F.element_at(limits, F.least(F.lit(41), F.ceil(F.log2("members")).cast("int") + 1)).alias("limit")), "enough")
-    known = stored(estimates.join(enough, "g"), "known")
-    judged = grouped(counted).join(sized(known), "g", "left")
-    judged = judged.select("*", *x).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True))
+    limit = F.element_at(limits, F.least(F.lit(41), F.ceil(F.log2(F.col("n") + prior)).cast("int") + 1))
+    known = stored(_with_inverse(drawn.withColumn("limit", limit), ("g", "limit")), "known")
+    judged = counted.join(sized(known), "g", "left")
+    judged = judged.select("*", *x).withColumn("distance", F.when(~F.col("base_failed"), F.expr(DISTANCE)))
+    kept = ~F.col("base_failed") & (F.col("distance") <= F.col("limit"))
+    discard(passed, groups, own, by_lang)
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
