@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, pick, sized, stored
+from .common import WORD, discard, sized, stored
 
 
 def quality_weight(text: Column) -> Column:
@@ -44,55 +44,70 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: float) -> D
     return final.select("source", "source_size", F.when(F.col("is_cut") | F.col("level").isNull(), F.col("cap")).otherwise(F.col("level.share") * F.col("weight")).alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, rows_per_bin: int = 20_000, seed: int = 17, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: id, size, source_size, target and taken, the words that the mix takes.
+def sampling_key(seed: int, identity: Column, text: Column, value: Column) -> Column:
+    """An exponential deviate over a weight, from a hash of id and text as a number above 0 and below 1."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(identity.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return -F.log(u) / value
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, bins: int = 4096, seed: int = 17, weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: id, size, source_size, target and taken, the words that the mix takes (and row, a struct of the keep columns).
 
     Size is the number of words. In each epoch a document is taken whole, but for the one
     across the end of its source's target, which gives its words up to there. So a source
     takes its target, rounded down, and no document exceeds most times its size, rounded
-    up to whole epochs. weight (a column of docs) replaces quality_weight. Keys come from
-    a hash of id and text, so reruns agree, and copies with one id are taken together or
-    not by position among equal keys. Null or blank texts have size 0 and take 0; a null
-    source is a source of its own, named last; null ids are ordinary. Other columns aren't
-    read. A source without any words has target 0. An empty table gives an empty result.
-
-    Running sums go by bins of the key first, so that no task orders a whole source: a bin
-    holds about rows_per_bin rows, and only the bin in which a source's rest ends is sorted.
+    up to whole epochs. weight (a column of docs, above 0) replaces quality_weight. Keys come
+    from a hash of id and text, so reruns agree; copies with one id have one key and are taken
+    one after another. Null or blank texts have size 0 and take 0; a null source is a source
+    of its own, named last; null ids are ordinary. Other columns aren't read. A source without
+    any words has target 0. An empty table gives an empty result.
+
+    No task orders a source: the key at which its rest ends is found by cutting the range of
+    its keys into bins, adding up sizes by bin and going on within the bin where the rest
+    ends, until that holds one key. How keys are spread changes the number of rounds alone.
     """
-    value = quality_weight(F.col("text")) if weight is None else F.col("w_")
-    read = pick(docs, [id_col, text_col, source_col]).toDF("id", "text", "source") if weight is None else docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), weight.alias("w_"))
-    # A hash as a number above 0 and below 1; its exponential deviate over the weight is the key.
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.coalesce("text", F.lit(""))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    keyed = stored(read.select("id", "source", size.alias("size"), (-F.log(u) / value).alias("key")), "keys")
-
-    per_source = stored(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    value = quality_weight(F.col(f"`{text_col}`")) if weight is None else weight
+    identity, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    keyed = stored(docs.select(identity.alias("id"), source.alias("source"), size.alias("size"), sampling_key(seed, identity, text, value).alias("key"), F.monotonically_increasing_id().alias("nth"), *row), "keys")
+
+    per_source = stored(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("key").alias("lo"), F.max("key").alias("hi")), "sources")
     # One row a source; sources are few beside their rows.
     targets = source_targets(per_source.select("source", "source_size"), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    bins = per_source.select(F.col("source").alias("s_"), F.greatest(F.lit(16), F.ceil(F.col("rows") / rows_per_bin)).alias("bins"))
-    plan = stored(targets.join(bins, F.col("source").eqNullSafe(F.col("s_"))).drop("s_"), "targets")
+    targets = targets.withColumn("epochs", epochs).withColumn("want", F.greatest(F.lit(0.0), F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))).cast("long"))
+    plan = stored(targets.join(per_source.select(F.col("source").alias("s_"), "lo", "hi"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_"), "targets")
 
-    def with_plan(df: DataFrame, of: DataFrame) -> DataFrame:
+    def with_plan(df: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
         own = sized(of.withColumnRenamed("source", "s_"))
-        return df.join(own, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-
-    # exp(-key) lies evenly enough between 0 and 1; the smallest keys are in the last bins.
-    bin_ = F.least(F.col("bins") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")))
-    placed = with_plan(keyed, plan).withColumn("bin", bin_)
-    by_bin = placed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
-    before = by_bin.withColumn("upto", F.sum("bin_size").over(W.partitionBy("source").orderBy("bin")))
-    cut = before.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("bin_size") < F.col("rest")))
-    cut = stored(cut.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("start"))).alias("c")).select("source", F.col("c.bin").alias("cut_bin"), F.col("c.start").alias("start")), "cuts")
-    ends = stored(plan.join(cut.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_"), "ends")
-    judged = with_plan(keyed, ends).withColumn("bin", bin_)
-    within = judged.where(F.col("bin") == F.col("cut_bin"))
-    order = W.partitionBy("source").orderBy("key", "id", "size")
-    inside = within.withColumn("upto", F.col("start") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    # The document across the end gives the words up to it.
-    inside = inside.withColumn("more", F.least(F.col("size"), F.greatest(F.lit(0), F.floor(F.col("rest")) - F.col("upto") + F.col("size"))))
-    outside = judged.where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin"))).withColumn("more", F.when((F.col("bin") < F.col("cut_bin")) & (F.col("rest") > 0), F.col("size")).otherwise(F.lit(0)))
-    columns = [F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("more")).cast("long").alias("taken")]
-    discard(per_source, plan, cut)
-    return outside.select(*columns).union(inside.select(*columns))
+        return df.join(own, F.col("source").eqNullSafe(F.col("s_")), how).drop("s_")
+
+    ends = stored(plan.where("want > 0").select("source", "want", F.lit(0).cast("long").alias("start"), "lo", "hi"), "ends")
+    while not ends.where("lo < hi").isEmpty():
+        inside = with_plan(keyed.select("source", "size", "key"), ends.where("lo < hi")).where("key between lo and hi")
+        binned = inside.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
+        by_bin = binned.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("want").alias("want"), F.first("start").alias("start"))
+        upto = by_bin.withColumn("upto", F.col("start") + F.sum("bin_size").over(W.partitionBy("source").orderBy("bin")))
+        cut = upto.where("upto >= want and upto - bin_size < want").select("source", "want", (F.col("upto") - F.col("bin_size")).alias("start"), "lo", "hi")
+        after = stored(cut.union(ends.where("lo = hi")), "ends")
+        discard(ends)
+        ends = after
+
+    # Rows with the key of the end, copies of one document but for chance, go by their place: parts first, then within.
+    last = ends.select("source", "want", "start", F.col("lo").alias("cut"))
+    tied = stored(with_plan(keyed, last).where("key = cut").withColumn("part", F.shiftright("nth", 33)), "tied")
+    parts = tied.groupBy("source", "part").agg(F.sum("size").alias("s"))
+    before = parts.select(F.col("source").alias("s_"), F.col("part").alias("p_"), (F.sum("s").over(W.partitionBy("source").orderBy("part")) - F.col("s")).alias("before"))
+    placed = tied.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("part") == F.col("p_")))
+    within = F.sum("size").over(W.partitionBy("source", "part").orderBy("nth"))
+    placed = placed.withColumn("upto", F.col("start") + F.col("before") + within)
+    more = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("want") - F.col("upto") + F.col("size")))
+    placed = placed.select("source", "id", "size", more.alias("more"), *(["row"] if keep else []))
+    others = with_plan(keyed, last, "left").where("cut is null or key <> cut")
+    others = others.select("source", "id", "size", F.when(F.col("key") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")).alias("more"), *(["row"] if keep else []))
+    shares = stored(plan.select("source", "source_size", "target", "epochs"), "shares")
+    out = with_plan(others.union(placed), shares)
+    discard(per_source, plan)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("more")).alias("taken"), *(["row"] if keep else []))
