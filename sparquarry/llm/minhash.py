@@ -1,6 +1,6 @@
 """Near-duplicate documents: circulant MinHash, banding, exact Jaccard, connected components.
 
-Copies with one shingle set collapse to their smallest id first. Each set gets a
+Copies with one shingle set collapse to one vertex first. Each set gets a
 signature from two permutations of 2**32: the first shuffles the elements, the second
 is applied after a circular shift by k for coordinate k. Sets that agree on a band meet
 in a bucket. A bucket is never expanded into all its pairs: it is dealt into small slots,
@@ -77,14 +77,14 @@ def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), k)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(band_keys(circulant_signature(s, bands * rows), bands) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "digest", "bands"],
+                [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "version", "n", "digest", "bands"],
             )
 
     return run
@@ -166,28 +166,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     (1 - (percent/100)**rows)**bands, 5e-8 by default.
 
     Null or blank texts have no shingles and link with nothing. Rows that share an id
-    are one vertex: it is compared by the greatest of its texts, is linked with copies of
-    any of them, and all its rows get its component. A row with a null id links with nothing, has
+    belong together: each of its texts is compared, and what any of them is linked with
+    is of one component with all. A row with a null id links with nothing, has
     a null component_id and is kept. Only id and text are read, so other columns can't
     clash. An empty table gives an empty result.
     """
-    read = pick(docs, [id_col, text_col]).toDF("id", "text")
-    signed = stored(read.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, digest binary, bands array<long>"), "signed")
+    read = pick(docs, [id_col, text_col]).toDF("id", "text").select("id", F.xxhash64("text").alias("version"), "text")
+    signed = stored(read.mapInArrow(_sign(shingle_words, bands, rows), "id long, version long, n long, digest binary, bands array<long>"), "signed")
     usable = signed.where("id is not null and digest is not null")
 
-    # Exact copies: one row for each set.
-    alike = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "alike")
-    reps = usable.join(alike.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    placed = reps.select("id", "n", F.explode("bands").alias("key"))
+    # Exact copies: one vertex v for each set, with the smallest id that has it and a text of that id.
+    one = usable.groupBy("digest").agg(F.min(F.struct("id", "version")).alias("at"))
+    alike = stored(one.select("digest", F.monotonically_increasing_id().alias("v"), F.col("at.id").alias("rep"), F.col("at.version").alias("version")), "alike")
+    reps = usable.join(alike.withColumnRenamed("rep", "id"), ["digest", "id", "version"]).dropDuplicates(["v"])
+    placed = reps.select(F.col("v").alias("id"), "n", F.explode("bands").alias("key"))
     crowded = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "c")
     members = stored(placed.join(crowded, "key").select("key", "id", "n", "c"), "members")
 
-    wanted = members.select("id").distinct()
-    texts = stored(read.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-    # An id with several texts ties the copies of all of them together.
-    copies = usable.join(alike.select("digest", "rep"), "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    many = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
-    tied = copies.join(many.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    wanted = alike.join(members.select(F.col("id").alias("v")).distinct(), "v").select(F.col("rep").alias("id"), "version", "v")
+    texts = stored(read.join(wanted, ["id", "version"]).groupBy(F.col("v").alias("id")).agg(F.max("text").alias("text")), "texts")
+    # An id with several sets ties them together.
+    many = usable.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("id")
+    several = stored(usable.join(many, "id", "left_semi").select("id", "digest").distinct().join(alike.select("digest", "v"), "digest").select("id", "v"), "several")
+    tied = several.join(several.groupBy("id").agg(F.min("v").alias("a")), "id").where("a <> v").select("a", F.col("v").alias("b"))
 
     # Slots of a few members each, however large the bucket: the first meets the others.
     dealt = members.withColumn("slot", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / slot)))
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     named = members.where("c > 2").join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     parts = stored(named.join(split, "key", "left_semi").select("id", "component").distinct(), "parts")
-    used = [members, texts, met, links, parts]
+    used = [members, texts, met, links, parts, several]
     if not parts.isEmpty():
         late = _measured(_rare_pairs(texts, parts, shingle_words, percent).join(met.select("a", "b"), ["a", "b"], "left_anti"), texts, shingle_words, percent)
         # Components of the first links, joined by the late ones.
@@ -214,8 +215,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         used += [late, over, label]
         label = stored(after, "labels")
 
-    out = signed.select("id", "n", "digest").join(alike.select("digest", "rep"), "digest", "left")
-    out = out.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    # The smallest id of each component.
+    own = alike.select(F.col("v").alias("node"), "rep").join(label.select("node", "component"), "node")
+    named = own.select("node", "component").join(own.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("v"), "least")
+    out = signed.select("id", "n", "digest").join(alike.select("digest", "v", "rep").join(named, "v", "left").select("digest", F.coalesce("least", "rep").alias("least")), "digest", "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
     discard(*used)
     return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
