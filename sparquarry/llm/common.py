@@ -42,14 +42,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def written(df: DataFrame, path: str, **options: str) -> None:
-    """Write df as Parquet; the shuffle files of that write go as soon as it has ended."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+    """Write df as Parquet; the shuffle files of that write go as soon as it has ended.
+
+    Python workers get few rows at a time, as texts may be long.
+    """
+    conf, before = df.sparkSession.conf, {}
+    for key, value in {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}.items():
+        before[key] = conf.get(key, None)
+        conf.set(key, value)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def discard(*frames: DataFrame) -> None:
