@@ -44,6 +44,30 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+#: All pairs by shared shingles, and what each document reaches over links.
+ORACLES["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), either AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM either UNION SELECT r.a, e.b FROM reach r JOIN either e ON r.b = e.a
+), least_ AS (
+  SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ l USING (doc_id)
+"""
+
+
 @query
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as ids of the byte-level vocabulary, written as coded blocks and read back."""
@@ -71,6 +95,40 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
 
 
+#: Sources by code point weigh 1, 2, 3, repeating. Sorted by cap over weight, the sources cut to their caps come first.
+ORACLES["op3_mixing_sources"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), keyed AS (
+  SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+      / greatest(0.1::DOUBLE, CASE WHEN length(text) > 0 THEN 1 - len(regexp_extract_all(text, '[!-&*+/-9<-@\[-`{-~]'))::DOUBLE / length(text) ELSE 0.1::DOUBLE END) AS key
+  FROM docs
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM keyed GROUP BY source
+), weighed AS (
+  SELECT *, [1, 2, 3][place % 3 + 1]::DOUBLE AS weight, 3::DOUBLE * source_size AS cap FROM sources
+), run AS (
+  SELECT *, cap / weight AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS whole,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighed
+), shared AS (
+  SELECT *, (whole - capped) / open_weight AS share, ratio < (whole - capped) / open_weight AS is_cut FROM run
+), level AS (
+  SELECT share FROM shared WHERE NOT is_cut ORDER BY ratio, place LIMIT 1
+), targets AS (
+  SELECT source, source_size, CASE WHEN is_cut THEN cap ELSE (SELECT share FROM level) * weight END AS target FROM shared
+), ordered AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size + 1e-12) ELSE 0 END AS epochs,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + least(size, greatest(0, floor(target - epochs * source_size) - upto + size)) AS BIGINT) AS taken
+FROM ordered
+"""
+
+
 #: The rules of the query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 

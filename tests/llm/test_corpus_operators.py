@@ -88,6 +88,15 @@ def test_near_duplicates_awkward(spark):
     assert minhash.near_duplicates(documents(spark, []), 2).count() == 0
 
 
+def test_near_duplicates_of_rows_under_one_id(spark):
+    rng = random.Random(11)
+    a, b, c = ([f"w{rng.randrange(9999)}" for _ in range(60)] for _ in range(3))
+    near = lambda w: [*w[:30], "other", *w[31:]]
+    rows = [(10, a), (10, b), (11, near(a)), (12, near(b)), (20, c), (9, near(c)), (10, b)]
+    got = minhash.near_duplicates(documents(spark, [(i, " ".join(w), "en", "a") for i, w in rows]), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {10: 10, 11: 10, 12: 10, 20: 9, 9: 9} and len(got) == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, i) for i in range(51, 90)] + [(3, 3), (None, 4), (100, 99)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
@@ -162,7 +171,7 @@ def test_added_tokens_as_the_library_has_them(spark):
 
 def test_mixture_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = mixture(docs, rows_per_bin=3).toPandas().merge(docs.toPandas(), on="doc_id")
+    got = mixture(docs, bins=3).toPandas().merge(docs.toPandas(), on="doc_id")
     assert len(got) == docs.count() and (got["size"] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in got["text"]]).all()
     by = got.groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
     names = sorted(by.index)
@@ -177,7 +186,7 @@ def test_mixture_targets(spark, sf):
     want.update({s: share * weight[s] for s in rest})
     assert all(abs(by["target"][s] - want[s]) < 1e-6 and abs(by["taken"][s] - want[s]) <= 1 for s in names)
     assert (got["taken"] <= 3 * got["size"]).all()
-    again = mixture(docs.repartition(7), rows_per_bin=3).toPandas().set_index("doc_id")["taken"]
+    again = mixture(docs.repartition(7), bins=3).toPandas().set_index("doc_id")["taken"]
     assert (again.sort_index() == got.set_index("doc_id")["taken"].sort_index()).all()
 
 
@@ -189,6 +198,96 @@ def test_mixture_caps_and_awkward(spark):
     assert mixture(documents(spark, AWKWARD)).count() == len(AWKWARD) and mixture(documents(spark, [])).count() == 0
 
 
+def brute_mixture(rows, weights, most, value):
+    """rows: (id, text, source). Keys as the operator makes them, everything else row by row."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    own, key = defaultdict(list), {}
+    for i, t, s in rows:
+        own[s].append(i)
+        u = (int(hashlib.md5(f"17|{i}|{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        key[i] = -math.log(u) / value[i]
+    names = sorted((s for s in own if s is not None)) + ([None] if None in own else [])
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total = {s: sum(size[i] for i in own[s]) for s in names}
+    target, left = {}, set(names)
+    while left:
+        share = (sum(total.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = [s for s in left if share * weight[s] > most * total[s]]
+        if not over:
+            target |= {s: share * weight[s] for s in left}
+            break
+        target |= {s: most * total[s] for s in over}
+        left -= set(over)
+    taken = {}
+    for s in names:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        rest = math.floor(target[s] - epochs * total[s] + 1e-6)
+        for i in sorted(own[s], key=key.get):
+            more = min(size[i], rest)
+            rest -= more
+            taken[i] = epochs * size[i] + more
+    return taken
+
+
+@pytest.mark.parametrize("low", [1.0, 0.02])
+def test_mixture_picks(spark, low):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(40))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)]
+    value = {i: (low if i % 2 else 1.0) for i, _, _ in rows}
+    docs = documents(spark, [(i, t, "en", s) for i, t, s in rows])
+    got = {r["doc_id"]: r["taken"] for r in mixture(docs, bins=5, weight=F.when(F.col("doc_id") % 2 == 1, low).otherwise(F.lit(1.0))).collect()}
+    assert got == brute_mixture(rows, (1, 2, 3), 3.0, value)
+    if low < 1:
+        # Of the source that isn't taken whole, heavy documents come first.
+        part = [i for i, t, s in rows if s == "a" and t]
+        assert sum(got[i] > 0 for i in part if i % 2 == 0) > 2 * sum(got[i] > 0 for i in part if i % 2)
+
+
+def test_mixture_of_repeated_rows(spark):
+    rows = [(1, "a b c d", "en", "x")] * 40 + [(2, "e f g", "en", "y")] * 3
+    got = mixture(documents(spark, rows).repartition(5), weights=(1, 9), bins=2).collect()
+    x = sorted(r["taken"] for r in got if r["doc_id"] == 1)
+    assert sum(x) == 169 - 27 and set(x) <= {0, 2, 4} and all(r["taken"] == 9 for r in got if r["doc_id"] == 2)
+
+
+def test_url_verdicts_of_random_graphs(spark):
+    rng = random.Random(13)
+    n = 300
+    url = lambda i: f"http://h{i % 60}.{('com', 'org', 'net')[i % 3]}/p{i}"
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(120)] + [(0, i) for i in range(200, 240)] + [(i, i + 1) for i in range(250, 280)]
+    hosts = {i: url(i).split("/")[2] for i in range(n)}
+    action = {i: rng.choices([None, "block", "allow"], (80, 15, 5))[0] for i in range(n)}
+    rules = spark.createDataFrame([(hosts[i], f"/p{i}", a) for i, a in action.items() if a], "host string, path string, action string")
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    of = defaultdict(set)
+    fits = lambda i: max(((len(f"/p{j}"), a) for j, a in action.items() if a and hosts[j] == hosts[i] and f"/p{i}".startswith(f"/p{j}")), default=(0, None))[1]
+    own = {i: fits(i) for i in range(n)}
+    for i in range(n):
+        of[top(i)].add(own[i])
+    want = {i: own[i] or ("block" if "block" in of[top(i)] and "allow" not in of[top(i)] else "allow") for i in range(n)}
+    pages = spark.createDataFrame([(i, url(i), None) for i in list(range(n)) + [5, 5]], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(url(a), url(b)) for a, b in edges], "from_url string, to_url string")
+    got = url_verdicts(pages, rules, redirects).collect()
+    assert len(got) == n + 2 and {r["page_id"]: r["verdict"] for r in got} == want
+
+
+def test_relative_links(spark):
+    from sparquarry.llm.url_filters import page_links
+
+    cases = {"q": "/a/b/q", "../q": "/a/q", "./q?x=1": "/a/b/q", "../../../q": "/q", "?id=3": "/a/b/c", "/x/./y/../z": "/x/z", "..": "/a/", "mailto:me@x": None, "https://o.org/z#t": "/z"}
+    html = "".join(f"<link rel=canonical href='{t}'>" for t in cases)
+    got = [r["b_path"] for r in page_links(spark.createDataFrame([("http://h.org/a/b/c?k", html)], "url string, html string")).collect()]
+    assert got == [v for v in cases.values() if v]
+
+
 def test_url_verdicts(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow")], "host string, path string, action string")
     link = '<html><LINK href="{}" rel=canonical></html>'
