@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the
 columns of documents. run() writes each result in the shared folder and reads it again.
+Other columns than these aren't read. Null and empty texts pass the first three stages; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,32 +26,39 @@ BROADCAST_IDS = 300_000
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of the given ids; rows with a null id stay."""
-    gone = stored(ids.where("doc_id is not null").distinct(), "dropped")
-    return docs.join(sized(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject by their language's threshold."""
+    """Rows that the classifier doesn't reject by their language's threshold; each is judged by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, fit_toxicity(docs, labels), COLUMNS).where("not toxic").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies on five-word shingles."""
-    return _without(docs, near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id"))
+    """One document, that with the smallest id, of each group of near copies on five-word shingles.
+
+    Rows that share an id are one document, of which every different text stays once. Rows
+    with a null id stay.
+    """
+    found = stored(near_duplicates(docs, shingle_words=5, percent=80).where("doc_id is not null"), "near")
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "dropped")
+    left = docs.join(sized(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
+    often = stored(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
+    if often.isEmpty():
+        return left
+    shared = left.join(sized(often, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(sized(often, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS).unionByName(shared)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id"))
+    """Rows without passages of the benchmark; each is judged by its own text."""
+    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS).where("kept").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one across its source's end once more with its first words."""
-    taken = stored(mixture(docs, weights=(1, 2, 3), most=3.0).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken")), "taken")
-    rows = docs.join(sized(taken.withColumnRenamed("doc_id", "id_"), BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("id_")))
+    """Each row as often as the mix takes it; one across its source's end once more with its first words.
+
+    Rows without words aren't taken.
+    """
+    rows = mixture(docs, weights=(1, 2, 3), most=3.0, keep=COLUMNS).where("taken > 0").select("row.*", "size", "taken")
     rest = F.col("taken") % F.col("size")
     pieces = F.array_repeat(F.lit(0), F.floor(F.col("taken") / F.col("size")).cast("int"))
     rows = rows.select(*COLUMNS, F.explode(F.when(rest > 0, F.concat(pieces, F.array(rest.cast("int")))).otherwise(pieces)).alias("first_words"))
