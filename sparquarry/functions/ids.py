@@ -25,7 +25,7 @@ def short_number(text: Column) -> Column:
 
 
 def base64url(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), "=+$", "")
+    return F.regexp_replace(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), "=+$", "")
 
 
 def permalink(repo: Column, commit: Column, path: Column, start: Column, end: Column) -> Column:
@@ -33,8 +33,29 @@ def permalink(repo: Column, commit: Column, path: Column, start: Column, end: Co
     return F.concat(F.lit("https://github.com/"), repo, F.lit("/blob/"), commit, F.lit("/"), parts, F.lit("#L"), start.cast("string"), F.lit("-L"), end.cast("string"))
 
 
-def artifact_uri(bucket: Column, repo: Column, commit: Column, kind: Column) -> Column:
-    return F.concat_ws("/", bucket, F.regexp_replace(repo, "[^A-Za-z0-9_.-]+", "_"), commit, kind)
+def citation_label(repo: Column, path: Column, start: Column, end: Column) -> Column:
+    """name/path:start-end, without the repo's owner."""
+    return F.concat(F.element_at(F.split(repo, "/"), -1), F.lit("/"), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def artifact_id(repo: Column, commit: Column, kind: Column, lang: Column) -> Column:
+    return F.concat_ws(":", repo, commit, kind, F.coalesce(F.nullif(lang, F.lit("")), F.lit("all")))
+
+
+def artifact_uri(base: Column, repo: Column, commit: Column, kind: Column, local: Column) -> Column:
+    """Below base, without its last slashes; the local path where there is no base."""
+    root = F.nullif(F.regexp_replace(F.coalesce(base, F.lit("")), "/+$", ""), F.lit(""))
+    return F.when(root.isNull(), local).otherwise(F.concat_ws("/", root, F.regexp_replace(F.url_encode(repo), r"\+", "%20"), commit, kind))
+
+
+def shard_prefix(repo: Column) -> Column:
+    return F.regexp_replace(repo, "[^A-Za-z0-9_.-]+", "_")
+
+
+def from_base64url(text: Column) -> Column:
+    """The text behind base64 or base64url, padded or not."""
+    plain = F.regexp_replace(F.translate(text, "-_\r\n", "+/"), "=+$", "")
+    return F.decode(F.unbase64(F.rpad(plain, (4 * F.ceil(F.length(plain) / 4)).cast("int"), F.lit("="))), "UTF-8")
 
 
 def set_hash(pairs: Column) -> Column:

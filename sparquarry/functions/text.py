@@ -109,6 +109,12 @@ def exact_needles(question: Column) -> Column:
     return F.slice(firsts, 1, 8)
 
 
+def exact_query(question: Column) -> Column:
+    """The literal terms joined by or, those with odd characters in quotes; the question itself without terms."""
+    quoted = F.transform(exact_needles(question), lambda t: F.when(t.rlike("[^A-Za-z0-9_./-]"), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(t, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))).otherwise(t))
+    return F.coalesce(F.nullif(F.array_join(quoted, " or "), F.lit("")), trim(question))
+
+
 def rank_needles(syms: Column, words: Column) -> Column:
     """Lower-cased terms and symbols with a naive singular each, over two characters."""
     values = F.concat(words, F.transform(syms, F.lower))
@@ -135,6 +141,27 @@ def pr_reference(text: Column) -> Column:
     return F.when(text.rlike(PR_URL), of(PR_URL)).when(text.rlike(PR_SHORT), of(PR_SHORT))
 
 
+def index_target(text: Column) -> Column:
+    """owner/name of a request to index a repo; null for other messages."""
+    return F.nullif(F.regexp_extract(text, INDEX_REPO, 1), F.lit(""))
+
+
+def notify_target(text: Column) -> Column:
+    """repo and channel_id (null: here) of a request to notify; null for other messages."""
+    found = F.struct(F.regexp_extract(text, NOTIFY, 1).alias("repo"), F.nullif(F.regexp_extract(text, NOTIFY, 3), F.lit("")).alias("channel_id"))
+    return F.when(text.rlike(NOTIFY), found)
+
+
+def needs_staged_plan(text: Column) -> Column:
+    """Whether a change sounds as if it broke others."""
+    return text.rlike(BREAKING)
+
+
+def service_transient(error: Column) -> Column:
+    """Whether a service's error passes by itself."""
+    return F.coalesce(error.rlike(SERVICE_TRANSIENT), F.lit(False))
+
+
 def deep_planning(question: Column, pool: Column, strong: Column, mode: str = "on_demand") -> Column:
     """Whether another search round is due: always, never, or for tracing questions and weak evidence."""
     if mode in ("always", "off"):

@@ -55,6 +55,41 @@ def best_repo(queries: DataFrame, repos: DataFrame, least: int = 3) -> DataFrame
     return ranked.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "full_name"))).where("rn = 1").drop("rn")
 
 
+def has_grant(asked: DataFrame, installations: DataFrame, grants: DataFrame, pending: DataFrame, selected: DataFrame) -> DataFrame:
+    """asked (tenant_id, repo_id) with granted: through a grant or a pending one of the tenant's installations, or an own enabled selection.
+
+    installations: tenant_id, installation_id; grants, pending: installation_id, repo_id.
+    """
+    by_installation = grants.select("installation_id", "repo_id").union(pending.select("installation_id", "repo_id")).join(installations.select("tenant_id", "installation_id"), "installation_id").select("tenant_id", "repo_id")
+    every = by_installation.union(selected.where("enabled").select("tenant_id", "repo_id")).distinct().withColumn("g_", F.lit(True))
+    return asked.join(every, ["tenant_id", "repo_id"], "left").withColumn("granted", F.col("g_").isNotNull()).drop("g_")
+
+
+def resolved_grants(asked: DataFrame, installations: DataFrame, grants: DataFrame, pending: DataFrame, selected: DataFrame) -> DataFrame:
+    """For asked (tenant_id, repo_id) the first installation, by account and id, that has it: granted, pending or as an enabled selection.
+
+    installations: tenant_id, installation_id, account; what: where it was found.
+    """
+    of = installations.select("tenant_id", "installation_id", "account")
+    found = [asked.join(of, "tenant_id").join(df.select("installation_id", "repo_id").distinct(), ["installation_id", "repo_id"]).select("tenant_id", "repo_id", "account", "installation_id", F.lit(n).alias("priority"), F.lit(what).alias("what")) for n, what, df in ((1, "granted", grants), (2, "pending", pending))]
+    own = asked.join(of, "tenant_id").join(selected.where("enabled").select("tenant_id", "repo_id").distinct(), ["tenant_id", "repo_id"]).select("tenant_id", "repo_id", "account", "installation_id", F.lit(3).alias("priority"), F.lit("selected").alias("what"))
+    first = F.min(F.struct("account", "installation_id", "priority", "what")).alias("f")
+    return found[0].unionByName(found[1]).unionByName(own).groupBy("tenant_id", "repo_id").agg(first).select("tenant_id", "repo_id", "f.installation_id", "f.what")
+
+
+def visible_repos(repos: DataFrame, kind: str = "all") -> DataFrame:
+    """repos (private, selected) of a list filter: selected, private (unless known to be public), public or all."""
+    keep = {"selected": F.col("selected"), "private": F.coalesce(F.col("private"), F.lit(True)), "public": ~F.coalesce(F.col("private"), F.lit(True))}.get(kind, F.lit(True))
+    return repos.where(keep)
+
+
+def search_catalogue(asked: DataFrame, repos: DataFrame, most: int = 100) -> DataFrame:
+    """For asked (query_id, installation_id, q, n) the first n repos (1 to most) of the installation whose full name holds q."""
+    hit = asked.join(repos, "installation_id").where(F.contains(F.lower("full_name"), F.lower(F.trim("q"))))
+    ranked = hit.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("full_name")))
+    return ranked.where(F.col("rn") <= F.least(F.lit(most), F.greatest(F.lit(1), F.col("n")))).drop("rn")
+
+
 def repo_grants(asked: DataFrame, selected: DataFrame, grants: DataFrame) -> DataFrame:
     """For asked (tenant_id, repo_id) the installation that grants it: the selection's own first, then any grant."""
     own = asked.join(selected, ["tenant_id", "repo_id"]).join(grants.select("repo_id", F.col("installation_id").alias("g_")), "repo_id", "left").select("tenant_id", "repo_id", F.coalesce("installation_id", "g_").alias("installation_id"), F.lit(1).alias("priority"))

@@ -47,18 +47,20 @@ def chunk_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("chunk_id", "repo_id").agg(F.count("*").alias("length"))
 
 
-def bm25_search(queries: DataFrame, postings: DataFrame, scopes: DataFrame | None = None, k: int = 25, weights: tuple[float, float, float] = (8.0, 4.0, 1.0)) -> DataFrame:
+def bm25_search(queries: DataFrame, postings: DataFrame, scopes: DataFrame | None = None, k: int = 25, weights: tuple[float, float, float] = (8.0, 4.0, 1.0), chunks: DataFrame | None = None) -> DataFrame:
     """Best k chunks of each query (query_id, needles, symbols) by BM25 over any of its prefix phrases.
 
     A needle is a run of tokens of which the last may go on. Its tokens are found one by one,
     the last through the vocabulary, and must stand side by side. The score is relative to
-    the query's best hit, with a little more for a symbol that the query names.
+    the query's best hit, with a little more where chunks (chunk_id, symbol) has a symbol that
+    the query names.
     """
     needle = queries.select("query_id", F.posexplode("needles").alias("needle", "text")).withColumn("t", tokens(F.col("text"))).where(F.size("t") > 0)
     words = needle.select("query_id", "needle", F.size("t").alias("n"), F.posexplode("t").alias("i", "word"))
     vocabulary = postings.select("term").distinct()
-    keyed = vocabulary.withColumn("key", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.substring("term", F.lit(1), n)))))
-    lasts = words.where("i = n - 1").withColumn("key", F.substring("word", 1, 2))
+    # Words meet the terms that begin like them, by up to four characters.
+    keyed = vocabulary.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("term", F.lit(1), n)))))
+    lasts = words.where("i = n - 1").withColumn("key", F.substring("word", 1, 4))
     expanded = lasts.join(keyed, "key").where(F.col("term").startswith(F.col("word"))).select("query_id", "needle", "n", "i", "term").distinct()
     wanted = expanded.union(words.where("i < n - 1").select("query_id", "needle", "n", "i", F.col("word").alias("term")))
     found = wanted.join(postings, "term").withColumn("start", F.col("pos") - F.col("i"))
@@ -74,7 +76,13 @@ def bm25_search(queries: DataFrame, postings: DataFrame, scopes: DataFrame | Non
     ranked = in_scope(scored.groupBy("query_id", "chunk_id", "repo_id").agg(F.sum(part).alias("bm25")), scopes)
     best = top(ranked, k, [F.desc(F.round("bm25", 9)), "chunk_id"])
     high = F.greatest(F.max("bm25").over(W.partitionBy("query_id")), F.lit(1e-6))
-    return best.withColumn("score", F.least(F.lit(0.95), 0.35 + 0.5 * F.col("bm25") / high)).withColumn("source", F.lit("lexical"))
+    best = best.withColumn("score", 0.35 + 0.5 * F.col("bm25") / high)
+    if chunks is not None and "symbols" in queries.columns:
+        # Of the best chunks only, the symbol is looked up.
+        named = best.select("query_id", "chunk_id").join(chunks.select("chunk_id", "symbol").where("symbol is not null"), "chunk_id").join(queries.select("query_id", "symbols"), "query_id")
+        named = named.where(F.array_contains("symbols", F.col("symbol"))).select("query_id", "chunk_id", F.lit(0.1).alias("more"))
+        best = best.join(named, ["query_id", "chunk_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+    return best.withColumn("score", F.least(F.lit(0.95), "score")).withColumn("source", F.lit("lexical"))
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -197,7 +205,7 @@ def definition_search(queries: DataFrame, symbols: DataFrame, chunks: DataFrame,
     return top(best, k, ["rank", "chunk_id"]).select("query_id", "chunk_id", "repo_id", "ord", F.lit(score).alias("score"), F.lit("symbol").alias("source"))
 
 
-def reference_search(queries: DataFrame, symbols: DataFrame, references: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 12, roles: tuple[str, ...] = ("reference", "implementation"), score: float = 0.72) -> DataFrame:
+def reference_search(queries: DataFrame, symbols: DataFrame, references: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 12, roles: tuple[str, ...] = ("reference", "implementation", "override"), score: float = 0.72) -> DataFrame:
     """Chunks over the lines that refer to the symbols a query names: the enclosing symbol's first, then the shortest."""
     s = _named(queries, symbols).select("query_id", "symbol_id", "repo_id").alias("s")
     r, c = references.where(F.col("role").isin(*roles)).alias("r"), chunks.alias("c")
@@ -283,3 +291,26 @@ def build_symbol_facts(chunks: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     at = resolve_names(edges, symbols).join(chunks.select(F.col("chunk_id").alias("from_node"), F.col("repo_id").alias("r_"), "path", "start_line", "end_line", F.col("symbol").alias("enclosing_symbol")), "from_node")
     references = at.select(stable_id(F.col("symbol_id"), F.col("from_node"), F.col("line")).alias("reference_id"), "repo_id", "symbol_id", F.lit("reference").alias("role"), "path", F.coalesce("line", "start_line").alias("start_line"), F.coalesce("line", "end_line").alias("end_line"), "enclosing_symbol")
     return symbols, references.dropDuplicates(["reference_id"])
+
+
+def substring_scan(queries: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 25, most: int = 10) -> DataFrame:
+    """Best k chunks whose symbol, path or content holds one of a query's first needles, upper and lower case alike.
+
+    queries: query_id, needles, symbols. Chunks with a symbol that the query names come first,
+    then those of the smallest id. A scan for tables without an index: needles are collected
+    by their literal, so that each chunk meets each distinct one once.
+    """
+    asked = queries.select("query_id", "symbols", F.explode(F.slice("needles", 1, most)).alias("needle")).withColumn("needle", F.lower("needle"))
+    wanted = asked.select("needle").distinct()
+    text = F.lower(F.concat_ws("\n", F.coalesce("symbol", F.lit("")), "path", "content"))
+    held = chunks.select("chunk_id", "repo_id", "symbol", text.alias("text")).join(wanted, F.contains("text", F.col("needle"))).drop("text")
+    hit = asked.join(held, "needle").groupBy("query_id", "chunk_id", "repo_id").agg(F.max(F.coalesce(F.array_contains("symbols", F.col("symbol")), F.lit(False)).cast("int")).alias("named"))
+    best = top(in_scope(hit, scopes), k, [F.desc("named"), "chunk_id"])
+    return best.select("query_id", "chunk_id", "repo_id", "ord", (F.lit(0.4) + 0.4 * F.col("named")).alias("score"), F.lit("lexical").alias("source"))
+
+
+def vector_rows(chunks: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """What is stored beside a chunk's vector: its place and symbol, empty strings for nulls; repos (repo_id, full_name) names repos."""
+    named = chunks.join(repos.select("repo_id", F.col("full_name").alias("repo_full_name")), "repo_id", "left") if repos is not None else chunks.withColumn("repo_full_name", F.col("repo_id"))
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("language", "symbol", "commit_sha")]
+    return named.select("chunk_id", "repo_id", F.coalesce("repo_full_name", "repo_id").alias("repo_full_name"), "path", "chunk_type", "start_line", "end_line", *texts)

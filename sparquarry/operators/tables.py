@@ -11,9 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _merged(target: DataFrame, rows: DataFrame, keys: list[str], value) -> DataFrame:
+def _last(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row a key: the last by order, of equals or without order the greatest of all columns, so that reruns agree."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    best = F.struct(*[F.col(c) for c in ([order] if order and order not in keys else []) + others] or [F.lit(0).alias("none_")])
+    picked = rows.groupBy(*keys).agg(F.max(best).alias("last_"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"last_.{c}").alias(c) for c in rows.columns])
+
+
+def _merged(target: DataFrame, rows: DataFrame, keys: list[str], value, order: str | None = None) -> DataFrame:
     """Full outer merge; value(column, old, new, both) gives the columns that aren't keys."""
-    t, r = target.withColumn("in_t", F.lit(True)).alias("t"), rows.dropDuplicates(keys).withColumn("in_r", F.lit(True)).alias("r")
+    t, r = target.withColumn("in_t", F.lit(True)).alias("t"), _last(rows, keys, order).withColumn("in_r", F.lit(True)).alias("r")
     both = t.join(r, [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "full_outer")
     out = []
     for c in target.columns:
@@ -22,11 +30,11 @@ def _merged(target: DataFrame, rows: DataFrame, keys: list[str], value) -> DataF
     return both.select(*out)
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Rows replace columns (all by default) where their key is there, else come in."""
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Rows replace columns (all by default) where their key is there, else come in; of several for a key the last by order."""
     columns = columns or [c for c in target.columns if c not in keys]
     has_new, has_old = F.coalesce(F.col("in_r"), F.lit(False)), F.coalesce(F.col("in_t"), F.lit(False))
-    return _merged(target, rows, keys, lambda c, old, new: F.when(has_new & (~has_old | F.lit(c in columns)), new).otherwise(old))
+    return _merged(target, rows, keys, lambda c, old, new: F.when(has_new & (~has_old | F.lit(c in columns)), new).otherwise(old), order)
 
 
 def upsert_coalesce(target: DataFrame, rows: DataFrame, keys: list[str], always: tuple[str, ...] = ()) -> DataFrame:
@@ -83,6 +91,31 @@ def chunk_diff(new: DataFrame, stored_chunks: DataFrame) -> DataFrame:
     return both.select("chunk_id", F.when(F.col("new_").isNull(), "stale").when(F.col("old_").eqNullSafe(F.col("new_")), "clean").otherwise("dirty").alias("status"))
 
 
+def select_targets(tree: DataFrame, jobs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files of tree (repo_id, path, size, ...) that an index job is to read, with those left out by the path rules gone.
+
+    jobs: repo_id, job_type. An INCREMENTAL_INDEX reads the changed (repo_id, path) ones that
+    are still there, any other job all of its repo.
+    """
+    from ..functions.paths import skip_reason
+
+    fit = tree.where(skip_reason(F.col("path"), F.col("size")).isNull()).join(jobs.select("repo_id", "job_type"), "repo_id")
+    part = fit.where("job_type = 'INCREMENTAL_INDEX'").join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    return fit.where("job_type <> 'INCREMENTAL_INDEX'").unionByName(part).drop("job_type")
+
+
+def index_counters(update: dict[str, DataFrame], edges: DataFrame | None = None) -> DataFrame:
+    """By repo what update_index did: files_indexed, files_removed, chunks_written, chunks_removed, edges_written."""
+    diff = update["diff"].groupBy("repo_id").agg(F.count_if(F.col("status").isin("added", "modified")).alias("files_indexed"), F.count_if(F.col("status") == "removed").alias("files_removed"))
+    dirty = update["dirty"].groupBy("repo_id").agg(F.count("*").alias("chunks_written"))
+    stale = update["stale_chunks"].groupBy("repo_id").agg(F.count("*").alias("chunks_removed"))
+    out = diff.join(dirty, "repo_id", "left").join(stale, "repo_id", "left")
+    if edges is not None:
+        own = edges.join(update["dirty"].select(F.col("chunk_id").alias("from_node")), "from_node", "left_semi")
+        out = out.join(own.groupBy("repo_id").agg(F.count("*").alias("edges_written")), "repo_id", "left")
+    return out.na.fill(0)
+
+
 def update_index(files: DataFrame, chunks: DataFrame, snapshot: DataFrame, chunker, force: bool = False) -> dict[str, DataFrame]:
     """The next versions of files and chunks for all repos at once, with what changed.
 
@@ -97,9 +130,10 @@ def update_index(files: DataFrame, chunks: DataFrame, snapshot: DataFrame, chunk
     status = chunk_diff(made, of_touched)
     dirty = made.join(status.where("status = 'dirty'"), "chunk_id", "left_semi")
     stale = status.where("status = 'stale'").select("chunk_id")
+    stale_chunks = of_touched.join(stale, "chunk_id", "left_semi").unionByName(chunks.join(gone, ["repo_id", "path"], "left_semi"))
     kept = chunks.join(gone, ["repo_id", "path"], "left_anti").join(stale.union(dirty.select("chunk_id")), "chunk_id", "left_anti")
     columns = [c for c in chunks.columns if c in made.columns]
-    return {"chunks": kept.select(*columns).unionByName(dirty.select(*columns)), "files": snapshot.select(*[c for c in files.columns if c in snapshot.columns]), "dirty": dirty, "stale": stale, "diff": diff}
+    return {"chunks": kept.select(*columns).unionByName(dirty.select(*columns)), "files": snapshot.select(*[c for c in files.columns if c in snapshot.columns]), "dirty": dirty, "stale": stale, "stale_chunks": stale_chunks, "diff": diff}
 
 
 def in_use(selections: DataFrame, allowed: DataFrame) -> DataFrame:

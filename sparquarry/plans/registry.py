@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
 from ..operators import chunking, evaluate, rank, retrieve, scope, search, tables
+from ..sources.stored import stored
 from ..streaming import jobs
 from . import fixtures as fx
 from .fixtures import read
@@ -31,9 +32,7 @@ def query(sql: str | None = None):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Chunk, index, search by BM25 and exact text, rerank and pack, for all benchmark texts."""
     questions = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    index = retrieve.build_index(fx.chunks(spark, d).persist())
-    index.postings, index.grams = index.postings.persist(), index.grams.persist()  # read by several branches
-    return retrieve.retrieve(questions, index)
+    return retrieve.retrieve(questions, retrieve.stored_index(fx.chunks(spark, d)))
 
 
 @query()
@@ -165,9 +164,9 @@ def a4_source_counts(spark, d):
     return rank.source_counts(fx.hits(spark, d))
 
 
-@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, max(score) AS score, min(s) AS s FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, count(*) AS pool_size, count(*) FILTER (score >= 0.4) AS high_confidence_hits, count(*) FILTER (s <= 1) AS code_intel_hits FROM m GROUP BY query_id")
+@query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, max(score) AS score, min(s) AS s FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, count(*) AS pool_size, count(*) FILTER (score * 2 >= 0.75) AS high_confidence_hits, count(*) FILTER (s <= 1) AS code_intel_hits FROM m GROUP BY query_id")
 def a5_evidence(spark, d):
-    return rank.evidence(rank.merge_candidates(fx.hits(spark, d)), 0.4)
+    return rank.evidence(rank.merge_candidates(fx.hits(spark, d)).withColumn("score", F.col("score") * 2))
 
 
 @query(f"WITH {fx.HITS}, m AS (SELECT query_id, chunk_id, min(s) AS s, arg_min(ord, (s, ord)) AS ord FROM hits_ GROUP BY query_id, chunk_id) SELECT query_id, chunk_id FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, ord, chunk_id) <= 60")
@@ -183,33 +182,37 @@ def w1_diversify(spark, d):
 
 
 _BM = "WITH " + fx.FILES + ", " + fx.chunks_sql() + rf""",
-t AS (SELECT item_id AS query_id, {_TERMS} AS l FROM benchmark), nd AS (SELECT query_id, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:6]) AS w FROM t),
+t AS (SELECT item_id AS query_id, {_TERMS} AS l FROM benchmark), nd AS (SELECT query_id, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20]) AS w FROM t),
 tok AS (SELECT chunk_id, f, unnest(list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM (SELECT chunk_id, 'path' AS f, path AS x FROM chunks_ UNION ALL SELECT chunk_id, 'content', content FROM chunks_)),
 cnt AS (SELECT chunk_id, f, term, count(*) AS c FROM tok GROUP BY ALL), len_ AS (SELECT chunk_id, sum(c) AS length FROM cnt GROUP BY chunk_id), st AS (SELECT count(*) AS docs, avg(length) AS mean FROM len_),
 voc AS (SELECT DISTINCT w, term FROM (SELECT DISTINCT w FROM nd) a JOIN (SELECT DISTINCT term FROM cnt) b ON starts_with(b.term, a.w)),
 tf AS (SELECT query_id, nd.w, chunk_id, sum(c * CASE f WHEN 'path' THEN 4.0 ELSE 1.0 END) AS tf FROM nd JOIN voc ON voc.w = nd.w JOIN cnt ON cnt.term = voc.term GROUP BY query_id, nd.w, chunk_id),
 df AS (SELECT query_id, w, count(*) AS df FROM tf GROUP BY query_id, w),
 sc AS (SELECT tf.query_id, chunk_id, sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25 FROM tf JOIN df ON df.query_id = tf.query_id AND df.w = tf.w JOIN len_ USING (chunk_id), st GROUP BY tf.query_id, chunk_id)
-SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS INT) AS ord, round(bm25, 6) AS bm25 FROM sc QUALIFY ord <= 25"""
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS INT) AS ord, round(bm25, 6) AS bm25,
+  round(least(0.95, 0.35 + 0.5 * bm25 / greatest(1e-6, max(bm25) OVER (PARTITION BY query_id)) + CASE WHEN c.start_line = 1 AND c.path LIKE '%/' || query_id || '.txt' THEN 0.1 ELSE 0 END), 6) AS score
+FROM sc JOIN chunks_ c USING (chunk_id) QUALIFY ord <= 25"""
 
 
 @query(_BM)
 def x4_bm25_search(spark, d):
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(text.terms(F.col("text")), 1, 6).alias("needles"))
-    return search.bm25_search(q, search.build_postings(fx.chunks(spark, d))).select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("needles"), F.array(F.concat("item_id", F.lit(".txt"))).alias("symbols"))
+    c = stored(_line_chunks(spark, d), "chunks")
+    hits = search.bm25_search(q, stored(search.build_postings(c.drop("symbol").withColumn("symbol", F.lit(None).cast("string"))), "postings"), chunks=c)
+    return hits.select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 30")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 30")
 def x5_vector_search(spark, d):
     v = read(spark, d, "embeddings")
-    return search.vector_search(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), F.lit("r").alias("repo_id"), "embedding")).select("query_id", "chunk_id")
+    return search.vector_search(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), F.lit("r").alias("repo_id"), "embedding")).select("query_id", "chunk_id")
 
 
-@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, q AS (SELECT item_id AS query_id, unnest([substr(text, 1, 25), substr(text, 31, 20)]) AS lit FROM benchmark), h AS (SELECT query_id, chunk_id, count(DISTINCT lit) AS literals FROM q JOIN chunks_ ON contains(lower(content), lower(lit)) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, literals FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY literals DESC, chunk_id) <= 20")
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, q AS (SELECT item_id AS query_id, unnest([text, substr(text, 1, length(text) // 2), substr(text, 31)]) AS lit FROM benchmark), h AS (SELECT query_id, chunk_id, count(DISTINCT lit) AS literals FROM q JOIN chunks_ ON length(lit) >= 3 AND contains(lower(content), lower(lit)) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, literals FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY literals DESC, chunk_id) <= 20")
 def x6_exact_search(spark, d):
     c = fx.chunks(spark, d)
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 25), F.substring("text", 31, 20)).alias("needles"))
-    return search.exact_search(q, c, search.build_trigrams(c)).select("query_id", "chunk_id", "literals")
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.col("text"), F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.substring("text", F.lit(31), F.length("text"))).alias("needles"))
+    return search.exact_search(q, c, stored(search.build_trigrams(c), "grams")).select("query_id", "chunk_id", "literals")
 
 
 @query(f"WITH {fx.EDGES}, s AS (SELECT p_partkey AS symbol_id, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) <= 3) SELECT from_node, to_symbol, line, symbol_id FROM edges_ JOIN s ON p_name = to_symbol")
@@ -262,10 +265,10 @@ def w5_retrieval_text(spark, d):
     return retrieve.retrieval_text(read(spark, d, "conversations"))
 
 
-@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8")
 def w4_last_turns(spark, d):
     w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return read(spark, d, "conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("conv_id", "turn", "role")
+    return read(spark, d, "conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 8").select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS issue FROM conversations WHERE role = 'user' GROUP BY conv_id")

@@ -63,19 +63,29 @@ def released(claims: DataFrame, failed: DataFrame, keys: tuple[str, ...] = ("run
 
 
 def with_retry(handle: Callable[[DataFrame], tuple[DataFrame, DataFrame]], max_retries: int, good: str, retry: str, dead: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: handle splits a batch in done and failed rows; failed ones go to the retry table, after max_retries to the dead ones."""
+    """A foreachBatch function: handle splits a batch in done and failed rows; failed ones go to the retry table, after max_retries to the dead ones.
+
+    Each epoch has a folder of its own in every table and overwrites it, so that a replayed
+    epoch writes nothing twice. retried() gives back what is to be tried again.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         rows = batch if "attempt" in batch.columns else batch.withColumn("attempt", F.lit(0))
-        done, failed = handle(rows)
-        done.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(good)
-        again = failed.withColumn("attempt", F.col("attempt") + 1).withColumn("epoch", F.lit(epoch))
-        again.where(F.col("attempt") <= max_retries).write.mode("append").parquet(retry)
-        again.where(F.col("attempt") > max_retries).write.mode("append").parquet(dead)
+        done, failed = (df.persist() for df in handle(rows))  # a handler with effects runs once for each
+        again = failed.withColumn("attempt", F.col("attempt") + 1)
+        for df, path in ((done, good), (again.where(F.col("attempt") <= max_retries), retry), (again.where(F.col("attempt") > max_retries), dead)):
+            df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        done.unpersist()
+        failed.unpersist()
 
     return run
 
 
+def retried(spark, retry: str, after: int = -1) -> DataFrame:
+    """The rows that with_retry put back in epochs after the given one, with their attempt, for another batch."""
+    return spark.read.parquet(retry).where(F.col("epoch") > after).drop("epoch")
+
+
 _STATUS = "repo_id string, status string, files long, chunks long, error string, started timestamp, finished timestamp"
 
 

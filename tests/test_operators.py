@@ -216,7 +216,7 @@ def test_triage_and_changes(spark, chunks):
     got = {r["run_id"]: r for r in retrieve.triage(j, logs, index).collect()}
     assert got[2]["reason"] == "network error" and got[2]["context"] is None and got[1]["error"].startswith("cannot open") and "src/db.ts" in got[1]["context"]
     c = spark.createDataFrame([(1, f"f{i:02}.py", "modified", 1, 2, "p") for i in range(23)], "change_id int, filename string, status string, additions int, deletions int, patch string")
-    assert retrieve.change_texts(c).first()["diff"].endswith("… and 3 more files")
+    assert retrieve.change_texts(c).first()["diff"].endswith("… and 3 more files not shown")
 
 
 def test_embedder_and_vector_scope(spark, chunks):
