@@ -103,3 +103,11 @@ def test_planning_gate(spark):
 def test_embedding_text(spark):
     made = one(spark, text.embedding_text(F.lit("o/r"), F.lit("a.py"), F.lit(None), F.lit("function"), F.lit("f"), F.array().cast("array<string>"), F.array(F.lit("g"), F.lit("h")), F.lit("def f(): g()")))
     assert made == "Repo: o/r\nPath: a.py\nLanguage: unknown\nChunk type: function\nSymbol: f\nCalls: g, h\n\nCode:\ndef f(): g()"
+
+
+def test_exact_query_and_targets(spark):
+    asks = ["where is `a b` in src/db.ts", "is it so"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in asks], "q string").select(text.exact_query(F.col("q"))).collect()]
+    assert got[0].startswith('"a b" or ') and "src/db.ts" in got[0].split(" or ") and got[1] == "is it so"
+    said = spark.createDataFrame([("index o/r",), ("notify o/r here",), ("notify o/r <#C1|x>",), (None,)], "t string").select(text.index_target(F.col("t")).alias("i"), text.notify_target(F.col("t")).alias("n")).collect()
+    assert [r["i"] for r in said] == ["o/r", None, None, None] and [r["n"] and (r["n"]["repo"], r["n"]["channel_id"]) for r in said] == [None, ("o/r", None), ("o/r", "C1"), None]
