@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..functions.text import trim
+from ..functions.text import callee_name, import_module, trim
 
 MAX_CHARS = 8000
 CHUNK = ["chunk_id", "repo_id", "path", "language", "chunk_type", "symbol", "start_line", "end_line", "content", "content_hash"]
@@ -51,32 +52,97 @@ def chunk_headings(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     return finished(each.select("repo_id", "path", "language", F.lit("section").alias("chunk_type"), F.when(title != "", title).alias("symbol"), (F.col("at") + 1).alias("start_line"), F.col("to").alias("end_line"), raw.alias("raw")), max_chars)
 
 
-#: Lines that begin a definition, by language: pattern with the name in its group, and kind.
-DEFINITION_RULES = [
-    ("go", r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)", "method"), ("go", r"^func\s+([A-Za-z_]\w*)", "function"), ("go", r"^type\s+([A-Za-z_]\w*)\s+struct\b", "struct"), ("go", r"^type\s+([A-Za-z_]\w*)\s+interface\b", "interface"), ("go", r"^type\s+([A-Za-z_]\w*)", "type"),
-    ("typescript", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"), ("typescript", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"), ("typescript", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"), ("typescript", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)", "type"),
-    ("javascript", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"), ("javascript", r"^\s*(?:export\s+)?class\s+([A-Za-z_$][\w$]*)", "class"),
-    ("java", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*class\s+([A-Za-z_]\w*)", "class"), ("java", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*interface\s+([A-Za-z_]\w*)", "interface"), ("java", r"^\s+(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\], ]+\s+([A-Za-z_]\w*)\s*\([^;]*$", "method"),
-]
+_JS_NAME = r"([A-Za-z_$][\w$]*)"
+_JS = [
+    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*{_JS_NAME}", "function"),
+    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_JS_NAME}", "class"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?interface\s+{_JS_NAME}", "interface"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+{_JS_NAME}\s*(?:<.*>)?\s*=", "type"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+{_JS_NAME}", "type"),
+    (rf"^\s+(?!(?:if|for|while|switch|catch|function|return|else|do|with|new|await)\b)(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*{_JS_NAME}\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^;=]+)?\{{.*$", "method"),
+]
+_JAVA_MODIFIERS = r"(?:(?:public|private|protected|static|final|abstract|sealed|synchronized|default|native|strictfp)\s+)*"
+_JAVA = [
+    (rf"^\s*{_JAVA_MODIFIERS}class\s+([A-Za-z_]\w*)", "class"),
+    (rf"^\s*{_JAVA_MODIFIERS}interface\s+([A-Za-z_]\w*)", "interface"),
+    (rf"^\s*{_JAVA_MODIFIERS}(?:enum|record)\s+([A-Za-z_]\w*)", "type"),
+    (rf"^\s+{_JAVA_MODIFIERS}(?:<[^(]+>\s*)?(?!(?:return|new|throw|else|case|assert)\b)[A-Za-z_][\w.]*(?:<[^(=]*>)?(?:\[\])*\s+(?!(?:if|for|while|switch|try)\b)([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?(?:\{{.*|;)?\s*$", "method"),
+    (rf"^\s+{_JAVA_MODIFIERS}([A-Z]\w*)\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{{.*$", "method"),
+]
+_GO = [
+    (r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)", "method"),
+    (r"^func\s+([A-Za-z_]\w*)", "function"),
+    (r"^(?:type)?\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+struct\s*\{", "struct"),
+    (r"^(?:type)?\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+interface\s*\{", "interface"),
+    (r"^type\s+([A-Za-z_]\w*)", "type"),
+]
+#: Lines that begin a definition, by language: pattern with the name in its group, and kind. The first that fits holds.
+DEFINITION_RULES = {"go": _GO, "java": _JAVA, "typescript": _JS, "javascript": _JS}
 IMPORT_LINE = r"^\s*(import\b|from\s+\S+\s+import\b|const\s+.*=\s*require\()"
+GO_IMPORT = r'^\s+(?:[\w.]+\s+)?["`][^"`\s]+["`]\s*$'
+JS_IMPORT = r"(?m)^\s*import\b[^;'\"]*['\"][^'\"\n]+['\"]"
+CALL = r"([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w., ]*>)?\("
+NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "func", "synchronized", "try", "throw", "new", "typeof", "await", "assert", "select", "go", "defer", "case"]
+#: String literals and line comments: no calls in them.
+SILENT = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*"
+
+
+def _begins(lang: str, x: Column) -> Column:
+    """kind and name of the definition that line x begins in a language; null without one."""
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("name")))
+    for pattern, kind in DEFINITION_RULES[lang]:
+        out = out.when(x.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(x, pattern, 1).alias("name")))
+    return out
+
+
+def _code_definitions(files: DataFrame, lang: str) -> DataFrame:
+    indent = lambda x: F.length(F.regexp_extract(x, r"^\s*", 0))
+    lined = files.where(F.col("language") == lang).select("repo_id", "path", "language", "content").withColumn("lines", F.split("content", "\n")).withColumn("n", F.size("lines"))
+    begun = F.transform("lines", lambda x, i: F.struct(i.alias("at"), indent(x).alias("indent"), _begins(lang, x).alias("d")))
+    lined = lined.withColumn("starts", F.filter(begun, lambda s: s["d"].isNotNull()))
+    # A body ends at the first closing brace that stands no deeper than its definition.
+    lined = lined.withColumn("closed", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"^\s*\}"), F.struct(i.alias("at"), indent(x).alias("indent")))), lambda s: s.isNotNull()))
+
+    def end(s: Column, k: Column) -> Column:
+        line, following = F.get("lines", s["at"]), F.coalesce(F.get("lines", s["at"] + 1), F.lit(""))
+        short = line.rlike(r"\{.*\}\s*[;,]?\s*$") | (~line.contains("{") & line.rlike(r"[^(,=|&\s]\s*$") & ~following.rlike(r"^\s*[{|&=]"))
+        brace = F.array_min(F.transform(F.filter("closed", lambda c: (c["at"] > s["at"]) & (c["indent"] <= s["indent"])), lambda c: c["at"])) + 1
+        return F.when(short, s["at"] + 1).otherwise(F.coalesce(brace, F.get("starts", k + 1)["at"], F.col("n")))
+
+    lined = lined.withColumn("spans", F.transform("starts", lambda s, k: F.struct(s["at"].alias("at"), end(s, k).alias("to"), s["d"].alias("d"))))
+    each = lined.withColumn("def", F.explode("spans"))
+    inner = F.filter("spans", lambda s: (s["at"] > F.col("def.at")) & (s["at"] < F.col("def.to")))
+    each = each.withColumn("inner", inner).withColumn("body", F.slice("lines", F.col("def.at") + 1, F.col("def.to") - F.col("def.at")))
+    own = F.filter("body", lambda x, i: ~F.exists("inner", lambda s: (s["at"] <= i + F.col("def.at")) & (i + F.col("def.at") < s["to"])))
+    text, name = F.array_join(own, "\n"), F.col("def.d.name")
+    after = F.coalesce(F.nullif(F.instr(text, F.concat(name, F.lit("("))), F.lit(0)), F.instr(text, name)) + F.length(name)
+    said = F.regexp_replace(F.substring(text, after, F.length(text)), SILENT, "")
+    said = said if lang == "java" else F.regexp_replace(said, r"\bnew\s+[\w$.]+", "")
+    called = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(said, F.lit(CALL), 1), callee_name), lambda c: (c != "") & ~c.isin(NOT_CALLS)))
+    none = F.array().cast("array<string>")
+    defs = each.select("repo_id", "path", "language", F.col("def.d.kind").alias("chunk_type"), name.alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("def.to").alias("end_line"), F.array_join("body", "\n").alias("raw"), F.when(F.col("def.d.kind").isin("function", "method"), called).otherwise(none).alias("calls"))
+
+    listed = (lambda x, i: x.rlike(GO_IMPORT) & (i < F.coalesce(F.get("starts", F.lit(0))["at"], F.col("n")))) if lang == "go" else (lambda x, i: F.lit(False))
+    marked = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(IMPORT_LINE) | listed(x, i), F.struct(i.alias("at"), x.alias("line")))), lambda s: s.isNotNull())
+    stated = F.transform("im", lambda s: s["line"]) if lang in ("java", "go") else F.regexp_extract_all("content", F.lit(JS_IMPORT), 0)
+    modules = F.array_distinct(F.filter(F.transform(stated, lambda x: import_module(F.col("language"), x)), lambda m: m != ""))
+    imports = lined.withColumn("im", marked).where(F.size("im") > 0).select("repo_id", "path", "language", F.lit("import").alias("chunk_type"), F.lit(None).cast("string").alias("symbol"), (F.get("im", F.lit(0))["at"] + 1).alias("start_line"), (F.element_at("im", -1)["at"] + 1).alias("end_line"), F.array_join(F.transform("im", lambda s: s["line"]), "\n").alias("raw"), modules.alias("calls"))
+    return defs.unionByName(imports)
+
+
+def code_definitions(files: DataFrame) -> DataFrame:
+    """As python_definitions, for Go, Java, TypeScript and JavaScript, by rules over lines and their indentation.
+
+    Approximate by design: signatures must begin and name their definition on one line. Calls in definitions
+    inside another count for the inner one. Null contents give no rows. No shuffle, native columns only.
+    """
+    parts = [_code_definitions(files.where("content is not null"), lang) for lang in DEFINITION_RULES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def chunk_definition_lines(files: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Definitions of languages other than Python by rules over lines; each lasts to the next. Approximate by design. No shuffle."""
-
-    def kind_of(x: Column) -> Column:
-        out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("name")))
-        for lang, pattern, kind in DEFINITION_RULES:
-            out = out.when((F.col("language") == lang) & x.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(x, pattern, 1).alias("name")))
-        return out
-
-    lined = files.where(F.col("language").isin(*{r[0] for r in DEFINITION_RULES})).withColumn("lines", F.split("content", "\n")).withColumn("n", F.size("lines"))
-    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), kind_of(x).alias("d"))), lambda s: s["d"].isNotNull())
-    each = lined.withColumn("defs", found).select("*", F.posexplode("defs").alias("k", "def")).withColumn("to", F.coalesce(F.get("defs", F.col("k") + 1)["at"], F.col("n")))
-    defs = each.select("repo_id", "path", "language", F.col("def.d.kind").alias("chunk_type"), F.col("def.d.name").alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("to").alias("end_line"), F.array_join(F.slice("lines", F.col("def.at") + 1, F.col("to") - F.col("def.at")), "\n").alias("raw"))
-    marked = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(IMPORT_LINE), F.struct(i.alias("at"), x.alias("line")))), lambda s: s.isNotNull())
-    imports = lined.withColumn("im", marked).where(F.size("im") > 0).select("repo_id", "path", "language", F.lit("import").alias("chunk_type"), F.lit(None).cast("string").alias("symbol"), (F.get("im", F.lit(0))["at"] + 1).alias("start_line"), (F.element_at("im", -1)["at"] + 1).alias("end_line"), F.array_join(F.transform("im", lambda s: s["line"]), "\n").alias("raw"))
-    return finished(defs.unionByName(imports), max_chars)
+    """Chunks of code_definitions(). No shuffle."""
+    return finished(code_definitions(files), max_chars)
 
 
 def _python_definitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,9 +192,9 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
 
 def chunk_definitions(files: DataFrame, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(chunks, edges): definitions of all code languages; CALLS and IMPORTS edges of Python files."""
-    own = python_definitions(files)
-    chunks = finished(own, max_chars).unionByName(chunk_definition_lines(files, max_chars))
+    """(chunks, edges): definitions of all code languages, and what they call (CALLS) or their file imports (IMPORTS)."""
+    own = python_definitions(files).unionByName(code_definitions(files))
+    chunks = finished(own, max_chars)
     node = stable_id(*[F.col(c) for c in ("repo_id", "path", "chunk_type", "start_line", "end_line", "symbol")])
     edges = own.select("repo_id", node.alias("from_node"), F.when(F.col("chunk_type") == "import", "IMPORTS").otherwise("CALLS").alias("edge_type"), F.explode("calls").alias("to_symbol"), F.col("start_line").alias("line"))
     return chunks, edges.withColumn("edge_id", stable_id(*[F.col(c) for c in ("repo_id", "edge_type", "from_node", "to_symbol", "line")]))

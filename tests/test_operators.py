@@ -33,9 +33,101 @@ def test_definitions(spark):
     java = "import java.util.List;\npublic class Shop {\n  public int size(List<Order> x) {\n    return x.size();\n  }\n}\n"
     chunks, edges = chunking.chunk_definitions(spark.createDataFrame([("r", "a.py", "python", py), ("r", "A.java", "java", java), ("r", "bad.py", "python", "def (")], FILE))
     assert {(r["path"], r["chunk_type"], r["symbol"]) for r in chunks.collect()} == {("a.py", "import", None), ("a.py", "class", "K"), ("a.py", "method", "m"), ("a.py", "function", "f"), ("a.py", "function", "inner"), ("A.java", "import", None), ("A.java", "class", "Shop"), ("A.java", "method", "size")}
-    assert {(r["edge_type"], r["to_symbol"]) for r in edges.collect()} == {("IMPORTS", "os"), ("IMPORTS", "a.b"), ("CALLS", "run"), ("CALLS", "go"), ("CALLS", "K"), ("CALLS", "hidden")}
+    assert {(r["edge_type"], r["to_symbol"]) for r in edges.collect()} == {("IMPORTS", "os"), ("IMPORTS", "a.b"), ("CALLS", "run"), ("CALLS", "go"), ("CALLS", "K"), ("CALLS", "hidden"), ("IMPORTS", "java.util.List"), ("CALLS", "size")}
     symbols, refs = search.build_symbol_facts(chunks, edges)
-    assert symbols.where("display_name = 'K'").count() == 1 and refs.count() == 1
+    assert symbols.where("display_name = 'K'").count() == 1 and refs.count() == 2
+
+
+JAVA = """package demo;
+
+import java.util.List;
+import static a.B.*;
+
+public class OrderService {
+  enum Kind { A, B }
+
+  record Line(int n) {}
+
+  OrderService(Store s) {
+    this.store = wrap(s);
+  }
+
+  public Order create(List<String> ids) {
+    if (ids.isEmpty()) { // never() called
+      log("call() in a text");
+    }
+    return new Order(ids.size());
+  }
+}
+
+interface Store {
+  Order find(String id) throws Missing;
+}
+"""
+TS = """import a from './a';
+import {
+  b,
+} from "b/c";
+
+export type Id = string | number;
+enum Color { Red }
+export class Shop extends Base {
+  private items = new Map();
+  async add(item: Item): Promise<void> {
+    await this.store.put(item, () => check(item));
+  }
+}
+
+export function outer() {
+  function inner() {
+    hidden();
+  }
+  return inner(parse(1));
+}
+"""
+GO = """package main
+
+import (
+\t"fmt"
+\tx "a/b"
+)
+
+import "os"
+
+type Set struct {
+\tn int
+}
+
+type Reader interface {
+\tRead() int
+}
+
+type Id int
+
+func (s *Set) Add(v int) error {
+\tfmt.Println(v)
+\treturn s.check(v)
+}
+
+func main() {
+\tos.Exit(run())
+}
+"""
+
+
+@pytest.mark.parametrize(
+    ("lang", "code", "definitions", "edges"),
+    [
+        ("java", JAVA, {("class", "OrderService", 6, 21), ("type", "Kind", 7, 7), ("type", "Line", 9, 9), ("method", "OrderService", 11, 13), ("method", "create", 15, 20), ("interface", "Store", 23, 25), ("method", "find", 24, 24), ("import", None, 3, 4)}, {("IMPORTS", "java.util.List"), ("IMPORTS", "a.B.*"), ("CALLS", "wrap"), ("CALLS", "isEmpty"), ("CALLS", "log"), ("CALLS", "Order"), ("CALLS", "size")}),
+        ("typescript", TS, {("type", "Id", 6, 6), ("type", "Color", 7, 7), ("class", "Shop", 8, 13), ("method", "add", 10, 12), ("function", "outer", 15, 20), ("function", "inner", 16, 18), ("import", None, 1, 2)}, {("IMPORTS", "./a"), ("IMPORTS", "b/c"), ("CALLS", "put"), ("CALLS", "check"), ("CALLS", "hidden"), ("CALLS", "inner"), ("CALLS", "parse")}),
+        ("go", GO, {("struct", "Set", 10, 12), ("interface", "Reader", 14, 16), ("type", "Id", 18, 18), ("method", "Add", 20, 23), ("function", "main", 25, 27), ("import", None, 3, 8)}, {("IMPORTS", "fmt"), ("IMPORTS", "a/b"), ("IMPORTS", "os"), ("CALLS", "Println"), ("CALLS", "check"), ("CALLS", "Exit"), ("CALLS", "run")}),
+    ],
+)
+def test_definitions_of_other_languages(spark, lang, code, definitions, edges):
+    files = spark.createDataFrame([("r", "f", lang, code), ("r", "empty", lang, ""), ("r", "null", lang, None)], FILE)
+    chunks, found = chunking.chunk_definitions(files)
+    assert {(r["chunk_type"], r["symbol"], r["start_line"], r["end_line"]) for r in chunks.collect()} == definitions
+    assert {(r["edge_type"], r["to_symbol"]) for r in found.collect()} == edges
 
 
 def test_error_excerpts(spark):
