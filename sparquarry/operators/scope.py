@@ -15,7 +15,7 @@ STATUS_RANK = {"PENDING": 0, "INDEXING": 1, "READY": 2, "FAILED": 2}
 def tenant_scope(queries: DataFrame, tenants: DataFrame, selections: DataFrame, legacy: DataFrame) -> DataFrame:
     """(query_id, repo_id): the enabled repos of the query's tenant; without a tenant the legacy list; an unknown tenant sees nothing."""
     own = queries.where("tenant_id is not null").join(tenants.where("active").select("tenant_id"), "tenant_id").join(selections.where("enabled").select("tenant_id", "repo_id"), "tenant_id").select("query_id", "repo_id")
-    open_ = queries.where("tenant_id is null").select("query_id").crossJoin(F.broadcast(legacy.where("enabled").select("repo_id")))  # the allow list is configuration
+    open_ = queries.where("tenant_id is null").select("query_id").crossJoin(legacy.where("enabled").select("repo_id"))  # the result itself is each such query with the allow list
     return own.union(open_).distinct()
 
 
