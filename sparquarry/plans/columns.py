@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
 from ..operators import chunking, scope
+from ..streaming import jobs
 from .fixtures import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +172,24 @@ def j22_mentioned_scope(spark, d):
 def j23_best_repo(spark, d):
     q, repos = _mentions(spark, d)
     return scope.best_repo(q, repos.withColumnRenamed("repo_id", "full_name")).select("query_id", "full_name", "score")
+
+
+@query("""WITH c AS (SELECT o_custkey % 10 AS installation_id, o_orderkey % 97 AS repo_id, CASE WHEN o_orderkey % 11 = 0 THEN 'revoke' ELSE 'grant' END AS change, o_orderkey AS ord FROM orders), i AS (SELECT n_nationkey AS tenant_id, n_nationkey % 10 AS installation_id FROM nation),
+sel AS (SELECT DISTINCT c_nationkey AS tenant_id, c_custkey % 97 AS repo_id FROM customer WHERE c_acctbal > 0), off AS (SELECT tenant_id, repo_id, min(ord) AS off_at FROM c JOIN i USING (installation_id) WHERE change = 'revoke' GROUP BY ALL), on_ AS (SELECT * FROM sel ANTI JOIN off USING (tenant_id, repo_id))
+SELECT 'grant' AS what, installation_id AS who, repo_id FROM c GROUP BY installation_id, repo_id HAVING arg_max(change, ord) = 'grant'
+UNION ALL SELECT 'grant', s_nationkey % 12, s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM c WHERE installation_id = s_nationkey % 12 AND repo_id = s_suppkey)
+UNION ALL SELECT 'on', tenant_id, repo_id FROM on_
+UNION ALL SELECT DISTINCT 'job', tenant_id, repo_id FROM c JOIN i USING (installation_id) JOIN sel USING (tenant_id, repo_id) LEFT JOIN off USING (tenant_id, repo_id) WHERE change = 'grant' AND (off_at IS NULL OR ord < off_at)
+UNION ALL SELECT DISTINCT 'unused', NULL, repo_id FROM c WHERE change = 'revoke' AND repo_id NOT IN (SELECT repo_id FROM on_)""")
+def st2_grant_changes(spark, d):
+    """Orders as grants and revocations; the allow list holds revoked repos only, so that it ends empty."""
+    order = F.col("o_orderkey")
+    changes = read(spark, d, "orders").select((F.col("o_custkey") % 10).alias("installation_id"), (order % 97).alias("repo_id"), F.when(order % 11 == 0, "revoke").otherwise("grant").alias("change"), order.alias("ord"))
+    installations = read(spark, d, "nation").select(F.col("n_nationkey").alias("tenant_id"), (F.col("n_nationkey") % 10).alias("installation_id"))
+    chosen = read(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), (F.col("c_custkey") % 97).alias("repo_id"), (F.col("c_acctbal") > 0).alias("enabled")).distinct()
+    grants = read(spark, d, "supplier").select((F.col("s_nationkey") % 12).alias("installation_id"), F.col("s_suppkey").alias("repo_id"))
+    allowed = changes.where("change = 'revoke'").select("repo_id", F.lit(True).alias("enabled")).distinct()
+    out = jobs.grant_changes(changes, grants, chosen, allowed, installations, ["ord"])
+    of = lambda what, df, who: df.select(F.lit(what).alias("what"), who.cast("long").alias("who"), "repo_id")
+    parts = of("grant", out["grants"], F.col("installation_id")).union(of("on", out["selections"].where("enabled"), F.col("tenant_id")))
+    return parts.union(of("job", out["jobs"], F.col("tenant_id"))).union(of("unused", out["unused"], F.lit(None)))

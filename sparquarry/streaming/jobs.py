@@ -37,9 +37,70 @@ def push_jobs(pushes: DataFrame, selections: DataFrame, allowed: DataFrame) -> D
 
 
 def grant_events(installations: DataFrame) -> DataFrame:
-    """One row for each repo that an installation event adds or removes."""
-    each = lambda c, action: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<full_name:string>>")), lambda r: F.struct(F.lower(r["full_name"]).alias("repo_id"), F.lit(action).alias("change")))
-    return installations.select(F.col("installation.id").alias("installation_id"), F.explode(F.concat(each("repositories_removed", "revoke"), each("repositories_added", "grant"))).alias("r")).select("installation_id", "r.*")
+    """One row for each repo that an installation event adds or removes, removals first; a deleted installation loses all it lists.
+
+    n is the place within the event; a column ts is kept. Without the columns action and
+    repositories only the added and removed lists count.
+    """
+    has = lambda c: c in installations.columns
+    none = F.array().cast("array<struct<repo_id:string,change:string>>")
+    each = lambda c, change: F.transform(c, lambda r: F.struct(F.lower(r["full_name"]).alias("repo_id"), F.lit(change).alias("change")))
+    of = lambda c, change: F.coalesce(each(F.col(c), change), none) if has(c) else none
+    deleted = F.coalesce(F.col("action") == "deleted", F.lit(False)) if has("action") else F.lit(False)
+    removed = F.when(deleted, of("repositories", "revoke")).otherwise(of("repositories_removed", "revoke"))
+    added = F.concat(F.when(deleted, none).otherwise(of("repositories", "grant")), of("repositories_added", "grant"))
+    keys = [F.col("installation.id").alias("installation_id"), *[F.col(c) for c in ("ts",) if has(c)]]
+    each_row = installations.select(*keys, F.posexplode(F.concat(removed, added)).alias("n", "r"))
+    return each_row.select("installation_id", "r.*", *[c for c in ("ts",) if has(c)], "n")
+
+
+def grant_changes(changes: DataFrame, grants: DataFrame, selections: DataFrame, allowed: DataFrame, installations: DataFrame, order: list[str]) -> dict[str, DataFrame]:
+    """What grants and revocations (installation_id, repo_id, change and the order columns) make of the tables.
+
+    grants: the next version, where a pair's last change decides. selections (tenant_id,
+    repo_id, enabled) and allowed (repo_id, enabled): a revocation switches off the repo
+    for the installation's tenants and in the allow list, and a later grant doesn't switch
+    it on again. jobs (tenant_id, repo_id): full index runs, one for each granted repo and
+    tenant that had it on when it was granted. unused: revoked repos that are on nowhere.
+    Repeated events change nothing more.
+    """
+    at = F.struct(*[F.col(c) for c in order])
+    kind = lambda k, f: f(F.when(F.col("change") == k, at))
+    by = changes.groupBy("installation_id", "repo_id").agg(kind("grant", F.max).alias("last_grant"), kind("grant", F.min).alias("first_grant"), kind("revoke", F.max).alias("last_revoke"), kind("revoke", F.min).alias("first_revoke"))
+    stands = F.col("last_grant").isNotNull() & (F.col("last_revoke").isNull() | (F.col("last_grant") > F.col("last_revoke")))
+    pair = ["installation_id", "repo_id"]
+    next_grants = grants.join(by, pair, "left_anti").unionByName(by.where(stands).select(*pair), allowMissingColumns=True)
+    tenants = installations.select("installation_id", "tenant_id").distinct()
+    revoked = by.where("last_revoke is not null").join(tenants, "installation_id").select("tenant_id", "repo_id")
+    gone = by.where("last_revoke is not null").select("repo_id").distinct()
+    off, closed = tables.disable_where(selections, revoked), tables.disable_where(allowed, gone)
+    granted = by.where(F.col("first_grant").isNotNull()).join(tenants, "installation_id")
+    # A tenant may have the repo by several installations: what any of them revoked before is off.
+    before = by.where("first_revoke is not null").join(tenants, "installation_id").groupBy("tenant_id", "repo_id").agg(F.min("first_revoke").alias("off_at"))
+    jobs = granted.join(selections.where("enabled").select("tenant_id", "repo_id").distinct(), ["tenant_id", "repo_id"]).join(before, ["tenant_id", "repo_id"], "left")
+    jobs = jobs.where(F.col("off_at").isNull() | (F.col("first_grant") < F.col("off_at"))).select("tenant_id", "repo_id").distinct()
+    unused = gone.join(tables.in_use(off, closed), "repo_id", "left_anti")
+    return {"grants": next_grants, "selections": off, "allowed": closed, "jobs": jobs, "unused": unused}
+
+
+def with_grants(read: Callable[[], dict[str, DataFrame]], write: Callable[[dict[str, DataFrame], int], None], purge: Callable[[DataFrame, int], None], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over installation events.
+
+    read gives grants, selections, allowed and installations as they stand; write stores
+    grant_changes' tables and jobs by epoch; then purge gets the repos to drop, checked
+    again against the tables as they stand by then, so that one that came back stays.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        out = grant_changes(grant_events(batch), order=order, **read())
+        gone = out["unused"].persist()
+        gone.count()  # as of these tables, before write gives the next ones
+        write(out, epoch)
+        now = read()
+        purge(gone.join(tables.in_use(now["selections"], now["allowed"]), "repo_id", "left_anti"), epoch)
+        gone.unpersist()
+
+    return run
 
 
 def run_skip_reason(own: list[str]):

@@ -333,3 +333,26 @@ def test_clean_turns(spark):
     df = spark.createDataFrame([("user", "<@U1> " + "x" * 900), ("assistant", "ok [1]")], "role string, text string")
     got = [r["x"] for r in df.select(text.clean_turn(F.col("role"), F.col("text")).alias("x")).collect()]
     assert len(got[0]) == 800 and got[0].endswith("…") and got[1] == "ok"
+
+
+def test_grants_are_revoked_purged_and_checked_again(spark):
+    of = "installation struct<id:long>, action string, repositories array<struct<full_name:string>>, repositories_removed array<struct<full_name:string>>, repositories_added array<struct<full_name:string>>, ts int"
+    batch = spark.createDataFrame([((1,), "removed", None, [("O/A",), ("o/b",), ("o/back",)], None, 1), ((1,), "added", None, None, [("o/new",), ("o/a",)], 2), ((2,), "deleted", [("o/c",)], None, None, 3)], of)
+    state = {
+        "grants": spark.createDataFrame([(1, "o/a"), (1, "o/b"), (2, "o/c"), (3, "o/c")], "installation_id long, repo_id string"),
+        "selections": spark.createDataFrame([(10, "o/a", True), (10, "o/b", True), (30, "o/c", True), (10, "o/new", True)], "tenant_id long, repo_id string, enabled boolean"),
+        "allowed": spark.createDataFrame([("o/b", True), ("o/z", True)], "repo_id string, enabled boolean"),
+        "installations": spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "installation_id long, tenant_id long"),
+    }
+    seen, purged = {}, []
+
+    def write(out, epoch):
+        seen.update({k: {tuple(r) for r in v.collect()} for k, v in out.items()})
+        state["selections"] = state["selections"].where("repo_id not in ('o/a', 'o/b')").union(spark.createDataFrame([(40, "o/back", True)], "tenant_id long, repo_id string, enabled boolean"))
+        state["allowed"] = state["allowed"].where("repo_id = 'o/z'")
+
+    jobs.with_grants(lambda: state, write, lambda gone, epoch: purged.extend(r["repo_id"] for r in gone.collect()), ["ts", "n"])(batch, 0)
+    assert seen["grants"] == {(1, "o/a"), (1, "o/new"), (3, "o/c")}
+    assert {(t, r) for t, r, on in seen["selections"] if on} == {(30, "o/c"), (10, "o/new")} and seen["allowed"] == {("o/b", False), ("o/z", True)}
+    assert seen["jobs"] == {(10, "o/new")} and seen["unused"] == {("o/a",), ("o/b",), ("o/back",)}
+    assert sorted(purged) == ["o/a", "o/b"]
