@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_conversations
-from .common import stored
+from .common import ascii_lower, stored
 from .decontamination import contamination
+from .fill_in_middle import fill_in_middle, restored_text
+from .merkle import merkle_manifest
 from .minhash import near_duplicates
 from .mixing import mixture
 from .quality import quality
 from .quality_rules import quality_rules
 from .sentence_dedup import drop_repeated_spans
+from .simhash import simhash_near_duplicates
 from .token_output import encoded_corpus
 from .toxicity import toxicity
 from .url_filters import url_verdicts
@@ -200,3 +203,89 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences in repeated runs removed from all documents but the first."""
     return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a leaf; a fifth of them handed in with their letters lower-cased, held against the root."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), claims={"text": tampered})
+
+
+#: Levels of each source's tree, then of the tree over the subroots; crc32 bit by bit; a fold for each level.
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, source, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE strlen(text) || ':' || text END, '-')) AS claim
+  FROM given
+), nodes AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, level, pos // 16
+), subroots AS (
+  SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 16
+), siblings AS (
+  SELECT l.doc_id, n.level, n.pos, n.digest, n.pos < (l.pos >> (4 * n.level)) AS before, n.pos = (l.pos >> (4 * n.level)) AS own
+  FROM leaves l JOIN nodes n ON l.source IS NOT DISTINCT FROM n.source AND n.pos >> 4 = l.pos >> (4 * (n.level + 1)) WHERE n.n > 1
+  UNION ALL
+  SELECT l.doc_id, s.height + t.level, t.pos, t.digest, t.pos < (s.pos >> (4 * t.level)), t.pos = (s.pos >> (4 * t.level))
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN tops t ON t.pos >> 4 = s.pos >> (4 * (t.level + 1)) WHERE t.n > 1
+), steps AS (
+  SELECT doc_id, level, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (before), '') AS b, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (NOT before AND NOT own), '') AS a
+  FROM siblings GROUP BY doc_id, level
+), folds AS (
+  SELECT doc_id, 0 AS level, claim AS cur FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(s.b || f.cur || s.a) FROM folds f JOIN steps s ON f.doc_id = s.doc_id AND f.level = s.level
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(b || a, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY doc_id
+), ends AS (
+  SELECT doc_id, max_by(cur, level) AS folded_root FROM folds GROUP BY doc_id
+)
+SELECT l.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles of whole texts; links from two differing bits down."""
+    return simhash_near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, most=2)
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut after two of its lines, and made whole again from the output."""
+    out = fill_in_middle(table(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM cut
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, n), '') AS suf FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
