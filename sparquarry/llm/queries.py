@@ -202,7 +202,33 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences in repeated runs removed from all documents but the first."""
-    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return drop_repeated_spans(table(spark, sf_dir, "documents"), least=2, least_words=0)
+
+
+#: Sentences, runs of two, the first place of each run, and what is left without the sentences of later ones.
+ORACLES["op8_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\n]+?(?:[.!?]+[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+|\n[\x09-\x0D\x1C-\x20\x{85}\x{A0}]*|\z)') AS u FROM documents
+), sentences AS (
+  SELECT doc_id, unnest(u) AS s, generate_subscripts(u, 1) AS i FROM split
+), plain AS (
+  SELECT doc_id, i, s, regexp_replace(s, '^[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}]+$', '', 'g') AS p FROM sentences
+), runs AS (
+  SELECT doc_id, i, p, lead(p) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM plain
+), placed AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY p, q ORDER BY doc_id NULLS LAST, i) AS nth, first_value(doc_id) OVER (PARTITION BY p, q ORDER BY doc_id NULLS LAST, i) AS first_doc FROM runs WHERE q IS NOT NULL
+), late AS (
+  SELECT doc_id, i, first_doc FROM placed WHERE nth > 1
+), gone AS (
+  SELECT doc_id, i FROM late UNION SELECT doc_id, i + 1 FROM late
+), left_ AS (
+  SELECT p.doc_id, count(*) AS n, count(g.i) AS r, coalesce(string_agg(s, '' ORDER BY p.i) FILTER (g.i IS NULL), '') AS rest FROM plain p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id
+), firsts AS (
+  SELECT doc_id, list_sort(list_distinct(list(first_doc))) AS first_docs FROM late GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, first_docs, coalesce(r < n, true) AS kept, CASE WHEN r > 0 THEN rest ELSE d.text END AS text
+FROM documents d LEFT JOIN left_ USING (doc_id) LEFT JOIN firsts USING (doc_id)
+"""
 
 
 @query
