@@ -197,29 +197,29 @@ def _named(queries: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def definition_search(queries: DataFrame, symbols: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 10, score: float = 0.92) -> DataFrame:
-    """Chunks over the lines of the symbols that a query (query_id, needles) names: definitions first, then the shortest."""
+    """Chunks over the lines of the symbols that a query (query_id, needles) names: those that symbols' definition_chunk_id has first, then the shortest."""
     s, c = _named(queries, symbols).alias("s"), chunks.alias("c")
     hit = s.join(c, (F.col("s.repo_id") == F.col("c.repo_id")) & (F.col("s.path") == F.col("c.path")) & overlap("s", "c"))
-    rank = F.struct(F.when(F.col("c.chunk_type").isin(DEFINITION_TYPES), 0).otherwise(1).alias("kind"), (F.col("c.end_line") - F.col("c.start_line")).alias("span"))
+    rank = F.struct(F.when(F.col("c.chunk_id") == F.col("s.definition_chunk_id"), 0).otherwise(1).alias("kind"), (F.col("c.end_line") - F.col("c.start_line")).alias("span"))
     best = in_scope(hit.groupBy("s.query_id", "c.chunk_id", "c.repo_id").agg(F.min(rank).alias("rank")), scopes)
     return top(best, k, ["rank", "chunk_id"]).select("query_id", "chunk_id", "repo_id", "ord", F.lit(score).alias("score"), F.lit("symbol").alias("source"))
 
 
 def reference_search(queries: DataFrame, symbols: DataFrame, references: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 12, roles: tuple[str, ...] = ("reference", "implementation", "override"), score: float = 0.72) -> DataFrame:
-    """Chunks over the lines that refer to the symbols a query names: the enclosing symbol's first, then the shortest."""
+    """Chunks over the lines that refer to the symbols a query names: lines within some symbol first, then the shortest."""
     s = _named(queries, symbols).select("query_id", "symbol_id", "repo_id").alias("s")
     r, c = references.where(F.col("role").isin(*roles)).alias("r"), chunks.alias("c")
     at = s.join(r, (F.col("s.symbol_id") == F.col("r.symbol_id")) & (F.col("s.repo_id") == F.col("r.repo_id")))
     hit = at.join(c, (F.col("r.repo_id") == F.col("c.repo_id")) & (F.col("r.path") == F.col("c.path")) & overlap("r", "c"))
-    rank = F.struct(F.when(F.col("c.symbol") == F.col("r.enclosing_symbol"), 0).otherwise(1).alias("kind"), (F.col("c.end_line") - F.col("c.start_line")).alias("span"))
+    rank = F.struct(F.when(F.col("r.enclosing_symbol").isNotNull(), 0).otherwise(1).alias("kind"), (F.col("c.end_line") - F.col("c.start_line")).alias("span"))
     best = in_scope(hit.groupBy("s.query_id", "c.chunk_id", "c.repo_id").agg(F.min(rank).alias("rank")), scopes)
     return top(best, k, ["rank", "chunk_id"]).select("query_id", "chunk_id", "repo_id", "ord", F.lit(score).alias("score"), F.lit("symbol").alias("source"))
 
 
 def symbol_search(queries: DataFrame, symbols: DataFrame, references: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Definitions, then references."""
+    """Definitions, then references and implementations."""
     d = definition_search(queries, symbols, chunks, scopes, k)
-    return d.unionByName(reference_search(queries, symbols, references, chunks, scopes, k).withColumn("ord", F.col("ord") + k))
+    return d.unionByName(reference_search(queries, symbols, references, chunks, scopes, k, ("reference", "implementation")).withColumn("ord", F.col("ord") + k))
 
 
 def callers(asked: DataFrame, edges: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 8, score: float = 0.5) -> DataFrame:
@@ -286,7 +286,7 @@ def build_symbol_facts(chunks: DataFrame, edges: DataFrame) -> tuple[DataFrame,
 
     kinds = F.create_map(*[F.lit(x) for p in {"function": "function", "method": "method", "class": "class", "struct": "struct", "type": "type", "interface": "interface"}.items() for x in p])
     symbols = chunks.where("symbol is not null").where(F.col("chunk_type").isin(DEFINITION_TYPES)).select(
-        stable_id(*[F.col(c) for c in ("repo_id", "path", "symbol", "start_line")]).alias("symbol_id"), "repo_id", F.col("symbol"), F.col("symbol").alias("display_name"), F.coalesce(F.try_element_at(kinds, F.col("chunk_type")), F.lit("unknown")).alias("kind"), "path", "start_line", "end_line"
+        stable_id(*[F.col(c) for c in ("repo_id", "path", "symbol", "start_line")]).alias("symbol_id"), "repo_id", F.col("symbol"), F.col("symbol").alias("display_name"), F.coalesce(F.try_element_at(kinds, F.col("chunk_type")), F.lit("unknown")).alias("kind"), "path", "start_line", "end_line", F.col("chunk_id").alias("definition_chunk_id")
     )
     at = resolve_names(edges, symbols).join(chunks.select(F.col("chunk_id").alias("from_node"), F.col("repo_id").alias("r_"), "path", "start_line", "end_line", F.col("symbol").alias("enclosing_symbol")), "from_node")
     references = at.select(stable_id(F.col("symbol_id"), F.col("from_node"), F.col("line")).alias("reference_id"), "repo_id", "symbol_id", F.lit("reference").alias("role"), "path", F.coalesce("line", "start_line").alias("start_line"), F.coalesce("line", "end_line").alias("end_line"), "enclosing_symbol")

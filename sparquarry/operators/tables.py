@@ -19,13 +19,23 @@ def _last(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     return picked.select(*[F.col(c) if c in keys else F.col(f"last_.{c}").alias(c) for c in rows.columns])
 
 
-def _merged(target: DataFrame, rows: DataFrame, keys: list[str], value, order: str | None = None) -> DataFrame:
-    """Full outer merge; value(column, old, new, both) gives the columns that aren't keys."""
-    t, r = target.withColumn("in_t", F.lit(True)).alias("t"), _last(rows, keys, order).withColumn("in_r", F.lit(True)).alias("r")
+def _last_values(rows: DataFrame, keys: list[str], order: str | None, always: tuple[str, ...]) -> DataFrame:
+    """One row a key: of each column the last value by order that isn't null, of the always columns the last row's."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    # Equal places in the order go by all columns, so that reruns agree.
+    at = F.struct(*[F.col(c) for c in ([order] if order else []) + others] or [F.lit(0).alias("none_")])
+    seen = lambda c: F.max_by(F.col(c), at) if c in always else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at))
+    picked = [seen(c).alias(c) for c in others] + ([F.max(order).alias(order)] if order and order not in keys else [])
+    return rows.groupBy(*keys).agg(*picked or [F.count("*").alias("n_")]).select(*rows.columns)
+
+
+def _merged(target: DataFrame, one: DataFrame, keys: list[str], value) -> DataFrame:
+    """Full outer merge with rows of which each key has one; value(column, old, new) gives the columns that aren't keys."""
+    t, r = target.withColumn("in_t", F.lit(True)).alias("t"), one.withColumn("in_r", F.lit(True)).alias("r")
     both = t.join(r, [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "full_outer")
     out = []
     for c in target.columns:
-        old, new = F.col(f"t.{c}"), F.col(f"r.{c}") if c in rows.columns else F.lit(None)
+        old, new = F.col(f"t.{c}"), F.col(f"r.{c}") if c in one.columns else F.lit(None)
         out.append(F.coalesce(old, new).alias(c) if c in keys else value(c, old, new).alias(c))
     return both.select(*out)
 
@@ -34,28 +44,49 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], columns: list[st
     """Rows replace columns (all by default) where their key is there, else come in; of several for a key the last by order."""
     columns = columns or [c for c in target.columns if c not in keys]
     has_new, has_old = F.coalesce(F.col("in_r"), F.lit(False)), F.coalesce(F.col("in_t"), F.lit(False))
-    return _merged(target, rows, keys, lambda c, old, new: F.when(has_new & (~has_old | F.lit(c in columns)), new).otherwise(old), order)
+    return _merged(target, _last(rows, keys, order), keys, lambda c, old, new: F.when(has_new & (~has_old | F.lit(c in columns)), new).otherwise(old))
 
 
-def upsert_coalesce(target: DataFrame, rows: DataFrame, keys: list[str], always: tuple[str, ...] = ()) -> DataFrame:
-    """An upsert in which nulls don't overwrite, but in the always columns."""
+def upsert_coalesce(target: DataFrame, rows: DataFrame, keys: list[str], always: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """An upsert in which nulls don't overwrite, but in the always columns.
+
+    Several rows for a key act as one after the other, by order: each column gets its last value
+    that isn't null, an always column the last row's.
+    """
     has_new = F.coalesce(F.col("in_r"), F.lit(False))
-    return _merged(target, rows, keys, lambda c, old, new: F.when(has_new, new).otherwise(old) if c in always else F.coalesce(new, old))
+    return _merged(target, _last_values(rows, keys, order, always), keys, lambda c, old, new: F.when(has_new, new).otherwise(old) if c in always else F.coalesce(new, old))
+
+
+def _first(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row a key: the first by order, of equals or without order the least of all columns."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    best = F.struct(*[F.col(c) for c in ([order] if order and order not in keys else []) + others] or [F.lit(0).alias("none_")])
+    picked = rows.groupBy(*keys).agg(F.min(best).alias("first_"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"first_.{c}").alias(c) for c in rows.columns])
 
 
-def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(claim(target, rows, keys).select(*target.columns))
+def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """target with the first row by order of each key that it hasn't."""
+    return target.unionByName(claim(target, rows, keys, order).select(*target.columns))
 
 
-def claim(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that would be inserted: one for each key that isn't there yet."""
-    return rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+def claim(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The rows that would be inserted: the first by order for each key that isn't there yet."""
+    return _first(rows, keys, order).join(target.select(*keys), keys, "left_anti")
 
 
-def upsert_no_downgrade(target: DataFrame, rows: DataFrame, keys: list[str], status: str = "status", final: str = "READY") -> DataFrame:
-    """An upsert that leaves rows of the final status as they are."""
+def upsert_no_downgrade(target: DataFrame, rows: DataFrame, keys: list[str], status: str = "status", final: str = "READY", order: str | None = None) -> DataFrame:
+    """An upsert that leaves rows of the final status as they are.
+
+    Several rows for a key act as one after the other, by order: the first of them that has the
+    final status is the last that counts.
+    """
+    done = rows.where(F.col(status) == final)
+    # A row with the final status wins over all others of its key; of several the first.
+    ended = _first(done, keys, order)
+    going = _last(rows, keys, order).join(ended.select(*keys), keys, "left_anti")
     stays, has_new = F.coalesce(F.col(f"t.{status}") == final, F.lit(False)), F.coalesce(F.col("in_r"), F.lit(False))
-    return _merged(target, rows, keys, lambda c, old, new: F.when(has_new & ~stays, new).otherwise(old))
+    return _merged(target, ended.unionByName(going), keys, lambda c, old, new: F.when(has_new & ~stays, new).otherwise(old))
 
 
 def delete_by(target: DataFrame, keys_df: DataFrame) -> DataFrame:
@@ -155,3 +186,23 @@ def sync_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, action (write, keep, delete), shard: what makes the stored set the new one."""
     both = old.select("key", F.col("hash").alias("old_")).join(new.select("key", F.col("hash").alias("new_")), "key", "full_outer")
     return both.select("key", F.when(F.col("new_").isNull(), "delete").when(F.col("old_").eqNullSafe(F.col("new_")), "keep").otherwise("write").alias("action"), F.regexp_extract("key", r"^(.*?)(?:_v\d+)?(?:\.\d+)?\.[^.]*$", 1).alias("shard"))
+
+
+#: Columns of an artifact's row that a later report replaces; the others stay as the first one gave them.
+ARTIFACT_STATE = ["status", "artifact_uri", "content_hash", "metadata_json", "error"]
+
+
+def merge_artifacts(manifest: DataFrame, reports: DataFrame, order: str) -> DataFrame:
+    """The next version of an artifact manifest after reports, which act one after the other by order.
+
+    Both have id, repo_id, artifact_type, commit_sha, language, producer and the state: status,
+    artifact_uri, content_hash, metadata_json, error. An id's first report gives all columns; each
+    later one replaces the state, nulls too, so that a success clears the error of a failure and a
+    failure the uri and hash of a success. A null language is empty.
+    """
+    rows = reports.withColumn("language", F.coalesce("language", F.lit("")))
+    first, last = _first(rows, ["id"], order), _last(rows, ["id"], order)
+    fixed = [c for c in manifest.columns if c not in ("id", *ARTIFACT_STATE)]
+    one = first.select("id", *fixed).join(last.select("id", *ARTIFACT_STATE), "id")
+    has_new, has_old = F.coalesce(F.col("in_r"), F.lit(False)), F.coalesce(F.col("in_t"), F.lit(False))
+    return _merged(manifest, one, ["id"], lambda c, old, new: F.when(has_new & (~has_old | F.lit(c in ARTIFACT_STATE)), new).otherwise(old))

@@ -246,12 +246,15 @@ def _line_chunks(spark, d):
     return c.withColumn("symbol", F.when(F.col("start_line") == 1, F.element_at(F.split("path", "/"), -1))).withColumn("chunk_type", F.when(F.col("start_line") == 1, "function").otherwise("generic"))
 
 
-@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT 'f' || doc_id AS symbol, source AS repo_id, lang || '/' || doc_id || '.txt' AS path, 1 + doc_id % 5 AS a, 12 + doc_id % 5 AS b, doc_id FROM documents), h AS (SELECT doc_id AS query_id, chunk_id, min((CASE WHEN c.start_line = 1 THEN 0 ELSE 1 END, c.end_line - c.start_line)) AS rank_ FROM s JOIN chunks_ c ON c.repo_id = s.repo_id AND c.path = s.path AND s.a <= c.end_line AND s.b >= c.start_line WHERE doc_id % 5 = 0 GROUP BY doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank_, chunk_id) <= 10")
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT 'f' || doc_id AS symbol, source AS repo_id, lang || '/' || doc_id || '.txt' AS path, 1 + doc_id % 5 AS a, 12 + doc_id % 5 AS b, doc_id FROM documents), h AS (SELECT doc_id AS query_id, chunk_id, min((CASE WHEN c.start_line = 9 THEN 0 ELSE 1 END, c.end_line - c.start_line)) AS rank_ FROM s JOIN chunks_ c ON c.repo_id = s.repo_id AND c.path = s.path AND s.a <= c.end_line AND s.b >= c.start_line WHERE doc_id % 5 = 0 GROUP BY doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank_, chunk_id) <= 10")
 def j7_definition_search(spark, d):
     doc = F.col("doc_id")
     s = read(spark, d, "documents").select(doc.alias("symbol_id"), F.col("source").alias("repo_id"), F.concat(F.lit("f"), doc).alias("symbol"), F.concat(F.lit("f"), doc).alias("display_name"), F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("path"), (1 + doc % 5).alias("start_line"), (12 + doc % 5).alias("end_line"))
     q = read(spark, d, "documents").where("doc_id % 5 = 0").select(doc.alias("query_id"), F.array(F.concat(F.lit("f"), doc)).alias("needles"))
-    return search.definition_search(q, s, _line_chunks(spark, d)).select("query_id", "chunk_id")
+    c = _line_chunks(spark, d)
+    # The second window, where there is one, is where the symbol is defined.
+    s = s.join(c.where("start_line = 9").select("repo_id", "path", F.col("chunk_id").alias("definition_chunk_id")), ["repo_id", "path"], "left")
+    return search.definition_search(q, s, c).select("query_id", "chunk_id")
 
 
 @query(f"WITH {fx.FILES}, {fx.chunks_sql()}, h AS (SELECT d.doc_id AS query_id, c.* FROM documents d JOIN chunks_ c ON c.path = d.lang || '/' || d.doc_id || '.txt' AND c.start_line <= 30 AND c.end_line >= 5 WHERE d.doc_id % 3 = 0) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY start_line, chunk_id) <= 12")
@@ -301,24 +304,49 @@ def m1_upsert(spark, d):
     return tables.upsert(*_old_new(spark, d), ["id"], ["v"])
 
 
-@query(_ON + "SELECT * FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (id)")
+def _order_rows(spark, d):
+    """Old rows of customers, and new ones from their orders: several a key, in the order of o_orderkey, with nulls."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("v"))
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    new = o.select(F.col("o_custkey").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("S"), (k % 5).cast("string"))).alias("status"), F.when(k % 4 != 0, F.col("o_totalprice")).alias("v"), k.alias("at"))
+    return c.where("id % 4 <> 0"), new
+
+
+_ROWS = "WITH o AS (SELECT c_custkey AS id, c_mktsegment AS status, c_acctbal AS v FROM customer WHERE c_custkey % 4 <> 0), n AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'S' || (o_orderkey % 5) END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS v, o_orderkey AS at_ FROM orders) "
+
+
+@query(_ROWS + "SELECT * FROM o UNION ALL (SELECT id, status, v FROM n ANTI JOIN o USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY at_) = 1)")
 def m2_insert_absent(spark, d):
-    return tables.insert_absent(*_old_new(spark, d), ["id"])
+    return tables.insert_absent(*_order_rows(spark, d), ["id"], order="at")
 
 
-@query(_ON + "SELECT coalesce(o.id, n.id) AS id, coalesce(n.status, o.status) AS status, coalesce(n.v, o.v) AS v" + _FULL)
+@query(_ROWS + ", l AS (SELECT id, max_by(status, at_) FILTER (status IS NOT NULL) AS status, max_by(v, at_) FILTER (v IS NOT NULL) AS v FROM n GROUP BY id) SELECT coalesce(o.id, l.id) AS id, coalesce(l.status, o.status) AS status, coalesce(l.v, o.v) AS v FROM o FULL JOIN l ON o.id = l.id")
 def m3_upsert_coalesce(spark, d):
-    return tables.upsert_coalesce(*_old_new(spark, d), ["id"])
+    return tables.upsert_coalesce(*_order_rows(spark, d), ["id"], order="at")
 
 
-@query(_ON + "SELECT id FROM n ANTI JOIN o USING (id)")
+@query(_ROWS + "SELECT id, at_ AS at FROM n ANTI JOIN o USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY at_) = 1")
 def m4_claim(spark, d):
-    return tables.claim(*_old_new(spark, d), ["id"]).select("id")
+    return tables.claim(*_order_rows(spark, d), ["id"], order="at").select("id", "at")
 
 
-@query(_ON + "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR o.status = 'MACHINERY' THEN o.status ELSE n.status END AS status, CASE WHEN n.id IS NULL OR o.status = 'MACHINERY' THEN o.v ELSE n.v END AS v" + _FULL)
+#: Rows of a key up to the first final one, of which the last counts.
+@query(_ROWS + ", e AS (SELECT *, min(at_) FILTER (status = 'S1') OVER (PARTITION BY id) AS end_ FROM n), l AS (SELECT id, arg_max({'s': status, 'v': v}, at_) AS x FROM e WHERE end_ IS NULL OR at_ <= end_ GROUP BY id), t AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'S1' ELSE status END AS status) FROM o) SELECT coalesce(t.id, l.id) AS id, CASE WHEN l.id IS NULL OR t.status = 'S1' THEN t.status ELSE x.s END AS status, CASE WHEN l.id IS NULL OR t.status = 'S1' THEN t.v ELSE x.v END AS v FROM t FULL JOIN l ON t.id = l.id")
 def m5_no_downgrade(spark, d):
-    return tables.upsert_no_downgrade(*_old_new(spark, d), ["id"], final="MACHINERY")
+    old, new = _order_rows(spark, d)
+    return tables.upsert_no_downgrade(old.withColumn("status", F.when(F.col("id") % 5 == 0, "S1").otherwise(F.col("status"))), new, ["id"], final="S1", order="at")
+
+
+@query("""WITH r AS (SELECT o_custkey % 300 AS id, 'R' || (o_custkey % 7) AS repo_id, o_orderpriority AS producer, CASE WHEN o_orderkey % 3 = 0 THEN 'FAILED' ELSE 'READY' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN 'u' || o_orderkey END AS artifact_uri, CASE WHEN o_orderkey % 3 <> 0 THEN sha256(CAST(o_orderkey AS VARCHAR)) END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'e' || o_orderkey END AS error, o_orderkey AS at_ FROM orders),
+n AS (SELECT id, arg_min(producer, at_) AS producer, arg_max({'s': status, 'u': artifact_uri, 'h': content_hash, 'e': error}, at_) AS x FROM r GROUP BY id), o AS (SELECT c_custkey AS id, c_name AS producer FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.producer, n.producer) AS producer, CASE WHEN n.id IS NULL THEN 'READY' ELSE x.s END AS status, CASE WHEN n.id IS NULL THEN 'old' ELSE x.u END AS artifact_uri, x.h AS content_hash, x.e AS error FROM o FULL JOIN n ON o.id = n.id""")
+def s18_artifact_manifest(spark, d):
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    common = [F.lit("index").alias("artifact_type"), none.alias("commit_sha"), none.alias("language"), none.alias("metadata_json")]
+    failed = k % 3 == 0
+    reports = read(spark, d, "orders").select((F.col("o_custkey") % 300).alias("id"), F.concat(F.lit("R"), F.col("o_custkey") % 7).alias("repo_id"), F.col("o_orderpriority").alias("producer"), *common, F.when(failed, "FAILED").otherwise("READY").alias("status"), F.when(~failed, F.concat(F.lit("u"), k)).alias("artifact_uri"), F.when(~failed, F.sha2(k.cast("string"), 256)).alias("content_hash"), F.when(failed, F.concat(F.lit("e"), k)).alias("error"), k.alias("at"))
+    held = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("R").alias("repo_id"), F.col("c_name").alias("producer"), *common, F.lit("READY").alias("status"), F.lit("old").alias("artifact_uri"), none.alias("content_hash"), none.alias("error"))
+    return tables.merge_artifacts(held, reports, "at").select("id", "producer", "status", "artifact_uri", "content_hash", "error")
 
 
 @query(_ON + "SELECT * FROM o ANTI JOIN n USING (id)")
@@ -430,7 +458,7 @@ def x15_evaluate(spark, d):
     found = flagship(spark, d).select(F.col("query_id").cast("string").alias("id"), "citations")
     answers = found.select("id", F.array_join(F.transform("citations", lambda c: F.concat(F.lit("["), c["pos"].cast("string"), F.lit("]"))), " ").alias("answer"), F.transform("citations", lambda c: F.struct(c["repo_id"].alias("repoFullName"), c["path"].alias("path"), c["source"].alias("source"), c["sources"].alias("sources"))).alias("citations"))
     grams = search.build_trigrams(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
-    where_ = search.exact_search(b.select(F.col("item_id").alias("query_id"), F.array("text").alias("needles")), docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("repo_id"), F.col("text").alias("content")), grams, k=1000)
+    where_ = search.exact_search(b.select(F.col("item_id").alias("query_id"), F.array("text").alias("needles")), docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("repo_id"), F.col("text").alias("content")), grams, k=None)
     paths_ = where_.join(docs.select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id").groupBy("query_id").agg(F.collect_set(F.struct(F.concat("lang", F.lit("/"), "chunk_id", F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("repo"))).alias("expectedFiles"))
     none = F.lit(None).cast("array<string>")
     cases = b.join(paths_, F.col("query_id") == F.col("item_id"), "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), "expectedFiles", none.alias("expectedCitationSources"), none.alias("answerMust"), none.alias("answerMustNot"), F.col("expectedFiles").isNull().alias("expectNoAnswer"), F.lit(None).cast("string").alias("notes"))
@@ -443,13 +471,13 @@ def j5_callees(spark, d):
     return search.callees(asked, fx.edges(spark, d), _part_chunks(spark, d)).select("query_id", "chunk_id")
 
 
-@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT doc_id, source AS repo_id FROM documents WHERE doc_id % 5 = 0), r AS (SELECT s.doc_id, d.source AS repo_id, d.lang || '/' || d.doc_id || '.txt' AS path, 3 AS a, 15 AS b FROM s JOIN documents d ON d.source = s.repo_id AND d.doc_id % 3 = 0), h AS (SELECT r.doc_id AS query_id, chunk_id, min(c.end_line - c.start_line) AS span FROM r JOIN chunks_ c ON c.repo_id = r.repo_id AND c.path = r.path AND r.a <= c.end_line AND r.b >= c.start_line GROUP BY r.doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY span, chunk_id) <= 12")
+@query(f"WITH {fx.FILES}, {fx.chunks_sql()}, s AS (SELECT doc_id, source AS repo_id FROM documents WHERE doc_id % 5 = 0), r AS (SELECT s.doc_id, d.source AS repo_id, d.lang || '/' || d.doc_id || '.txt' AS path, 3 AS a, 15 AS b, d.doc_id % 2 = 0 AS enclosed FROM s JOIN documents d ON d.source = s.repo_id AND d.doc_id % 3 = 0), h AS (SELECT r.doc_id AS query_id, chunk_id, min((CASE WHEN enclosed THEN 0 ELSE 1 END, c.end_line - c.start_line)) AS span FROM r JOIN chunks_ c ON c.repo_id = r.repo_id AND c.path = r.path AND r.a <= c.end_line AND r.b >= c.start_line GROUP BY r.doc_id, chunk_id) SELECT query_id, chunk_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY span, chunk_id) <= 12")
 def j8_reference_search(spark, d):
     doc, docs = F.col("doc_id"), read(spark, d, "documents")
     named = docs.where("doc_id % 5 = 0")
     s = named.select(doc.alias("symbol_id"), F.col("source").alias("repo_id"), F.concat(F.lit("f"), doc).alias("symbol"), F.concat(F.lit("f"), doc).alias("display_name"))
-    at = docs.where("doc_id % 3 = 0").select(F.col("source").alias("repo_id"), F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("path"))
-    refs = s.select("symbol_id", "repo_id").join(at, "repo_id").select("*", F.lit("reference").alias("role"), F.lit(3).alias("start_line"), F.lit(15).alias("end_line"), F.lit("none").alias("enclosing_symbol"))
+    at = docs.where("doc_id % 3 = 0").select(F.col("source").alias("repo_id"), F.concat("lang", F.lit("/"), doc, F.lit(".txt")).alias("path"), F.when(doc % 2 == 0, F.lit("some")).alias("enclosing_symbol"))
+    refs = s.select("symbol_id", "repo_id").join(at, "repo_id").select("*", F.lit("reference").alias("role"), F.lit(3).alias("start_line"), F.lit(15).alias("end_line"))
     q = named.select(doc.alias("query_id"), F.array(F.concat(F.lit("f"), doc)).alias("needles"))
     return search.reference_search(q, s, refs, fx.chunks(spark, d)).select("query_id", "chunk_id")
 
