@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.stored import stored
+from .fulltext import FIELDS, TextIndex, phrase_count, tokens
 
 K1, B = 1.2, 0.75
 DEFINITION_TYPES = ["function", "method", "class", "struct", "type", "interface"]
@@ -31,54 +33,47 @@ def in_scope(hits: DataFrame, scopes: DataFrame | None) -> DataFrame:
     return hits if scopes is None else hits.join(scopes.select("query_id", "repo_id").distinct(), ["query_id", "repo_id"], "left_semi")
 
 
-def tokens(x: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, repo_id, field, term, pos) of symbol, path and content."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in ("symbol", "path", "content")])
-    each = chunks.select("chunk_id", "repo_id", F.explode(fields).alias("f"))
-    return each.select("chunk_id", "repo_id", "f.field", F.posexplode("f.t").alias("pos", "term"))
-
-
-def chunk_lengths(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("chunk_id", "repo_id").agg(F.count("*").alias("length"))
-
-
-def bm25_search(queries: DataFrame, postings: DataFrame, scopes: DataFrame | None = None, k: int = 25, weights: tuple[float, float, float] = (8.0, 4.0, 1.0), chunks: DataFrame | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, index: TextIndex, scopes: DataFrame | None = None, k: int = 25, weights: tuple[float, float, float] = (8.0, 4.0, 1.0), chunks: DataFrame | None = None) -> DataFrame:
     """Best k chunks of each query (query_id, needles, symbols) by BM25 over any of its prefix phrases.
 
     A needle is a run of tokens of which the last may go on. Its tokens are found one by one,
-    the last through the vocabulary, and must stand side by side. The score is relative to
-    the query's best hit, with a little more where chunks (chunk_id, symbol) has a symbol that
-    the query names.
+    the last through the vocabulary, and must stand side by side. What a needle is worth in a
+    chunk is worked out once, however many queries have it; queries meet needles after that. The
+    score is relative to the query's best hit, with a little more where chunks (chunk_id, symbol)
+    has a symbol that the query names.
     """
-    needle = queries.select("query_id", F.posexplode("needles").alias("needle", "text")).withColumn("t", tokens(F.col("text"))).where(F.size("t") > 0)
-    words = needle.select("query_id", "needle", F.size("t").alias("n"), F.posexplode("t").alias("i", "word"))
-    vocabulary = postings.select("term").distinct()
-    # Words meet the terms that begin like them, by up to four characters.
-    keyed = vocabulary.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("term", F.lit(1), n)))))
+    asked = queries.select("query_id", F.explode(F.transform("needles", tokens)).alias("t")).where(F.size("t") > 0)
+    asked = asked.select("query_id", F.array_join("t", " ").alias("needle"), "t")
+    each = asked.select("needle", "t").dropDuplicates(["needle"])
+    words = each.select("needle", F.size("t").alias("n"), F.posexplode("t").alias("i", "word"))
+    # Last words meet the terms that begin like them, by up to four characters.
+    keyed = index.terms.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("term", F.lit(1), n)))))
     lasts = words.where("i = n - 1").withColumn("key", F.substring("word", 1, 4))
-    expanded = lasts.join(keyed, "key").where(F.col("term").startswith(F.col("word"))).select("query_id", "needle", "n", "i", "term").distinct()
-    wanted = expanded.union(words.where("i < n - 1").select("query_id", "needle", "n", "i", F.col("word").alias("term")))
-    found = wanted.join(postings, "term").withColumn("start", F.col("pos") - F.col("i"))
-    phrases = found.groupBy("query_id", "needle", "n", "chunk_id", "repo_id", "field", "start").agg(F.count_distinct("i").alias("m")).where("m = n")
+    expanded = lasts.join(keyed, "key").where(F.col("term").startswith(F.col("word"))).select("needle", "n", "i", "term").distinct()
+    wanted = expanded.union(words.where("i < n - 1").select("needle", "n", "i", F.col("word").alias("term")))
     weight = F.when(F.col("field") == "symbol", weights[0]).when(F.col("field") == "path", weights[1]).otherwise(weights[2])
-    tf = phrases.groupBy("query_id", "needle", "chunk_id", "repo_id").agg(F.sum(weight).alias("tf"))
-    lengths = chunk_lengths(postings)
-    corpus = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    df = tf.groupBy("query_id", "needle").agg(F.count("*").alias("df"))
-    scored = tf.join(df, ["query_id", "needle"]).join(lengths.select("chunk_id", "length"), "chunk_id").crossJoin(F.broadcast(corpus))  # one row of statistics
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    ranked = in_scope(scored.groupBy("query_id", "chunk_id", "repo_id").agg(F.sum(part).alias("bm25")), scopes)
+    held = wanted.join(index.postings, "term")
+    single = held.where("n = 1").groupBy("needle", "chunk_id", "repo_id").agg(F.sum(weight * F.col("tf")).alias("tf"))
+    # Chunks that have all words of a longer needle in a field: only their texts are read.
+    both = held.where("n > 1").groupBy("needle", "n", "chunk_id", "repo_id", "field").agg(F.count_distinct("i").alias("m")).where("m = n")
+    texts = index.chunks.select("chunk_id", *FIELDS)
+    field = F.when(F.col("field") == "symbol", F.col("symbol")).when(F.col("field") == "path", F.col("path")).otherwise(F.col("content"))
+    whole = both.join(each, "needle").join(texts, "chunk_id").withColumn("times", phrase_count(field, F.col("t"))).where("times > 0")
+    tf = single.union(whole.groupBy("needle", "chunk_id", "repo_id").agg(F.sum(weight * F.col("times")).alias("tf")))
+    docs, total = index.sums()
+    tf = stored(tf, "tf")
+    df = tf.groupBy("needle").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = total / docs if docs else 1.0
+    worth = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    scored = tf.join(df, "needle").join(index.lengths.select("chunk_id", "length"), "chunk_id").select("needle", "chunk_id", "repo_id", worth.alias("worth"))
+    ranked = in_scope(asked.select("query_id", "needle").join(scored, "needle").groupBy("query_id", "chunk_id", "repo_id").agg(F.sum("worth").alias("bm25")), scopes)
     best = top(ranked, k, [F.desc(F.round("bm25", 9)), "chunk_id"])
     high = F.greatest(F.max("bm25").over(W.partitionBy("query_id")), F.lit(1e-6))
     best = best.withColumn("score", 0.35 + 0.5 * F.col("bm25") / high)
     if chunks is not None and "symbols" in queries.columns:
-        # Of the best chunks only, the symbol is looked up.
+        # The best chunks are kept, so that their symbols are looked up without searching again.
+        best = stored(best, "best")
         named = best.select("query_id", "chunk_id").join(chunks.select("chunk_id", "symbol").where("symbol is not null"), "chunk_id").join(queries.select("query_id", "symbols"), "query_id")
         named = named.where(F.array_contains("symbols", F.col("symbol"))).select("query_id", "chunk_id", F.lit(0.1).alias("more"))
         best = best.join(named, ["query_id", "chunk_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
@@ -176,8 +171,11 @@ def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes
     frequency = known.groupBy("gram").agg(F.count("*").alias("df"))
     # A literal with a trigram that is nowhere has no hits; an inner join would overlook that trigram.
     rarest = need.join(frequency, "gram", "left").groupBy("literal").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    candidates = rarest.join(known, "gram").select("literal", "chunk_id")
-    found = candidates.join(chunks.select("chunk_id", "repo_id", "content"), "chunk_id").where(F.contains(F.lower("content"), F.lower("literal")))
+    # All literals that a chunk may have go through its content together.
+    candidates = rarest.join(known, "gram").groupBy("chunk_id").agg(F.collect_list("literal").alias("literals"))
+    texts = chunks.select("chunk_id", "repo_id", F.lower("content").alias("text"))
+    held = candidates.join(texts, "chunk_id").select("chunk_id", "repo_id", F.filter("literals", lambda x: F.contains(F.col("text"), F.lower(x))).alias("literals"))
+    found = held.select("chunk_id", "repo_id", F.explode("literals").alias("literal"))
     hits = in_scope(each.join(found, "literal"), scopes).groupBy("query_id", "chunk_id", "repo_id").agg(F.count("*").alias("literals"))
     return top(hits, k, [F.desc("literals"), "chunk_id"]).withColumn("score", F.lit(score)).withColumn("source", F.lit("exact"))
 

@@ -176,12 +176,6 @@ def purge_orphans(index: dict[str, DataFrame], used: DataFrame) -> dict[str, Dat
     return {name: df.join(used.select("repo_id"), "repo_id", "left_semi") for name, df in index.items()}
 
 
-def merge_postings(postings: DataFrame, gone: DataFrame, added: DataFrame) -> DataFrame:
-    """Postings without those of gone (chunk_id) and of the added chunks' old versions, with the added ones."""
-    out = gone.select("chunk_id").union(added.select("chunk_id")).distinct()
-    return postings.join(out, "chunk_id", "left_anti").unionByName(added)
-
-
 def sync_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, action (write, keep, delete), shard: what makes the stored set the new one."""
     both = old.select("key", F.col("hash").alias("old_")).join(new.select("key", F.col("hash").alias("new_")), "key", "full_outer")

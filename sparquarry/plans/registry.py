@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
-from ..operators import chunking, evaluate, rank, retrieve, scope, search, tables
+from ..operators import chunking, evaluate, fulltext, rank, retrieve, scope, search, tables
 from ..sources.stored import stored
 from ..streaming import jobs
 from . import fixtures as fx
@@ -197,8 +197,8 @@ FROM sc JOIN chunks_ c USING (chunk_id) QUALIFY ord <= 25"""
 @query(_BM)
 def x4_bm25_search(spark, d):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("needles"), F.array(F.concat("item_id", F.lit(".txt"))).alias("symbols"))
-    c = stored(_line_chunks(spark, d), "chunks")
-    hits = search.bm25_search(q, stored(search.build_postings(c.drop("symbol").withColumn("symbol", F.lit(None).cast("string"))), "postings"), chunks=c)
+    c = stored(_line_chunks(spark, d).repartition("chunk_id"), "chunks")
+    hits = search.bm25_search(q, fulltext.stored_text_index(c.withColumn("symbol", F.lit(None).cast("string"))), chunks=c)
     return hits.select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
@@ -210,7 +210,7 @@ def x5_vector_search(spark, d):
 
 @query(f"WITH {fx.FILES}, {fx.chunks_sql()}, q AS (SELECT item_id AS query_id, unnest([text, substr(text, 1, length(text) // 2), substr(text, 31)]) AS lit FROM benchmark), h AS (SELECT query_id, chunk_id, count(DISTINCT lit) AS literals FROM q JOIN chunks_ ON length(lit) >= 3 AND contains(lower(content), lower(lit)) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, literals FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY literals DESC, chunk_id) <= 20")
 def x6_exact_search(spark, d):
-    c = fx.chunks(spark, d)
+    c = stored(fx.chunks(spark, d).repartition("chunk_id"), "chunks")
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.col("text"), F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.substring("text", F.lit(31), F.length("text"))).alias("needles"))
     return search.exact_search(q, c, stored(search.build_trigrams(c), "grams")).select("query_id", "chunk_id", "literals")
 

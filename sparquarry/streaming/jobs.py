@@ -192,16 +192,6 @@ def forward_only(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(_forward, "key string, rank int, ts timestamp", "most int", "append", GroupStateTimeout.NoTimeout)
 
 
-def maintain_postings(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over chunk changes (op, chunk columns): the next version of the postings. A full rebuild is build over all chunks."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        gone = batch.where("op = 'delete'").select("chunk_id")
-        write(tables.merge_postings(read(), gone, build(batch.where("op <> 'delete'"))), epoch)
-
-    return run
-
-
 def with_fresh_scopes(read: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that reads the slowly changing scope table anew for each batch."""
     return lambda batch, epoch: handle(batch, read(), epoch)

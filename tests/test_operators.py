@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquarry.functions import text
-from sparquarry.operators import chunking, evaluate, rank, retrieve, scope, search, tables
+from sparquarry.operators import chunking, evaluate, fulltext, rank, retrieve, scope, search, tables
 from sparquarry.plans import fixtures, registry
-from sparquarry.sources import readers
+from sparquarry.sources import readers, versions
 from sparquarry.streaming import jobs
 
 FILE = "repo_id string, path string, language string, content string"
@@ -155,7 +155,7 @@ def test_search_and_retrieval(spark, chunks):
     symbols, refs = search.build_symbol_facts(chunks, edges)
     index = retrieve.build_index(chunks, symbols=symbols, references=refs, edges=edges)
     q = spark.createDataFrame([(1, "where is chunkMarkdown defined"), (2, "database"), (3, "zzz")], "query_id long, question string")
-    hits = search.bm25_search(retrieve.parsed(q), index.postings).collect()
+    hits = search.bm25_search(retrieve.parsed(q), index.text).collect()
     assert {(h["query_id"], h["chunk_id"]) for h in hits} >= {(1, "c1"), (1, "c2"), (2, "c2")} and all(0.35 <= h["score"] <= 0.95 for h in hits)
     got = {r["query_id"]: r for r in retrieve.retrieve(q, index).collect()}
     assert got[1]["citations"][0]["path"] == "src/chunk/markdown.ts" and got[1]["context"].startswith("[1] o/r/src/chunk/markdown.ts:1-9 (function chunkMarkdown; retrieved by ") and 3 not in got
@@ -171,7 +171,7 @@ def test_search_and_retrieval(spark, chunks):
 
 
 def test_phrase_prefix(spark, chunks):
-    post = search.build_postings(chunks)
+    post = fulltext.text_index(chunks)
     q = spark.createDataFrame([(1, ["text by head"], []), (2, ["by text"], [])], "query_id long, needles array<string>, symbols array<string>")
     assert [(r["query_id"], r["chunk_id"]) for r in search.bm25_search(q, post).collect()] == [(1, "c1")]
 
@@ -227,12 +227,82 @@ def test_update_is_idempotent(spark, sf):
     assert again["dirty"].count() == 0 and again["stale"].count() == 0 and again["chunks"].count() == cut(new).count()
 
 
-def test_postings_increment_equals_rebuild(spark, chunks):
-    post = search.build_postings(chunks)
-    changed = chunks.where("chunk_id = 'c2'").withColumn("content", F.lit("other words"))
-    merged = tables.merge_postings(post, spark.createDataFrame([("c3",)], "chunk_id string"), search.build_postings(changed))
-    rebuilt = search.build_postings(chunks.where("chunk_id not in ('c2', 'c3')").unionByName(changed))
-    assert merged.exceptAll(rebuilt).count() == 0 and rebuilt.exceptAll(merged).count() == 0
+def bm25(q, index):
+    return sorted((r["query_id"], r["chunk_id"], r["ord"], round(r["bm25"], 9)) for r in search.bm25_search(q, index).collect())
+
+
+def test_text_store_equals_rebuild(spark, chunks, sf, tmp_path):
+    all_ = registry._line_chunks(spark, sf).where("start_line = 1").cache()
+    q = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("needles"))
+    store = fulltext.TextStore(spark, f"file://{tmp_path}/index", 4)
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+    now = all_.where(part < 3)
+    store.apply(now, all_.where("false").select("chunk_id"))
+    assert bm25(q, store.index(all_)) == bm25(q, fulltext.text_index(now))
+    # Changed, new and gone chunks, one of the last not there at all.
+    changed = all_.where(part == 2).withColumn("content", F.concat(F.lit("other first words "), "content"))
+    gone = all_.where(part == 1).select("chunk_id").union(spark.createDataFrame([("none",)], "chunk_id string"))
+    added = changed.union(all_.where(part == 3))
+    before = store.versions.manifest()
+    store.apply(added, gone, epoch=4)
+    assert store.apply(all_, gone, epoch=4) == store.apply(all_, gone, epoch=3) == 2  # handed in again
+    now = all_.where(part == 0).union(added)
+    want = bm25(q, fulltext.text_index(now))
+    index = store.index(all_)
+    assert bm25(q, index) == want and index.sums() == fulltext.text_index(now).sums()
+    words = [w for r in q.collect() for n in r["needles"] for w in n.split()]
+    assert bm25(q, store.index(all_, words)) == want
+    # A batch of one chunk touches the buckets of its terms, and no search for others reads them.
+    one = chunks.where("chunk_id = 'c4'")
+    files = {f for b in store.versions.manifest()["tables"]["postings"].values() for f in b}
+    store.apply(one, gone.where("false"))
+    after = store.versions.manifest()["tables"]["postings"]
+    assert files < {f for b in after.values() for f in b} and sum(len(f) for f in after.values()) - len(files) <= 4
+    assert len(store.index(all_, ["markdown"]).postings.inputFiles()) < len(store.index(all_).postings.inputFiles()) / 2
+    want = bm25(q, fulltext.text_index(now.select("chunk_id", "repo_id", "symbol", "path", "content").union(one.select("chunk_id", "repo_id", "symbol", "path", "content"))))
+    assert bm25(q, store.index(all_)) == want
+    store.compact()
+    assert bm25(q, store.index(all_)) == want and not store.versions.manifest()["tables"]["tombstones"] and all(len(f) == 1 for f in store.versions.manifest()["tables"]["postings"].values())
+    assert before["version"] == 1 and store.versions.clean() and bm25(q, store.index(all_)) == want
+
+
+def test_postings_stream(spark, chunks, tmp_path):
+    store = fulltext.TextStore(spark, f"file://{tmp_path}/index", 4)
+    run = fulltext.maintain_postings(store)
+    row = lambda op, at, df: df.select(F.lit(op).alias("op"), F.lit(at).alias("order"), "chunk_id", "repo_id", "symbol", "path", "content")
+    run(row("put", 1, chunks), 0)
+    c2 = chunks.where("chunk_id = 'c2'")
+    run(row("delete", 2, c2).union(row("put", 3, c2.withColumn("content", F.lit("other words")))).union(row("put", 1, chunks.where("chunk_id = 'c3'"))).union(row("delete", 2, chunks.where("chunk_id = 'c3'"))), 1)
+    run(row("delete", 9, chunks), 1)  # the same epoch again
+    now = chunks.where("chunk_id not in ('c2', 'c3')").unionByName(c2.withColumn("content", F.lit("other words")))
+    q = spark.createDataFrame([(1, ["words"]), (2, ["markdown", "text by"]), (3, ["database"])], "query_id long, needles array<string>")
+    assert bm25(q, store.index(now)) == bm25(q, fulltext.text_index(now)) and len(bm25(q, store.index(now))) > 1
+
+
+def test_versions_switch_at_once(spark, tmp_path):
+    v = versions.Versions(spark, f"file://{tmp_path}/t", 4)
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("x"))
+    read = lambda m=None: {(r["id"], r["x"]) for r in v.read("t", "id long, x long", manifest=m).collect()}
+    b = versions.bucket_of(F.col("id"), 4)
+    assert read() == set()
+    first = v.manifest()
+    assert v.commit(first, {"t": (range(4), v.stage("t", df, b))}) == 1
+    want = {(i, i % 7) for i in range(100)}
+    assert read() == want
+    # A job that ends before the switch changes nothing; its folders go with clean().
+    held = v.manifest()
+    lost = v.stage("t", df.where("id < 5"), b)
+    assert read() == want
+    # Of two jobs from one version the second fails, and its manifest isn't left behind.
+    touched = [r["b"] for r in df.where("id = 3").select(b.alias("b")).collect()]
+    fresh = df.where(b.isin(touched) & (F.col("id") != 3))
+    staged = v.stage("t", fresh, b, F.col("id"), 2)
+    assert v.commit(held, {"t": (touched, staged)}, facts={"n": 1}) == 2
+    with pytest.raises(Exception, match="exist"):
+        v.commit(held, {"t": (range(4), lost)})
+    assert read() == want - {(3, 3)} and read(held) == want and v.manifest()["facts"] == {"n": 1} and v.manifest()["version"] == 2
+    assert set(v.clean()) >= {f for fs in lost.values() for f in fs} and read() == want - {(3, 3)}
+    assert v.commit(v.manifest(), {"t": (range(4), {})}) == 3 and read() == set()
 
 
 def test_sources(spark, tmp_path):
