@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing in a question, and patterns of messages, logs and answers.
-STOPWORDS = "the a an is are how what where why when does do to of in on for and or with this that i we you it can please show me find code function class method repo repository".split()
-EXACT_STOPWORDS = "code converted generated into question questions search".split()
-SCOPE_STOPWORDS = "the and for with this that then does work file files import imports repo repository".split()
+STOPWORDS = ["the", "a", "an", "is", "are", "how", "what", "where", "why", "when", "does", "do", "to", "of", "in", "on", "for", "and", "or", "with", "this", "that", "i", "we", "you", "it", "can", "please", "show", "me", "find", "code", "function", "class", "method", "repo", "repository"]
+EXACT_STOPWORDS = ["code", "converted", "generated", "into", "question", "questions", "search"]
+SCOPE_STOPWORDS = ["the", "and", "for", "with", "this", "that", "then", "does", "work", "file", "files", "import", "imports", "repo", "repository"]
 SYMBOL_PATTERNS = [r"`([^`]+)`", r"\b([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z0-9_.]+)\b", r"\b([a-z]+[A-Z][A-Za-z0-9]*)\b", r"\b([A-Z][a-z0-9]+[A-Za-z0-9]*)\b", r"\b([a-z][a-z0-9]*_[a-z0-9_]+)\b"]
 QUESTION_INTENTS = [("definition", r"\b(where|defined|definition|declare)\b"), ("usage", r"\b(call|called|use|usage|used|invoke)\b"), ("explanation", r"\b(how|why|explain|what does|walk me)\b")]
 PR_URL = r"(?i)https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)/pull/(\d+)"
@@ -18,7 +18,8 @@ PR_SHORT = r"\b([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)#(\d+)\b"
 NOTIFY = r"(?i)^\s*notify\s+([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)\s+(?:in\s+)?(?:(here)|<#([A-Z0-9]+)(?:\|[^>]*)?>)\s*$"
 INDEX_REPO = r"(?i)^\s*(?:index|add)\s+(?:the\s+)?(?:repo(?:sitory)?\s+)?([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)\s*$"
 INDEX_STATUS = r"(?i)^\s*index(?:ing)?\s+status\s*$"
-CREATE_PR = r"(?i)\b(create|open|raise|make)\s+(a\s+)?(pr|pull\s+request)\b|^\s*create\s+pr\s*:\s*"
+CREATE_PR = r"(?i)\b(create|open|raise|make)\s+(a\s+)?(pr|pull\s+request)\b"
+CREATE_PR_LINE = r"(?i)^\s*create\s+pr\s*:\s*"
 REVIEW_VERB = r"(?i)\b(review|check|audit|look\s+at)\b"
 DEEP_TRACE = r"(?i)\b(trace|callers?|callees?|references?|implementations?|where\s+used|call\s+graph|dependency\s+chain|root\s+cause|breaking\s+change|migration\s+plan|impact\s+analysis|across\s+repos?|cross[-\s]?repos?)\b"
 CODE_FAILURES = [r"--- FAIL:", r"(?i)\(typecheck\)|undeclared name|unknown field|cannot use .+ as|syntax error", r"error TS\d+", r"(?i)AssertionError|assertion failed", r"(?i)compilation (error|failed)"]
@@ -40,6 +41,15 @@ ABSTENTIONS = [
 SECRETS = {"aws_access_key_id": r"\bAKIA[0-9A-Z]{16}\b", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "assigned_secret": r"(?i)\b(?:api[_-]?key|secret|token|password)\b\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']"}
 
 
+#: A word's edge among letters, digits and _ of ASCII alone; Java's \\b may take other letters for part of a word.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern with EDGE for its word edges."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -52,16 +62,16 @@ def trim(x: Column) -> Column:
 
 def first_of(x: Column, rules: list[tuple[str, str]]) -> Column:
     """The name of the first rule whose pattern x holds, else null."""
-    return reduce(lambda acc, r: acc.when(x.rlike(r[1]), r[0]), rules[1:], F.when(x.rlike(rules[0][1]), rules[0][0]))
+    return reduce(lambda acc, r: acc.when(x.rlike(ascii_edges(r[1])), r[0]), rules[1:], F.when(x.rlike(ascii_edges(rules[0][1])), rules[0][0]))
 
 
 def any_of(x: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, p: a | x.rlike(p), patterns[1:], x.rlike(patterns[0]))
+    return reduce(lambda a, p: a | x.rlike(ascii_edges(p)), patterns[1:], x.rlike(ascii_edges(patterns[0])))
 
 
 def symbols(question: Column) -> Column:
     """Up to 12 likely identifiers, pattern by pattern in order."""
-    found = F.concat(*[F.regexp_extract_all(question, F.lit(p), 1) for p in SYMBOL_PATTERNS])
+    found = F.concat(*[F.regexp_extract_all(question, F.lit(ascii_edges(p)), 1) for p in SYMBOL_PATTERNS])
     return F.slice(F.array_distinct(F.filter(F.transform(found, trim), lambda s: (F.length(s) > 1) & ~F.lower(s).isin(STOPWORDS))), 1, 12)
 
 
@@ -103,7 +113,7 @@ def match_expression(found: Column) -> Column:
 
 def exact_needles(question: Column) -> Column:
     """Up to 8 literal search terms: symbols, path-like words, terms; the first spelling of each stays."""
-    paths = F.regexp_extract_all(question, F.lit(r"\b([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)\b"), 1)
+    paths = F.regexp_extract_all(question, F.lit(ascii_edges(r"\b([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)\b")), 1)
     found = F.filter(F.concat(symbols(question), paths, terms(question)), lambda v: (F.length(v) > 2) & ~F.lower(v).isin(EXACT_STOPWORDS))
     firsts = let(F.transform(found, F.lower), lambda low: F.filter(F.transform(found, lambda v, i: F.when(F.array_position(low, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull()))
     return F.slice(firsts, 1, 8)
@@ -129,7 +139,7 @@ def compact(x: Column) -> Column:
 def message_intent(text: Column) -> Column:
     """What a chat message asks for; the order of the rules matters."""
     url, short = F.regexp_like(trim(text), F.lit(PR_URL)), text.rlike(PR_SHORT)
-    return F.when(text.rlike(NOTIFY), "notify_repo").when(text.rlike(INDEX_STATUS), "index_status").when(text.rlike(INDEX_REPO), "index_repo").when(text.rlike(CREATE_PR), "create_pr").when(url | (short & text.rlike(REVIEW_VERB)), "pr_review").otherwise("qa")
+    return F.when(text.rlike(NOTIFY), "notify_repo").when(text.rlike(INDEX_STATUS), "index_status").when(text.rlike(INDEX_REPO), "index_repo").when(text.rlike(CREATE_PR) | text.rlike(CREATE_PR_LINE), "create_pr").when(url | (short & text.rlike(REVIEW_VERB)), "pr_review").otherwise("qa")
 
 
 def pr_reference(text: Column) -> Column:

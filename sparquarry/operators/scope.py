@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SCOPE_STOPWORDS
+from ..functions.text import SCOPE_STOPWORDS, ascii_edges
 
 #: Order of index states.
 STATUS_RANK = {"PENDING": 0, "INDEXING": 1, "READY": 2, "FAILED": 2}
@@ -20,7 +20,7 @@ def tenant_scope(queries: DataFrame, tenants: DataFrame, selections: DataFrame,
 
 
 def _words(q: Column) -> Column:
-    return F.filter(F.regexp_extract_all(q, F.lit(r"\b([a-z][a-z0-9-]{2,})\b"), 1), lambda w: ~w.isin(SCOPE_STOPWORDS))
+    return F.filter(F.regexp_extract_all(q, F.lit(ascii_edges(r"\b([a-z][a-z0-9-]{2,})\b")), 1), lambda w: ~w.isin(SCOPE_STOPWORDS))
 
 
 def _parts_hit(parts: Column, words: Column) -> Column:

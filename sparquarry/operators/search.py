@@ -112,8 +112,9 @@ def embed(df: DataFrame, id_col: str, text_col: str, embedder: Callable[[list[st
 def vector_search(queries: DataFrame, vectors: DataFrame, scopes: DataFrame | None = None, k: int = 30, prefilter: bool = False, block: int = 1024, max_queries: int = 20_000) -> DataFrame:
     """Exact cosine top k of each query (query_id, embedding) over vectors (chunk_id, repo_id, embedding).
 
-    The stated query set, at most max_queries, is sent to every task; each task keeps k per
-    query and block. The scope filter comes after the top k, or before it with prefilter.
+    The stated query set, at most max_queries, is sent to every task; a task gives k rows a query,
+    however many vectors it reads. Equal scores, to six digits, go by chunk. The scope filter comes
+    after the top k, or before it with prefilter.
     """
     if queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries: search them in parts")
@@ -128,18 +129,34 @@ def vector_search(queries: DataFrame, vectors: DataFrame, scopes: DataFrame | No
         if not ids:
             return
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        least, held, size = np.full(len(ids), -np.inf), [], 0
+
+        def cut() -> pd.DataFrame:
+            """The best k so far of each query; least becomes what a further hit must reach."""
+            best = pd.concat(held).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
+            full = best.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] == k]
+            least[full.index] = np.maximum(least[full.index], full["min"])
+            return best
+
         for part in batches:
             for i in range(0, len(part), block):
                 p = part.iloc[i : i + block]
                 v = np.array(p["embedding"].tolist(), np.float32)
-                sims = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T
+                sims = np.round((q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T).astype(np.float64), 6)
                 if allow is not None:
                     sims = np.where([[r in allow.get(x, ()) for r in p["repo_id"]] for x in ids], sims, -np.inf)
-                n = min(k, len(p))
-                at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                qi = np.repeat(np.arange(len(ids)), n)
-                hit = pd.DataFrame({"query_id": [ids[x] for x in qi], "chunk_id": p["chunk_id"].to_numpy()[at.ravel()], "repo_id": p["repo_id"].to_numpy()[at.ravel()], "score": sims[qi, at.ravel()].astype(np.float64)})
-                yield hit[np.isfinite(hit["score"])]
+                if len(p) > k:
+                    least = np.maximum(least, -np.partition(-sims, k - 1, axis=1)[:, k - 1])
+                qi, vi = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                held.append(pd.DataFrame({"q": qi, "score": sims[qi, vi], "chunk_id": p["chunk_id"].to_numpy()[vi], "repo_id": p["repo_id"].to_numpy()[vi]}))
+                size += len(qi)
+                if size > 4 * k * len(ids):
+                    held = [cut()]
+                    size = len(held[0])
+        if held:
+            best = cut()
+            yield pd.DataFrame({"query_id": [ids[x] for x in best["q"]], "chunk_id": best["chunk_id"].to_numpy(), "repo_id": best["repo_id"].to_numpy(), "score": best["score"].to_numpy()})
 
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "repo_id")}
     near = vectors.select("chunk_id", "repo_id", "embedding").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kinds['chunk_id']}, repo_id {kinds['repo_id']}, score double")

@@ -70,7 +70,7 @@ _PR = f"CASE WHEN regexp_matches(m, {quoted(text.PR_URL)}) THEN regexp_extract(m
 
 @query(
     _SAID_SQL
-    + f""" SELECT c_custkey, CASE WHEN regexp_matches(m, {quoted(text.NOTIFY)}) THEN 'notify_repo' WHEN regexp_matches(m, {quoted(text.INDEX_STATUS)}) THEN 'index_status' WHEN regexp_matches(m, {quoted(text.INDEX_REPO)}) THEN 'index_repo' WHEN regexp_matches(m, {quoted(text.CREATE_PR)}) THEN 'create_pr'
+    + f""" SELECT c_custkey, CASE WHEN regexp_matches(m, {quoted(text.NOTIFY)}) THEN 'notify_repo' WHEN regexp_matches(m, {quoted(text.INDEX_STATUS)}) THEN 'index_status' WHEN regexp_matches(m, {quoted(text.INDEX_REPO)}) THEN 'index_repo' WHEN regexp_matches(m, {quoted(text.CREATE_PR)}) OR regexp_matches(m, {quoted(text.CREATE_PR_LINE)}) THEN 'create_pr'
  WHEN regexp_matches(m, {quoted(text.PR_URL)}) OR (regexp_matches(m, {quoted(text.PR_SHORT)}) AND regexp_matches(m, {quoted(text.REVIEW_VERB)})) THEN 'pr_review' ELSE 'qa' END AS intent, {_PR % (2, 2)} AS repo, CAST({_PR % (3, 3)} AS BIGINT) AS number FROM s"""
 )
 def p15_message_intents(spark, d):

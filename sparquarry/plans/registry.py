@@ -35,11 +35,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.retrieve(questions, retrieve.stored_index(fx.chunks(spark, d)))
 
 
-@query()
-def x10_retrieve(spark, d):
-    return flagship(spark, d).select("query_id", F.length("context").alias("context_chars"), F.size("citations").alias("n_citations"), F.to_json("citations").alias("citations"))
-
-
 @query(f"WITH {fx.FILES}, {fx.chunks_sql()} SELECT chunk_id, repo_id, path, start_line, end_line, content_hash FROM chunks_")
 def x1_chunk_lines(spark, d):
     return fx.chunks(spark, d).select("chunk_id", "repo_id", "path", "start_line", "end_line", "content_hash")
