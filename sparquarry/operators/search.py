@@ -177,8 +177,8 @@ def build_trigrams(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(_trigrams(F.col("content"))).alias("gram"))
 
 
-def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes: DataFrame | None = None, k: int = 20, score: float = 0.85) -> DataFrame:
-    """Chunks that hold any of a query's literals (query_id, needles), without regard to case; first k by chunk.
+def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes: DataFrame | None = None, k: int | None = 20, score: float = 0.85) -> DataFrame:
+    """Chunks that hold any of a query's literals (query_id, needles), without regard to case; first k by chunk, all without k and then without ord.
 
     Candidates share the literal's rarest trigram; their contents are then looked at.
     """
@@ -194,7 +194,8 @@ def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes
     held = candidates.join(texts, "chunk_id").select("chunk_id", "repo_id", F.filter("literals", lambda x: F.contains(F.col("text"), F.lower(x))).alias("literals"))
     found = held.select("chunk_id", "repo_id", F.explode("literals").alias("literal"))
     hits = in_scope(each.join(found, "literal"), scopes).groupBy("query_id", "chunk_id", "repo_id").agg(F.count("*").alias("literals"))
-    return top(hits, k, [F.desc("literals"), "chunk_id"]).withColumn("score", F.lit(score)).withColumn("source", F.lit("exact"))
+    best = hits if k is None else top(hits, k, [F.desc("literals"), "chunk_id"])
+    return best.withColumn("score", F.lit(score)).withColumn("source", F.lit("exact"))
 
 
 def overlap(a: str, b: str) -> Column:

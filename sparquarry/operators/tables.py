@@ -1,8 +1,7 @@
 """Changes to tables as new versions of them, snapshot differences and index maintenance.
 
-Parquet has no MERGE, so each function gives the next version of its target; write it
-beside the old one and switch a pointer, the files table last, so that a failed job
-leaves the old version and the next run finds the same work.
+Parquet has no MERGE, so each function gives the next version of its target. maintain.py
+writes all of an index's tables beside the old ones and switches them at once.
 """
 
 from __future__ import annotations
@@ -164,7 +163,7 @@ def update_index(files: DataFrame, chunks: DataFrame, snapshot: DataFrame, chunk
     stale_chunks = of_touched.join(stale, "chunk_id", "left_semi").unionByName(chunks.join(gone, ["repo_id", "path"], "left_semi"))
     kept = chunks.join(gone, ["repo_id", "path"], "left_anti").join(stale.union(dirty.select("chunk_id")), "chunk_id", "left_anti")
     columns = [c for c in chunks.columns if c in made.columns]
-    return {"chunks": kept.select(*columns).unionByName(dirty.select(*columns)), "files": snapshot.select(*[c for c in files.columns if c in snapshot.columns]), "dirty": dirty, "stale": stale, "stale_chunks": stale_chunks, "diff": diff}
+    return {"chunks": kept.select(*columns).unionByName(dirty.select(*columns)), "files": snapshot.select(*[c for c in files.columns if c in snapshot.columns]), "made": made, "dirty": dirty, "stale": stale, "stale_chunks": stale_chunks, "diff": diff}
 
 
 def in_use(selections: DataFrame, allowed: DataFrame) -> DataFrame:
