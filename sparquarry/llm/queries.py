@@ -199,6 +199,32 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All equal tokens by diagonal, and the most of them in any 16 places of a row (all of a shorter item).
+ORACLES["op7_benchmark_decontamination"] = r"""
+WITH dt AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents
+), it AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark
+), dw AS (
+  SELECT doc_id, len(t) AS m, unnest(t) AS w, generate_subscripts(t, 1) AS j FROM dt
+), iw AS (
+  SELECT item_id, len(t) AS n, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM it WHERE len(t) >= 5
+), same AS (
+  SELECT doc_id, item_id, n, m, j - i AS off, i FROM dw JOIN iw USING (w)
+), diagonals AS (
+  SELECT * FROM same WHERE least(n, m - off) - greatest(0, -off) >= least(n, 16) QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, off) * 100 >= 80 * least(n, 16)
+), counted AS (
+  SELECT doc_id, item_id, least(n, 16) AS length, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY i RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS best FROM diagonals
+), bad AS (
+  SELECT doc_id, item_id, max(best / length) AS share FROM counted WHERE 100 * best >= 80 * length GROUP BY doc_id, item_id
+  UNION ALL SELECT doc_id, item_id, 1.0::DOUBLE FROM dt JOIN it ON dt.t = it.t AND len(it.t) BETWEEN 1 AND 4
+), by_doc AS (
+  SELECT doc_id, list_sort(list_distinct(list(item_id))) AS items, max(share) AS overlap FROM bad GROUP BY doc_id
+)
+SELECT doc_id, items IS NOT NULL AS contaminated, items IS NULL AS kept, items, overlap FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences in repeated runs removed from all documents but the first."""
