@@ -164,35 +164,52 @@ def vector_search(queries: DataFrame, vectors: DataFrame, scopes: DataFrame | No
     return (best if prefilter else in_scope(best, scopes)).withColumn("source", F.lit("vector"))
 
 
-def _trigrams(x: Column) -> Column:
+def _grams(x: Column, n: int = 3) -> Column:
+    """The distinct runs of n characters of a text, lower-cased."""
+
     def of(c: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-        return F.when(F.size(c) >= 3, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+        each = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+        return F.when(F.size(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
     return let(F.split(F.lower(x), ""), of)
 
 
 def build_trigrams(chunks: DataFrame) -> DataFrame:
     """(gram, chunk_id) of the lower-cased contents: the index of exact_search."""
-    return chunks.select("chunk_id", F.explode(_trigrams(F.col("content"))).alias("gram"))
+    return chunks.select("chunk_id", F.explode(_grams(F.col("content"))).alias("gram"))
 
 
-def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes: DataFrame | None = None, k: int | None = 20, score: float = 0.85) -> DataFrame:
-    """Chunks that hold any of a query's literals (query_id, needles), without regard to case; first k by chunk, all without k and then without ord.
+def _all_text() -> Column:
+    return F.lower(F.concat_ws("\n", F.coalesce("symbol", F.lit("")), "path", "content"))
+
+
+def build_grams(chunks: DataFrame) -> DataFrame:
+    """(gram, chunk_id) of symbol, path and content in runs of one, two and three characters: the index of substring_search."""
+    text = _all_text()
+    return chunks.select("chunk_id", F.explode(F.concat(*[_grams(text, n) for n in (1, 2, 3)])).alias("gram"))
+
+
+def _holding(literals: DataFrame, grams: DataFrame, texts: DataFrame) -> DataFrame:
+    """(literal, chunk_id, repo_id): which texts (chunk_id, repo_id, text) hold which literals, all lower-cased.
 
-    Candidates share the literal's rarest trigram; their contents are then looked at.
+    Candidates share the literal's rarest gram: of three characters, or the literal itself if it
+    is shorter. All literals that a text may hold go through it together.
     """
-    each = queries.select("query_id", F.explode("needles").alias("literal")).where(F.length("literal") >= 3).distinct()
-    need = each.select("literal").distinct().select("literal", F.explode(_trigrams(F.col("literal"))).alias("gram"))
+    sized_ = F.when(F.length("literal") >= 3, _grams(F.col("literal"))).otherwise(F.array(F.lower("literal")))
+    need = literals.select("literal").distinct().select("literal", F.explode(sized_).alias("gram"))
     known = grams.join(need.select("gram").distinct(), "gram", "left_semi")
     frequency = known.groupBy("gram").agg(F.count("*").alias("df"))
-    # A literal with a trigram that is nowhere has no hits; an inner join would overlook that trigram.
+    # A literal with a gram that is nowhere has no hits; an inner join would overlook that gram.
     rarest = need.join(frequency, "gram", "left").groupBy("literal").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    # All literals that a chunk may have go through its content together.
     candidates = rarest.join(known, "gram").groupBy("chunk_id").agg(F.collect_list("literal").alias("literals"))
-    texts = chunks.select("chunk_id", "repo_id", F.lower("content").alias("text"))
     held = candidates.join(texts, "chunk_id").select("chunk_id", "repo_id", F.filter("literals", lambda x: F.contains(F.col("text"), F.lower(x))).alias("literals"))
-    found = held.select("chunk_id", "repo_id", F.explode("literals").alias("literal"))
+    return held.select("chunk_id", "repo_id", F.explode("literals").alias("literal"))
+
+
+def exact_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes: DataFrame | None = None, k: int | None = 20, score: float = 0.85) -> DataFrame:
+    """Chunks that hold any of a query's literals (query_id, needles), without regard to case; first k by chunk, all without k and then without ord."""
+    each = queries.select("query_id", F.explode("needles").alias("literal")).where(F.length("literal") >= 3).distinct()
+    found = _holding(each, grams, chunks.select("chunk_id", "repo_id", F.lower("content").alias("text")))
     hits = in_scope(each.join(found, "literal"), scopes).groupBy("query_id", "chunk_id", "repo_id").agg(F.count("*").alias("literals"))
     best = hits if k is None else top(hits, k, [F.desc("literals"), "chunk_id"])
     return best.withColumn("score", F.lit(score)).withColumn("source", F.lit("exact"))
@@ -309,18 +326,16 @@ def build_symbol_facts(chunks: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     return symbols, references.dropDuplicates(["reference_id"])
 
 
-def substring_scan(queries: DataFrame, chunks: DataFrame, scopes: DataFrame | None = None, k: int = 25, most: int = 10) -> DataFrame:
+def substring_search(queries: DataFrame, chunks: DataFrame, grams: DataFrame, scopes: DataFrame | None = None, k: int = 25, most: int = 10) -> DataFrame:
     """Best k chunks whose symbol, path or content holds one of a query's first needles, upper and lower case alike.
 
-    queries: query_id, needles, symbols. Chunks with a symbol that the query names come first,
-    then those of the smallest id. A scan for tables without an index: needles are collected
-    by their literal, so that each chunk meets each distinct one once.
+    queries: query_id, needles, symbols; grams: as build_grams() gives. Chunks with a symbol that the
+    query names come first, then those of the smallest id. An empty needle is in every chunk and is left out.
     """
-    asked = queries.select("query_id", "symbols", F.explode(F.slice("needles", 1, most)).alias("needle")).withColumn("needle", F.lower("needle"))
-    wanted = asked.select("needle").distinct()
-    text = F.lower(F.concat_ws("\n", F.coalesce("symbol", F.lit("")), "path", "content"))
-    held = chunks.select("chunk_id", "repo_id", "symbol", text.alias("text")).join(wanted, F.contains("text", F.col("needle"))).drop("text")
-    hit = asked.join(held, "needle").groupBy("query_id", "chunk_id", "repo_id").agg(F.max(F.coalesce(F.array_contains("symbols", F.col("symbol")), F.lit(False)).cast("int")).alias("named"))
+    asked = queries.select("query_id", "symbols", F.explode(F.slice("needles", 1, most)).alias("literal")).withColumn("literal", F.lower("literal")).where("literal <> ''")
+    found = _holding(asked, grams, chunks.select("chunk_id", "repo_id", _all_text().alias("text")))
+    hit = asked.join(found, "literal").join(chunks.select("chunk_id", "symbol"), "chunk_id")
+    hit = hit.groupBy("query_id", "chunk_id", "repo_id").agg(F.max(F.coalesce(F.array_contains("symbols", F.col("symbol")), F.lit(False)).cast("int")).alias("named"))
     best = top(in_scope(hit, scopes), k, [F.desc("named"), "chunk_id"])
     return best.select("query_id", "chunk_id", "repo_id", "ord", (F.lit(0.4) + 0.4 * F.col("named")).alias("score"), F.lit("lexical").alias("source"))
 

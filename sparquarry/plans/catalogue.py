@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import chunking, retrieve, scope, search, tables
+from ..sources.stored import stored
 from . import fixtures as fx
 from .fixtures import read
 from .registry import _DIRS, _NAMES, _STOP, _line_chunks
@@ -58,14 +59,15 @@ def j3_hydrate(spark, d):
 
 
 @query("WITH " + fx.FILES + ", " + fx.chunks_sql() + rf""",
-q AS (SELECT item_id AS query_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2 AND x NOT IN {_STOP}) AS l FROM benchmark),
-n AS (SELECT query_id, unnest(list_concat([query_id || '.txt'], list_filter(l, lambda x, i: list_position(l, x) = i)[1:20])[1:10]) AS needle FROM q),
+q AS (SELECT item_id AS query_id, text, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2 AND x NOT IN {_STOP}) AS l FROM benchmark),
+n AS (SELECT query_id, unnest(list_concat([query_id || '.txt', substr(text, 1, 2), 'ñ'], list_filter(l, lambda x, i: list_position(l, x) = i)[1:20])[1:10]) AS needle FROM q),
 h AS (SELECT query_id, chunk_id, max(CASE WHEN start_line = 1 AND path LIKE '%/' || query_id || '.txt' THEN 1 ELSE 0 END) AS named FROM n JOIN chunks_ ON contains(lower(path || chr(10) || content), lower(needle)) GROUP BY query_id, chunk_id)
 SELECT query_id, chunk_id, round(0.4 + 0.4 * named, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY named DESC, chunk_id) <= 25""")
 def p11_substring_scan(spark, d):
     name = F.concat("item_id", F.lit(".txt"))
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.array(name), text.terms(F.col("text"))).alias("needles"), F.array(name).alias("symbols"))
-    return search.substring_scan(q, _line_chunks(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.array(name, F.substring("text", 1, 2), F.lit("ñ")), text.terms(F.col("text"))).alias("needles"), F.array(name).alias("symbols"))
+    c = stored(_line_chunks(spark, d).repartition("chunk_id"), "chunks")
+    return search.substring_search(q, c, stored(search.build_grams(c), "grams")).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _grants(spark, d):

@@ -1,6 +1,7 @@
 """Operators on small examples, and invariants: idempotence, increments against rebuilds, streams against batches, plans."""
 
 import json
+import random
 import tarfile
 
 import pytest
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquarry.functions import text
-from sparquarry.operators import chunking, evaluate, fulltext, rank, retrieve, scope, search, tables
+from sparquarry.operators import chunking, evaluate, fulltext, maintain, rank, retrieve, scope, search, tables
 from sparquarry.plans import fixtures, registry
 from sparquarry.sources import readers, versions
+from sparquarry.sources.stored import stored
 from sparquarry.streaming import jobs
 
 FILE = "repo_id string, path string, language string, content string"
@@ -151,9 +153,10 @@ def chunks(spark):
 
 
 def test_search_and_retrieval(spark, chunks):
+    chunks = stored(chunks, "chunks")
     edges = spark.createDataFrame([("o/r", "c2", "CALLS", "chunkMarkdown", 3)], "repo_id string, from_node string, edge_type string, to_symbol string, line int")
     symbols, refs = search.build_symbol_facts(chunks, edges)
-    index = retrieve.build_index(chunks, symbols=symbols, references=refs, edges=edges)
+    index = retrieve.stored_index(chunks, symbols=stored(symbols, "symbols"), references=stored(refs, "references"), edges=edges)
     q = spark.createDataFrame([(1, "where is chunkMarkdown defined"), (2, "database"), (3, "zzz")], "query_id long, question string")
     hits = search.bm25_search(retrieve.parsed(q), index.text).collect()
     assert {(h["query_id"], h["chunk_id"]) for h in hits} >= {(1, "c1"), (1, "c2"), (2, "c2")} and all(0.35 <= h["score"] <= 0.95 for h in hits)
@@ -279,6 +282,54 @@ def test_postings_stream(spark, chunks, tmp_path):
     assert bm25(q, store.index(now)) == bm25(q, fulltext.text_index(now)) and len(bm25(q, store.index(now))) > 1
 
 
+def test_index_jobs_leave_the_old_version_until_they_end(spark, sf, tmp_path):
+    store = versions.Versions(spark, f"file://{tmp_path}/index", 3)
+    tree = spark.createDataFrame([("r", f"f{i}.txt", f"one {i}\ntwo") for i in range(6)] + [("s", "a.txt", "x"), ("s", "yarn.lock", "x")], "repo_id string, path string, content string")
+    tree = tree.select(F.concat_ws(":", "repo_id", "path").alias("file_id"), "repo_id", "path", F.lit("text").alias("language"), F.sha2("content", 256).alias("blob_sha"), F.length("content").cast("long").alias("size"), "content")
+    cut = lambda f: chunking.chunk_lines(f, 10, 2)
+    edges = lambda c: c.select("repo_id", F.col("chunk_id").alias("from_node"), F.lit("CALLS").alias("edge_type"), F.lit("x").alias("to_symbol"), F.lit(1).alias("line"))
+    vectors = lambda c: c.select("chunk_id", "repo_id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    jobs_ = spark.createDataFrame([("r", "FULL_INDEX"), ("s", "FULL_INDEX")], "repo_id string, job_type string")
+    none = tree.select("repo_id", "path").where("false")
+    state = lambda: {n: sorted(map(tuple, store.read(n, maintain.SCHEMAS[n]).select(*c).collect())) for n, c in {"files": ["path", "blob_sha"], "chunks": ["chunk_id", "content_hash"], "edges": ["from_node"], "vectors": ["chunk_id"]}.items()}
+    maintain.run_jobs(store, tree, jobs_, none, none, cut, edges, vectors)
+    before = state()
+    assert len(before["files"]) == 7 and len(before["chunks"]) == len(before["edges"]) == len(before["vectors"]) == 7
+    new = tree.withColumn("content", F.when(F.col("path") == "f1.txt", "other\ntwo").otherwise(F.col("content"))).withColumn("blob_sha", F.sha2("content", 256)).where("path <> 'f2.txt'")
+    step = spark.createDataFrame([("r", "INCREMENTAL_INDEX")], "repo_id string, job_type string")
+    changed = spark.createDataFrame([("r", "f1.txt"), ("r", "gone.txt")], "repo_id string, path string")
+    removed = spark.createDataFrame([("r", "f2.txt")], "repo_id string, path string")
+
+    def ends_early(c):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        maintain.run_jobs(store, new, step, changed, removed, cut, edges, ends_early)
+    assert state() == before and store.manifest()["version"] == 1
+    s_files = {b: f for b, f in store.manifest()["tables"]["files"].items()}
+    maintain.run_jobs(store, new, step, changed, removed, cut, edges, vectors)
+    after = state()
+    assert {p for p, _ in after["files"]} == {"f0.txt", "f1.txt", "f3.txt", "f4.txt", "f5.txt", "a.txt"} and all(len(after[n]) == 6 for n in ("chunks", "edges", "vectors"))
+    assert len({c for c, _ in before["chunks"]} & {c for c, _ in after["chunks"]}) == 6 and len(set(before["chunks"]) & set(after["chunks"])) == 5
+    # The bucket of a repo without a job is as it was, and the same work again changes nothing.
+    own = {str(r["b"]) for r in step.select(versions.bucket_of(F.col("repo_id"), 3).alias("b")).collect()}
+    assert {b: f for b, f in store.manifest()["tables"]["files"].items() if b not in own} == {b: f for b, f in s_files.items() if b not in own}
+    maintain.run_jobs(store, new, step, changed, removed, cut, edges, vectors)
+    assert state() == after and store.manifest()["version"] == 3
+
+
+def test_vector_search_keeps_k_rows_a_task(spark):
+    rng = random.Random(4)
+    rows = [(f"c{i:04}", "r", [rng.choice([0.0, 1.0, -1.0]) for _ in range(4)] + [1.0]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "chunk_id string, repo_id string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(i, rows[i][2]) for i in range(0, 3000, 300)], "query_id long, embedding array<float>")
+    got = {(r["query_id"], r["ord"]): r["chunk_id"] for r in search.vector_search(q, v, k=7, block=64).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for i in range(0, 3000, 300):
+        want = sorted((-round(cos(rows[i][2], e), 6), c) for c, _, e in rows)[:7]
+        assert [got[i, n + 1] for n in range(7)] == [c for _, c in want]
+
+
 def test_versions_switch_at_once(spark, tmp_path):
     v = versions.Versions(spark, f"file://{tmp_path}/t", 4)
     df = spark.range(100).select("id", (F.col("id") % 7).alias("x"))
@@ -390,7 +441,7 @@ def test_embedder_and_vector_scope(spark, chunks):
 
 
 def test_no_nested_loops(spark, sf):
-    for name in ("x6_exact_search", "j7_definition_search", "j10_read_file", "j6_graph_expand", "j13_resolve_names"):
+    for name in ("x6_exact_search", "p11_substring_scan", "j7_definition_search", "j10_read_file", "j6_graph_expand", "j13_resolve_names"):
         assert "NestedLoop" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
 
 
