@@ -442,7 +442,7 @@ def test_embedder_and_vector_scope(spark, chunks):
 
 def test_no_nested_loops(spark, sf):
     for name in ("x6_exact_search", "p11_substring_scan", "j7_definition_search", "j10_read_file", "j6_graph_expand", "j13_resolve_names"):
-        assert "NestedLoop" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+        assert "NestedLoop" not in __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
 
 
 def test_entry(spark):
