@@ -59,7 +59,7 @@ _JS = [
     (rf"^\s*(?:export\s+)?(?:declare\s+)?interface\s+{_JS_NAME}", "interface"),
     (rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+{_JS_NAME}\s*(?:<.*>)?\s*=", "type"),
     (rf"^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+{_JS_NAME}", "type"),
-    (rf"^\s+(?!(?:if|for|while|switch|catch|function|return|else|do|with|new|await)\b)(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*{_JS_NAME}\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^;=]+)?\{{.*$", "method"),
+    (rf"^\s++(?!(?:if|for|while|switch|catch|function|return|else|do|with|new|await)\b)(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*{_JS_NAME}\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^;=]+)?\{{.*$", "method"),
 ]
 _JAVA_MODIFIERS = r"(?:(?:public|private|protected|static|final|abstract|sealed|synchronized|default|native|strictfp)\s+)*"
 _JAVA = [
@@ -83,8 +83,29 @@ GO_IMPORT = r'^\s+(?:[\w.]+\s+)?["`][^"`\s]+["`]\s*$'
 JS_IMPORT = r"(?m)^\s*import\b[^;'\"]*['\"][^'\"\n]+['\"]"
 CALL = r"([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w., ]*>)?\("
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "func", "synchronized", "try", "throw", "new", "typeof", "await", "assert", "select", "go", "defer", "case"]
-#: String literals and line comments: no calls in them.
-SILENT = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*"
+_QUOTED = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_COMMENT = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
+_JS_QUIET = rf"{_COMMENT}|(?<=(?:[(=,:\[!&|?{{}};]|\breturn)\s{{0,3}})/(?![/*])(?:[^/\\\n\[]|\\.|\[[^\]\n]*+\])++/|{_QUOTED}|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+#: Comments, texts and, in JavaScript, patterns: what they hold is no code.
+QUIET = {"go": rf"{_COMMENT}|{_QUOTED}|`[^`]*+`", "java": rf'{_COMMENT}|"""[\s\S]*?"""|{_QUOTED}', "typescript": _JS_QUIET, "javascript": _JS_QUIET}
+_JS_SURE, _JAVA_SURE = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b[^)]*\(", rf"^\s*(?:(?:public|private|protected|static)\b[^=;]*|{_JAVA_MODIFIERS}record\s[^=;]*)\("
+_JS_MAYBE = rf"^\s++(?!(?:if|for|while|switch|catch|function|return|else|do|with|new|await)\b)(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*{_JS_NAME}\s*(?:<[^>]*>)?\("
+_JAVA_MAYBE = rf"^\s+{_JAVA_MODIFIERS}(?!(?:return|new|throw|else|case|assert|if|for|while|switch|try|catch)\b)[A-Za-z_][\w.<>\[\], ?]*\("
+#: Lines whose parameters may go on below: those that are signatures for sure, and those that may be calls.
+SIGNATURES = {"go": (r"^func\b", r"^func\b"), "java": (_JAVA_SURE, _JAVA_MAYBE), "typescript": (_JS_SURE, _JS_MAYBE), "javascript": (_JS_SURE, _JS_MAYBE)}
+_FOLDED = "struct<depth:int,parens:int,sig:string,sig_at:int,sig_base:int,sig_parens:int,open:array<struct<at:int,base:int,parens:int,begun:boolean,kind:string,name:string>>,done:array<struct<at:int,to:int,kind:string,name:string>>>"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, within a lambda too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bare_code(content: Column, lang: str) -> Column:
+    """A source text with blanks for comments and texts; every line and place stays where it was."""
+    pieces = F.regexp_extract_all(content, F.lit(rf"""{QUIET[lang]}|[^"'`/]++|["'`/]"""), F.lit(0))
+    quiet = lambda p: (F.length(p) > 1) & p.rlike(r"""^["'`/]""")
+    return F.array_join(F.transform(pieces, lambda p: F.when(quiet(p), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
 
 
 def _begins(lang: str, x: Column) -> Column:
@@ -95,34 +116,74 @@ def _begins(lang: str, x: Column) -> Column:
     return out
 
 
+def definition_spans(lang: str, bare: Column) -> Column:
+    """array<struct<at,to,kind,name>> of the definitions in lines of bare_code(), from 0, to exclusive, by first line.
+
+    One pass over the lines that carries the depth of braces and parentheses and the
+    definitions still open: a body ends where the depth is back at that of its signature,
+    however its lines are indented. A signature may go on over lines until its parentheses
+    close. Without a body a definition ends with its statement; unclosed ones end with the file.
+    """
+    sure, maybe = SIGNATURES[lang]
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    lines = F.transform(bare, lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("line"), F.get(bare, i + 1).alias("next"), (count(x, "{") - count(x, "}")).alias("braces"), count(F.regexp_extract(x, r"^[^{]*", 0), "}").alias("lead"), (count(x, "(") - count(x, ")")).alias("parens")))
+
+    def ended(x: Column, text: Column) -> Column:
+        """Whether a statement without an open body is over with line x."""
+        more = F.coalesce(x["next"], F.lit("")).rlike(r"^\s*(?:[{|&=?:.]|(?:extends|implements|permits|throws)\b)")
+        return text.rlike(r"\{.*\}\s*[;,]?\s*$") | (~text.contains("{") & text.rlike(r"[^(,=|&?:\s]\s*$") & ~text.rlike(r"=>\s*$") & (~more | text.rlike(r";\s*$")))
+
+    def step(s: Column, x: Column) -> Column:
+        after, dip, parens = s["depth"] + x["braces"], s["depth"] - x["lead"], s["parens"] + x["parens"]
+        call = (parens > s["sig_parens"]) & x["line"].rlike(r";\s*$|=>\s*\{\s*$|\bfunction\b") & ~s["sig"].rlike(sure)
+        goes_on = s["sig"].isNotNull() & ~F.coalesce(call, F.lit(False))
+        text = F.struct(
+            F.when(goes_on, F.concat(s["sig"], F.lit(" "), F.ltrim(x["line"]))).otherwise(x["line"]).alias("text"),
+            F.when(goes_on, s["sig_at"]).otherwise(x["at"]).alias("at"),
+            F.when(goes_on, s["sig_base"]).otherwise(dip).alias("base"),
+            F.when(goes_on, s["sig_parens"]).otherwise(s["parens"]).alias("parens"),
+        )
+
+        def judged(t: Column) -> Column:
+            waits = (parens > t["parens"]) & (t["text"].rlike(sure) | t["text"].rlike(maybe))
+            return _let(F.struct(waits.alias("waits"), F.when(~waits, _begins(lang, t["text"])).alias("d")), lambda j: moved(t, j))
+
+        def moved(t: Column, j: Column) -> Column:
+            new = F.struct(t["at"].alias("at"), t["base"].alias("base"), t["parens"].alias("parens"), (after > t["base"]).alias("begun"), j["d"]["kind"].alias("kind"), j["d"]["name"].alias("name"))
+            over = lambda o: F.when(o["begun"], F.least(dip, after) <= o["base"]).otherwise((after < o["base"]) | ((after == o["base"]) & (parens <= o["parens"]) & ended(x, x["line"])))
+            at_once = (after <= t["base"]) & ended(x, t["text"])
+            gone = F.concat(F.filter(s["open"], over), F.when(j["d"].isNotNull() & at_once, F.array(new)).otherwise(F.array().cast("array<struct<at:int,base:int,parens:int,begun:boolean,kind:string,name:string>>")))
+            still = F.transform(F.filter(s["open"], lambda o: ~over(o)), lambda o: F.struct(o["at"].alias("at"), o["base"].alias("base"), o["parens"].alias("parens"), (o["begun"] | (after > o["base"])).alias("begun"), o["kind"].alias("kind"), o["name"].alias("name")))
+            still = F.when(j["d"].isNotNull() & ~at_once, F.concat(still, F.array(new))).otherwise(still)
+            done = F.concat(s["done"], F.transform(gone, lambda o: F.struct(o["at"].alias("at"), (x["at"] + 1).alias("to"), o["kind"].alias("kind"), o["name"].alias("name"))))
+            idle = (F.size(s["open"]) == 0) & j["d"].isNull()
+            held = [F.when(j["waits"], v).alias(n) for n, v in (("sig", t["text"]), ("sig_at", t["at"]), ("sig_base", t["base"]), ("sig_parens", t["parens"]))]
+            return F.struct(after.alias("depth"), parens.alias("parens"), *held, F.when(idle, s["open"]).otherwise(still).alias("open"), F.when(idle, s["done"]).otherwise(done).alias("done"))
+
+        return _let(text, judged)
+
+    start = F.from_json(F.lit('{"depth":0,"parens":0,"open":[],"done":[]}'), _FOLDED)
+    rest = lambda s: F.transform(s["open"], lambda o: F.struct(o["at"].alias("at"), F.size(bare).alias("to"), o["kind"].alias("kind"), o["name"].alias("name")))
+    return F.aggregate(lines, start, step, lambda s: F.array_sort(F.concat(s["done"], rest(s))))
+
+
 def _code_definitions(files: DataFrame, lang: str) -> DataFrame:
-    indent = lambda x: F.length(F.regexp_extract(x, r"^\s*", 0))
     lined = files.where(F.col("language") == lang).select("repo_id", "path", "language", "content").withColumn("lines", F.split("content", "\n")).withColumn("n", F.size("lines"))
-    begun = F.transform("lines", lambda x, i: F.struct(i.alias("at"), indent(x).alias("indent"), _begins(lang, x).alias("d")))
-    lined = lined.withColumn("starts", F.filter(begun, lambda s: s["d"].isNotNull()))
-    # A body ends at the first closing brace that stands no deeper than its definition.
-    lined = lined.withColumn("closed", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"^\s*\}"), F.struct(i.alias("at"), indent(x).alias("indent")))), lambda s: s.isNotNull()))
-
-    def end(s: Column, k: Column) -> Column:
-        line, following = F.get("lines", s["at"]), F.coalesce(F.get("lines", s["at"] + 1), F.lit(""))
-        short = line.rlike(r"\{.*\}\s*[;,]?\s*$") | (~line.contains("{") & line.rlike(r"[^(,=|&\s]\s*$") & ~following.rlike(r"^\s*[{|&=]"))
-        brace = F.array_min(F.transform(F.filter("closed", lambda c: (c["at"] > s["at"]) & (c["indent"] <= s["indent"])), lambda c: c["at"])) + 1
-        return F.when(short, s["at"] + 1).otherwise(F.coalesce(brace, F.get("starts", k + 1)["at"], F.col("n")))
-
-    lined = lined.withColumn("spans", F.transform("starts", lambda s, k: F.struct(s["at"].alias("at"), end(s, k).alias("to"), s["d"].alias("d"))))
+    lined = lined.withColumn("bare", F.split(bare_code(F.col("content"), lang), "\n")).withColumn("spans", definition_spans(lang, F.col("bare")))
     each = lined.withColumn("def", F.explode("spans"))
     inner = F.filter("spans", lambda s: (s["at"] > F.col("def.at")) & (s["at"] < F.col("def.to")))
-    each = each.withColumn("inner", inner).withColumn("body", F.slice("lines", F.col("def.at") + 1, F.col("def.to") - F.col("def.at")))
-    own = F.filter("body", lambda x, i: ~F.exists("inner", lambda s: (s["at"] <= i + F.col("def.at")) & (i + F.col("def.at") < s["to"])))
-    text, name = F.array_join(own, "\n"), F.col("def.d.name")
+    cut = lambda c: F.slice(c, F.col("def.at") + 1, F.col("def.to") - F.col("def.at"))
+    each = each.withColumn("inner", inner).withColumn("body", cut("lines"))
+    own = F.filter(cut("bare"), lambda x, i: ~F.exists("inner", lambda s: (s["at"] <= i + F.col("def.at")) & (i + F.col("def.at") < s["to"])))
+    text, name = F.array_join(own, "\n"), F.col("def.name")
     after = F.coalesce(F.nullif(F.instr(text, F.concat(name, F.lit("("))), F.lit(0)), F.instr(text, name)) + F.length(name)
-    said = F.regexp_replace(F.substring(text, after, F.length(text)), SILENT, "")
+    said = F.substring(text, after, F.length(text))
     said = said if lang == "java" else F.regexp_replace(said, r"\bnew\s+[\w$.]+", "")
     called = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(said, F.lit(CALL), 1), callee_name), lambda c: (c != "") & ~c.isin(NOT_CALLS)))
     none = F.array().cast("array<string>")
-    defs = each.select("repo_id", "path", "language", F.col("def.d.kind").alias("chunk_type"), name.alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("def.to").alias("end_line"), F.array_join("body", "\n").alias("raw"), F.when(F.col("def.d.kind").isin("function", "method"), called).otherwise(none).alias("calls"))
+    defs = each.select("repo_id", "path", "language", F.col("def.kind").alias("chunk_type"), name.alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("def.to").alias("end_line"), F.array_join("body", "\n").alias("raw"), F.when(F.col("def.kind").isin("function", "method"), called).otherwise(none).alias("calls"))
 
-    listed = (lambda x, i: x.rlike(GO_IMPORT) & (i < F.coalesce(F.get("starts", F.lit(0))["at"], F.col("n")))) if lang == "go" else (lambda x, i: F.lit(False))
+    listed = (lambda x, i: x.rlike(GO_IMPORT) & (i < F.coalesce(F.get("spans", F.lit(0))["at"], F.col("n")))) if lang == "go" else (lambda x, i: F.lit(False))
     marked = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(IMPORT_LINE) | listed(x, i), F.struct(i.alias("at"), x.alias("line")))), lambda s: s.isNotNull())
     stated = F.transform("im", lambda s: s["line"]) if lang in ("java", "go") else F.regexp_extract_all("content", F.lit(JS_IMPORT), 0)
     modules = F.array_distinct(F.filter(F.transform(stated, lambda x: import_module(F.col("language"), x)), lambda m: m != ""))
@@ -131,10 +192,11 @@ def _code_definitions(files: DataFrame, lang: str) -> DataFrame:
 
 
 def code_definitions(files: DataFrame) -> DataFrame:
-    """As python_definitions, for Go, Java, TypeScript and JavaScript, by rules over lines and their indentation.
+    """As python_definitions, for Go, Java, TypeScript and JavaScript, by rules over lines and the depth of braces.
 
-    Approximate by design: signatures must begin and name their definition on one line. Calls in definitions
-    inside another count for the inner one. Null contents give no rows. No shuffle, native columns only.
+    Signatures must name their definition on their first line and may go on below it. What comments and texts
+    hold is no code. Functions without a name of their own (arrow functions) count for what encloses them, calls in
+    definitions inside another for the inner one. Null contents give no rows. No shuffle, native columns only.
     """
     parts = [_code_definitions(files.where("content is not null"), lang) for lang in DEFINITION_RULES]
     return reduce(DataFrame.unionByName, parts)

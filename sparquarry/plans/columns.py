@@ -56,6 +56,27 @@ def a9_code_edges(spark, d):
     return edges.join(chunks.select(F.col("chunk_id").alias("from_node"), "path", F.col("symbol").alias("from_symbol")), "from_node").select("path", "from_symbol", "edge_type", "to_symbol")
 
 
+def _nested_code(spark, d):
+    """A source file for each document whose braces in texts and comments, indents and long signatures mislead: a class, then one to four methods."""
+    doc, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    each = lambda a, b: F.array_join(F.transform(F.sequence(F.lit(0), F.col("doc_id") % 4), lambda i: F.concat(F.lit(a), i.cast("string"), F.lit(b), i.cast("string"), F.lit("(x);\n      }\n"))), "")
+    java = F.concat(F.lit("public class C"), doc, F.lit("\n{\n  /* class Ghost { */\n"), each("  public Map<A, B> m", "(\n      A x,\n      B y) throws E\n  {\n    // }\nString s = \"}} \\\" {\";\n    if (x) { a(s); } else {\n}\n    return call"), F.lit("}\n"))
+    go = F.concat(F.lit("type C"), doc, F.lit(" struct {\n\tn int\n}\n/* func Ghost() { */\n"), each("func (c *C) m", "(\n\tx A,\n\ty B,\n) error {\n\ts := `\n}`\n\tif x { a(s) } else {\n}\n\treturn call"))
+    ts = F.concat(F.lit("export class C"), doc, F.lit("\n  extends B {\n  /* class Ghost { */\n"), each("  async m", "(\n    { x }: { x: A },\n    y = 1,\n  ): Promise<B> {\n    const s = `\n}`;\n    if (x) { a(s); } else {\n}\n    return call"), F.lit("}\n"))
+    lang = F.when(k == 0, "java").when(k == 1, "go").otherwise("typescript")
+    return read(spark, d, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("src/"), doc).alias("path"), lang.alias("language"), F.when(k == 0, java).when(k == 1, go).otherwise(ts).alias("content"))
+
+
+_NESTED = """WITH f AS (SELECT 'src/' || doc_id AS path, 'C' || doc_id AS cls, doc_id % 3 AS k, doc_id % 4 + 1 AS m, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 5 ELSE 4 END AS first_ FROM documents),
+methods AS (SELECT path, 'm' || i AS symbol, first_ + 10 * i AS start_line, i FROM (SELECT *, unnest(range(0, m)) AS i FROM f))
+"""
+
+
+@query(_NESTED + "SELECT path, CASE k WHEN 1 THEN 'struct' ELSE 'class' END AS chunk_type, cls AS symbol, 1 AS start_line, CASE k WHEN 1 THEN 3 ELSE 10 * m + first_ END AS end_line, [] AS calls FROM f UNION ALL SELECT path, 'method', symbol, start_line, start_line + 9, ['a', 'call' || i] FROM methods")
+def x3_nested_bodies(spark, d):
+    return chunking.code_definitions(_nested_code(spark, d)).select("path", "chunk_type", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.array_sort("calls").alias("calls"))
+
+
 _SAID = ["notify o/r here", "index status", "index the repo o/r", "please open a pull request", "review o/r#12", "see https://github.com/o/r/pull/7", "how are o/r#3 and this called"]
 
 

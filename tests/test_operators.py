@@ -132,6 +132,92 @@ def test_definitions_of_other_languages(spark, lang, code, definitions, edges):
     assert {(r["edge_type"], r["to_symbol"]) for r in found.collect()} == edges
 
 
+NESTED_TS = """export class Shop
+  extends Base {
+  /* function ghost() { */
+  private re = /[{"]/;
+  async build(
+    { a, b }: { a: string; b: number },
+    cb = () => null,
+  ): Promise<void> {
+const text = "}}}";
+    const t = `${a} {
+function phantom() {
+`;
+    run(
+      text,
+      () => {
+        deep(t);
+      });
+      }
+
+  after(): string { return '{'; }
+}
+function tail(a,
+  b) {
+  // }
+  return a;
+}
+"""
+NESTED_JAVA = """public class A
+{
+  // class Ghost {
+  private static String brace()
+  {
+    String s = "{{ \\" }";
+    char c = '{';
+return s + helper(
+      c,
+      1);
+  }
+
+  public <T> Map<String, T> wide(
+      Map<String, T> first,
+      int second) throws Gone {
+    if (second > 0) { inner(first); } else {
+      other();
+    }
+    return first;
+  }
+  void open(int x);
+}
+"""
+NESTED_GO = """package p
+
+func (s *Set) Long(
+\ta int,
+\tf func(int) int,
+) error {
+\tx := `
+}
+func ghost() {
+`
+\ts.call(x, '{')
+\treturn nil
+}
+
+func One() int { return two() }
+"""
+
+
+@pytest.mark.parametrize(
+    ("lang", "code", "definitions", "calls"),
+    [
+        ("typescript", NESTED_TS, {("class", "Shop", 1, 21), ("method", "build", 5, 18), ("method", "after", 20, 20), ("function", "tail", 22, 26)}, {"build": {"run", "deep"}}),
+        ("java", NESTED_JAVA, {("class", "A", 1, 22), ("method", "brace", 4, 11), ("method", "wide", 13, 20), ("method", "open", 21, 21)}, {"brace": {"helper"}, "wide": {"inner", "other"}}),
+        ("go", NESTED_GO, {("method", "Long", 3, 13), ("function", "One", 15, 15)}, {"Long": {"call"}, "One": {"two"}}),
+    ],
+)
+def test_bodies_end_by_depth_and_not_in_texts(spark, lang, code, definitions, calls):
+    chunks, edges = chunking.chunk_definitions(spark.createDataFrame([("r", "f", lang, code)], FILE))
+    names = {r["chunk_id"]: r["symbol"] for r in chunks.collect()}
+    found = {}
+    for e in edges.collect():
+        found.setdefault(names[e["from_node"]], set()).add(e["to_symbol"])
+    assert {(r["chunk_type"], r["symbol"], r["start_line"], r["end_line"]) for r in chunks.collect()} == definitions
+    assert {k: found.get(k) for k in calls} == calls
+
+
 def test_error_excerpts(spark):
     log = "\n".join(f"2024-01-01T00:00:00.000Z line {i}" for i in range(200)) + "\n2024-01-01T00:00:01Z ##[error]boom\n" + "\n".join(f"after {i}" for i in range(400))
     got = chunking.error_excerpt(spark.createDataFrame([(1, log), (2, "a\nb")], "id int, log string"), ["id"]).orderBy("id").collect()
