@@ -111,6 +111,8 @@ def bare_code(content: Column, lang: str) -> Column:
 def _begins(lang: str, x: Column) -> Column:
     """kind and name of the definition that line x begins in a language; null without one."""
     out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("name")))
+    if lang in ("typescript", "javascript"):  # types of parameters may hold semicolons
+        x = F.when(x.contains(";"), F.regexp_replace(x, r"\{[^{}()]*+\}", "{}")).otherwise(x)
     for pattern, kind in DEFINITION_RULES[lang]:
         out = out.when(x.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(x, pattern, 1).alias("name")))
     return out
@@ -155,7 +157,8 @@ def definition_spans(lang: str, bare: Column) -> Column:
             gone = F.concat(F.filter(s["open"], over), F.when(j["d"].isNotNull() & at_once, F.array(new)).otherwise(F.array().cast("array<struct<at:int,base:int,parens:int,begun:boolean,kind:string,name:string>>")))
             still = F.transform(F.filter(s["open"], lambda o: ~over(o)), lambda o: F.struct(o["at"].alias("at"), o["base"].alias("base"), o["parens"].alias("parens"), (o["begun"] | (after > o["base"])).alias("begun"), o["kind"].alias("kind"), o["name"].alias("name")))
             still = F.when(j["d"].isNotNull() & ~at_once, F.concat(still, F.array(new))).otherwise(still)
-            done = F.concat(s["done"], F.transform(gone, lambda o: F.struct(o["at"].alias("at"), (x["at"] + 1).alias("to"), o["kind"].alias("kind"), o["name"].alias("name"))))
+            ends = lambda g: F.concat(s["done"], F.transform(g, lambda o: F.struct(o["at"].alias("at"), (x["at"] + 1).alias("to"), o["kind"].alias("kind"), o["name"].alias("name"))))
+            done = _let(gone, lambda g: F.when(F.size(g) == 0, s["done"]).otherwise(ends(g)))
             idle = (F.size(s["open"]) == 0) & j["d"].isNull()
             held = [F.when(j["waits"], v).alias(n) for n, v in (("sig", t["text"]), ("sig_at", t["at"]), ("sig_base", t["base"]), ("sig_parens", t["parens"]))]
             return F.struct(after.alias("depth"), parens.alias("parens"), *held, F.when(idle, s["open"]).otherwise(still).alias("open"), F.when(idle, s["done"]).otherwise(done).alias("done"))
@@ -167,23 +170,37 @@ def definition_spans(lang: str, bare: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: F.array_sort(F.concat(s["done"], rest(s))))
 
 
+def _bodies(lang: str, content: Column) -> Column:
+    """definition_spans() of a text with each one's body and, for functions, what of its code is in no inner one."""
+
+    def of(lines: Column, bare: Column, spans: Column) -> Column:
+        def each(s: Column, k: Column) -> Column:
+            cut = lambda c: F.slice(c, s["at"] + 1, s["to"] - s["at"])
+            # Definitions begin on lines of their own, so that a body of n lines holds fewer than n.
+            inner = F.filter(F.slice(spans, k + 2, s["to"] - s["at"]), lambda t: t["at"] < s["to"])
+            own = _let(inner, lambda held: F.array_join(F.filter(cut(bare), lambda x, i: ~F.exists(held, lambda t: (t["at"] <= i + s["at"]) & (i + s["at"] < t["to"]))), "\n"))
+            return F.struct(s["at"].alias("at"), s["to"].alias("to"), s["kind"].alias("kind"), s["name"].alias("name"), F.array_join(cut(lines), "\n").alias("raw"), F.when(s["kind"].isin("function", "method"), own).alias("own"))
+
+        return F.transform(spans, each)
+
+    return _let(F.split(content, "\n"), lambda lines: _let(F.split(bare_code(content, lang), "\n"), lambda bare: _let(definition_spans(lang, bare), lambda spans: of(lines, bare, spans))))
+
+
 def _code_definitions(files: DataFrame, lang: str) -> DataFrame:
-    lined = files.where(F.col("language") == lang).select("repo_id", "path", "language", "content").withColumn("lines", F.split("content", "\n")).withColumn("n", F.size("lines"))
-    lined = lined.withColumn("bare", F.split(bare_code(F.col("content"), lang), "\n")).withColumn("spans", definition_spans(lang, F.col("bare")))
-    each = lined.withColumn("def", F.explode("spans"))
-    inner = F.filter("spans", lambda s: (s["at"] > F.col("def.at")) & (s["at"] < F.col("def.to")))
-    cut = lambda c: F.slice(c, F.col("def.at") + 1, F.col("def.to") - F.col("def.at"))
-    each = each.withColumn("inner", inner).withColumn("body", cut("lines"))
-    own = F.filter(cut("bare"), lambda x, i: ~F.exists("inner", lambda s: (s["at"] <= i + F.col("def.at")) & (i + F.col("def.at") < s["to"])))
-    text, name = F.array_join(own, "\n"), F.col("def.name")
+    of = files.where(F.col("language") == lang).select("repo_id", "path", "language", "content")
+    each = of.select("repo_id", "path", "language", F.explode(_bodies(lang, F.col("content"))).alias("def"))
+    text, name = F.col("def.own"), F.col("def.name")
     after = F.coalesce(F.nullif(F.instr(text, F.concat(name, F.lit("("))), F.lit(0)), F.instr(text, name)) + F.length(name)
     said = F.substring(text, after, F.length(text))
     said = said if lang == "java" else F.regexp_replace(said, r"\bnew\s+[\w$.]+", "")
     called = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(said, F.lit(CALL), 1), callee_name), lambda c: (c != "") & ~c.isin(NOT_CALLS)))
     none = F.array().cast("array<string>")
-    defs = each.select("repo_id", "path", "language", F.col("def.kind").alias("chunk_type"), name.alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("def.to").alias("end_line"), F.array_join("body", "\n").alias("raw"), F.when(F.col("def.kind").isin("function", "method"), called).otherwise(none).alias("calls"))
+    defs = each.select("repo_id", "path", "language", F.col("def.kind").alias("chunk_type"), name.alias("symbol"), (F.col("def.at") + 1).alias("start_line"), F.col("def.to").alias("end_line"), F.col("def.raw").alias("raw"), F.when(text.isNotNull(), called).otherwise(none).alias("calls"))
 
-    listed = (lambda x, i: x.rlike(GO_IMPORT) & (i < F.coalesce(F.get("spans", F.lit(0))["at"], F.col("n")))) if lang == "go" else (lambda x, i: F.lit(False))
+    lined = of.withColumn("lines", F.split("content", "\n"))
+    if lang == "go":
+        lined = lined.withColumn("first", F.coalesce(F.array_min(F.transform("lines", lambda x, i: F.when(x.rlike(r"^(?:func|type)\b"), i))), F.size("lines")))
+    listed = (lambda x, i: x.rlike(GO_IMPORT) & (i < F.col("first"))) if lang == "go" else (lambda x, i: F.lit(False))
     marked = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(IMPORT_LINE) | listed(x, i), F.struct(i.alias("at"), x.alias("line")))), lambda s: s.isNotNull())
     stated = F.transform("im", lambda s: s["line"]) if lang in ("java", "go") else F.regexp_extract_all("content", F.lit(JS_IMPORT), 0)
     modules = F.array_distinct(F.filter(F.transform(stated, lambda x: import_module(F.col("language"), x)), lambda m: m != ""))

@@ -1,4 +1,4 @@
-"""Sources and sinks: manifests, archives, event and fact files, logs, index tables, reports."""
+"""Sources and sinks: manifests, archives, event and fact files, logs, index tables."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from ..operators.evaluate import CASES
 PUSH = "ref string, after string, repository struct<full_name:string,default_branch:string>, installation struct<id:bigint>, commits array<struct<added:array<string>,modified:array<string>,removed:array<string>>>"
 CI_RUN = "action string, workflow_run struct<id:bigint,run_attempt:int,conclusion:string,name:string,head_branch:string,head_sha:string>, repository struct<full_name:string>"
 INSTALLATION = "action string, installation struct<id:bigint>, repositories_added array<struct<full_name:string>>, repositories_removed array<struct<full_name:string>>"
-JOBS = "jobs array<struct<id:bigint,name:string,conclusion:string,steps array<struct<name:string,conclusion:string,number:int>>>>".replace("steps array", "steps:array")
+JOBS = "jobs array<struct<id:bigint,name:string,conclusion:string,steps:array<struct<name:string,conclusion:string,number:int>>>>"
 CHANGES = "files array<struct<filename:string,status:string,additions:int,deletions:int,patch:string>>"
 
 
@@ -134,7 +134,3 @@ def write_index(tables: dict[str, DataFrame], path: str, version: str, buckets:
     for name in sorted(tables, key=lambda n: n == "files"):
         df = tables[name].withColumn("repo_bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)))
         df.repartition("repo_bucket").write.partitionBy("repo_bucket").parquet(f"{path}/{version}/{name}")
-
-
-def write_report(report: DataFrame, path: str, run: str) -> None:
-    report.withColumn("run", F.lit(run)).write.partitionBy("run").mode("append").json(path)

@@ -1,5 +1,6 @@
 """Operators on small examples, and invariants: idempotence, increments against rebuilds, streams against batches, plans."""
 
+import datetime
 import json
 import random
 import tarfile
@@ -11,7 +12,7 @@ import __spark_entry__
 from sparquarry.functions import text
 from sparquarry.operators import chunking, evaluate, fulltext, maintain, rank, retrieve, scope, search, tables
 from sparquarry.plans import fixtures, registry
-from sparquarry.sources import readers, versions
+from sparquarry.sources import readers, reports, versions
 from sparquarry.sources.stored import stored
 from sparquarry.streaming import jobs
 
@@ -563,3 +564,30 @@ def test_grants_are_revoked_purged_and_checked_again(spark):
     assert {(t, r) for t, r, on in seen["selections"] if on} == {(30, "o/c"), (10, "o/new")} and seen["allowed"] == {("o/b", False), ("o/z", True)}
     assert seen["jobs"] == {(10, "o/new")} and seen["unused"] == {("o/a",), ("o/b",), ("o/back",)}
     assert sorted(purged) == ["o/a", "o/b"]
+
+
+def test_reports_by_pointer(spark, tmp_path):
+    store = reports.Reports(versions.Versions(spark, "file://" + str(tmp_path / "reports"), 4))
+    at = lambda day: datetime.datetime(2024, 1, day)
+    case = lambda run, day, i, composite, error=None: ("d", run, at(day), i, composite, None, None, i == "n", error, 10)
+    df = lambda rows: spark.createDataFrame(rows, reports.RESULTS)
+    assert store.latest().isEmpty() and store.baseline().isEmpty() and store.add(df([])) == 0
+    store.add(df([case("a", 1, "x", 0.5), case("a", 1, "n", 1.0)]))
+    store.pin()
+    with pytest.raises(ValueError, match="no run"):
+        store.pin("zz")
+    store.add(df([case("b", 2, "x", 0.25), case("b", 2, "n", 0.0, "timeout")]))
+    store.add(df([case("b", 2, "x", 0.5), case("b", 2, "n", 0.0, "timeout")]))  # the run again: replaced, not doubled
+    store.add(df([case("c", 3, "x", 0.75), case("c", 3, "n", None)]))
+    assert {r["run_id"] for r in store.latest().collect()} == {"c"} and store.baseline().count() == 2 and store.history().count() == 6
+    runs = evaluate.run_summaries(store.history())
+    pinned = store.baseline().select("dataset", "run_id")
+    got = {r["run_id"]: r for r in evaluate.run_history(runs, pinned, 0.5).collect()}
+    assert [(got[k]["mean_composite"], got[k]["delta_previous"], got[k]["delta_baseline"], got[k]["trend"], got[k]["passed"]) for k in "abc"] == [(0.75, None, 0.0, "unchanged", True), (0.25, -0.5, -0.5, "regressed", False), (0.75, 0.5, 0.0, "unchanged", True)]
+    assert [(got[k]["failures"], got[k]["abstain_accuracy"], got[k]["total_ms"]) for k in "abc"] == [(0, 1.0, 20), (1, None, 20), (0, None, 20)]
+    assert {r["trend"] for r in evaluate.run_history(runs).collect()} == {None}
+    base = store.versions.manifest()
+    store.versions.stage("runs", df([case("e", 4, "x", 1.0)]), versions.bucket_of(F.col("run_id"), 4))  # a job that dies before its commit
+    assert store.versions.manifest() == base and store.history().count() == 6
+    with pytest.raises(ValueError, match="without a run"):
+        store.add(df([case(None, 4, "x", 1.0)]))
