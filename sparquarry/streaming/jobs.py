@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,20 +177,86 @@ def status_feed(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count_if(F.col("status") == "READY").alias("ready"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(F.col("status").isin("PENDING", "INDEXING")).alias("active"), F.sum("chunks").alias("chunks"))
 
 
-def _forward(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    most = state.get[0] if state.exists else -1
-    kept = []
-    for e in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-        if e.rank > most:
-            most = int(e.rank)
-            kept.append((key[0], most, e.ts))
-    state.update((most,))
-    yield pd.DataFrame(kept, columns=["key", "rank", "ts"])
+def _keep_until(state: GroupState, last: int, keep: int) -> None:
+    """Let Spark drop the state once the watermark is past the last event by keep ms."""
+    state.setTimeoutTimestamp(max(last + keep, state.getCurrentWatermarkMs() + 1))
+
+
+def _with_expiry(stream: DataFrame, keep: timedelta | None, delay: str) -> tuple[DataFrame, str, int | None]:
+    """The stream with event time in ms as at_ and, with keep, a watermark; the kind of timeout; keep in ms."""
+    timed = stream.withColumn("at_", F.unix_millis("ts"))
+    if keep is None:
+        return timed, GroupStateTimeout.NoTimeout, None
+    return timed.withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout, int(keep.total_seconds() * 1000)
+
+
+def _forward(keep: int | None):
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        most, last = state.get if state.exists else (-1, None)
+        kept = []
+        for e in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            if keep is not None and last is not None and e.at_ > last + keep:
+                most = -1
+            last = max(int(e.at_), last if last is not None else int(e.at_))
+            if e.rank > most:
+                most = int(e.rank)
+                kept.append((key[0], most, e.ts))
+        state.update((most, last))
+        if keep is not None:
+            _keep_until(state, last, keep)
+        yield pd.DataFrame(kept, columns=["key", "rank", "ts"])
 
+    return run
+
+
+def forward_only(stream: DataFrame, keep: timedelta | None = None, delay: str = "1 hour") -> DataFrame:
+    """Events (key, rank, ts) whose rank is above all earlier ones of their key.
+
+    With keep, a key that had no event for so long begins anew, wherever batches end, and its
+    state is dropped when the watermark has passed that; without, it is kept for ever.
+    """
+    timed, timeout, ms = _with_expiry(stream, keep, delay)
+    return timed.groupBy("key").applyInPandasWithState(_forward(ms), "key string, rank int, ts timestamp", "most int, last long", "append", timeout)
+
+
+def _claim(keep: int | None):
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        claimed, posted, last = state.get if state.exists else (False, False, None)
+        out = []
+        for e in pd.concat(list(rows)).sort_values(["at_", "kind"]).itertuples(index=False):
+            if keep is not None and last is not None and e.at_ > last + keep:
+                claimed = posted = False
+            last = max(int(e.at_), last if last is not None else int(e.at_))
+            if e.kind == "run" and not claimed:
+                claimed = True
+                out.append((*key, e.ts))
+            elif e.kind == "posted":
+                posted = True
+            elif e.kind == "failed" and not posted:
+                claimed = False
+        state.update((claimed, posted, last))
+        if keep is not None:
+            _keep_until(state, last, keep)
+        yield pd.DataFrame(out, columns=["run_id", "attempt", "ts"])
 
-def forward_only(stream: DataFrame) -> DataFrame:
-    """Events (key, rank, ts) whose rank is above all earlier ones of their key."""
-    return stream.groupBy("key").applyInPandasWithState(_forward, "key string, rank int, ts timestamp", "most int", "append", GroupStateTimeout.NoTimeout)
+    return run
+
+
+def claimed_runs(stream: DataFrame, keep: timedelta | None = None, delay: str = "1 hour") -> DataFrame:
+    """Of events (run_id, attempt, kind, ts) the runs to work on: the first one of a run's attempt, and the first after each failure.
+
+    kind: run asks for work, failed gives the claim back unless the attempt was posted before,
+    posted makes it final. Equal times act in the order failed, posted, run. The claims are
+    Spark's state, so that a replayed batch gives the same; keep as in forward_only().
+    """
+    timed, timeout, ms = _with_expiry(stream.select("run_id", "attempt", "kind", "ts"), keep, delay)
+    return timed.groupBy("run_id", "attempt").applyInPandasWithState(_claim(ms), "run_id long, attempt int, ts timestamp", "claimed boolean, posted boolean, last long", "append", timeout)
 
 
 def with_fresh_scopes(read: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

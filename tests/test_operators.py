@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 import tarfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -495,6 +496,38 @@ def test_stateful_streams(spark, tmp_path):
     assert (feed[0]["ready"], feed[0]["failed"], feed[0]["active"]) == (1, 1, 1)
 
 
+def _by_batch(spark, folder, batches, schema):
+    """A stream that reads one batch of rows at a time, in this order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema.replace("ts timestamp", "t string")).withColumn("ts", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05 if i < len(batches) - 1 else 0)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_state_ends(spark, tmp_path):
+    day = lambda d, s=0: f"2024-01-{d:02d} 00:00:{s:02d}"
+    batches = [[("a", 2, day(1)), ("b", 5, day(1)), ("a", 1, day(1, 5))], [("b", 4, day(2)), ("c", 1, day(12))], [("a", 1, day(12)), ("c", 0, day(12, 1))], [("d", 1, day(13))]]
+    stream = _by_batch(spark, str(tmp_path / "in"), batches, "key string, rank int, ts timestamp")
+    ended = jobs.forward_only(stream, datetime.timedelta(days=3), "1 minute")
+    q = ended.writeStream.outputMode("append").format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["key"], r["rank"]) for r in spark.table("ended").collect()) == [("a", 1), ("a", 2), ("b", 5), ("c", 1), ("d", 1)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3  # b's state is gone
+    kept = drained(jobs.forward_only(stream), tmp_path, "kept")
+    assert sorted((r["key"], r["rank"]) for r in kept) == [("a", 2), ("b", 5), ("c", 1), ("d", 1)]
+
+
+def test_claims_in_state(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    batches = [[(1, 1, "run", at(1)), (1, 1, "run", at(2)), (1, 2, "run", at(1)), (2, 1, "run", at(1))], [(1, 1, "failed", at(3)), (1, 1, "run", at(3)), (2, 1, "posted", at(3)), (2, 1, "failed", at(4)), (2, 1, "run", at(5))], [(1, 2, "run", at(6)), (1, 1, "run", at(7))]]
+    schema = "run_id long, attempt int, kind string, ts timestamp"
+    stream = _by_batch(spark, str(tmp_path / "in"), batches, schema)
+    got = sorted((r["run_id"], r["attempt"], r["ts"].second) for r in drained(jobs.claimed_runs(stream), tmp_path, "claimed"))
+    assert got == [(1, 1, 1), (1, 1, 3), (1, 2, 1), (2, 1, 1)]
+    again = drained(jobs.claimed_runs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), datetime.timedelta(days=1)), tmp_path, "claimed_at_once")
+    assert sorted((r["run_id"], r["attempt"], r["ts"].second) for r in again) == got
+
+
 def test_retry_and_dead_letters(spark, tmp_path):
     paths = [str(tmp_path / n) for n in ("good", "retry", "dead")]
     run = jobs.with_retry(lambda df: (df.where("ok"), df.where("not ok")), 1, *paths)
