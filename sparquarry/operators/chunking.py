@@ -188,7 +188,8 @@ def _bodies(lang: str, content: Column) -> Column:
 
 def _code_definitions(files: DataFrame, lang: str) -> DataFrame:
     of = files.where(F.col("language") == lang).select("repo_id", "path", "language", "content")
-    each = of.select("repo_id", "path", "language", F.explode(_bodies(lang, F.col("content"))).alias("def"))
+    # An inner explode would have its input's size filtered on, and the bodies found again for that.
+    each = of.select("repo_id", "path", "language", F.explode_outer(_bodies(lang, F.col("content"))).alias("def")).where("def is not null")
     text, name = F.col("def.own"), F.col("def.name")
     after = F.coalesce(F.nullif(F.instr(text, F.concat(name, F.lit("("))), F.lit(0)), F.instr(text, name)) + F.length(name)
     said = F.substring(text, after, F.length(text))
