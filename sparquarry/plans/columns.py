@@ -77,16 +77,16 @@ def x3_nested_bodies(spark, d):
     return chunking.code_definitions(_nested_code(spark, d)).select("path", "chunk_type", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.array_sort("calls").alias("calls"))
 
 
-@query("""WITH r AS (SELECT o_orderpriority AS dataset, strftime(o_orderdate, '%Y-%m') AS run_id, (o_custkey % 101) / 100.0 AS composite, CASE WHEN o_custkey % 3 > 0 THEN (o_orderkey % 11) / 10.0 END AS citation_f1, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 4) / 4.0 END AS source_recall, o_orderkey % 7 = 0 AS negative, o_orderkey % 13 = 0 AS failed, o_custkey % 500 AS ms FROM orders),
+@query("""WITH r AS (SELECT o_orderpriority AS dataset, strftime(o_orderdate, '%Y-%m') AS run_id, (o_custkey % 129) / CAST(128 AS DOUBLE) AS composite, CASE WHEN o_custkey % 3 > 0 THEN (o_orderkey % 17) / CAST(16 AS DOUBLE) END AS citation_f1, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 4) / CAST(4 AS DOUBLE) END AS source_recall, o_orderkey % 7 = 0 AS negative, o_orderkey % 13 = 0 AS failed, o_custkey % 500 AS ms FROM orders),
 s AS (SELECT dataset, run_id, count(*) AS cases, round(avg(composite), 4) AS mean_composite, avg(citation_f1) AS f1, avg(source_recall) AS recall, avg(composite) AS raw, avg(composite) FILTER (negative AND NOT failed) AS declined, count(*) FILTER (failed) AS failures, CAST(sum(ms) AS BIGINT) AS total_ms FROM r GROUP BY ALL),
 b AS (SELECT dataset, arg_min(mean_composite, run_id) AS base FROM s WHERE dataset NOT LIKE '5%' GROUP BY dataset),
 h AS (SELECT *, round(mean_composite - lag(mean_composite) OVER (PARTITION BY dataset ORDER BY run_id), 4) AS delta_previous, round(mean_composite - base, 4) AS delta_baseline FROM s LEFT JOIN b USING (dataset))
 SELECT dataset, run_id, cases, mean_composite, round(f1, 4) AS mean_citation_f1, round(recall, 4) AS mean_source_recall, round(declined, 4) AS abstain_accuracy, failures, total_ms, delta_previous, delta_baseline, CASE WHEN delta_baseline > 0 THEN 'improved' WHEN delta_baseline < 0 THEN 'regressed' WHEN delta_baseline = 0 THEN 'unchanged' END AS trend, raw >= 0.5 AS passed FROM h""")
 def s17_run_history(spark, d):
-    """A run for each month of orders and a dataset for each priority; the first run of a dataset is pinned, but for one without."""
+    """A run for each month of orders and a dataset for each priority; the first run of a dataset is pinned, but for one without. Sums of the scores are exact in any order."""
     o, key = read(spark, d, "orders"), F.col("o_custkey")
     results = o.select(
-        F.col("o_orderpriority").alias("dataset"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.date_trunc("month", "o_orderdate").alias("ran_at"), (key % 101 / 100).alias("composite"), F.when(key % 3 > 0, F.col("o_orderkey") % 11 / 10).alias("citation_f1"),
+        F.col("o_orderpriority").alias("dataset"), F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), F.date_trunc("month", "o_orderdate").alias("ran_at"), (key % 129 / 128).alias("composite"), F.when(key % 3 > 0, F.col("o_orderkey") % 17 / 16).alias("citation_f1"),
         F.when(key % 5 > 0, key % 4 / 4).alias("source_recall"), (F.col("o_orderkey") % 7 == 0).alias("negative"), F.when(F.col("o_orderkey") % 13 == 0, "timeout").alias("error"), (key % 500).alias("total_ms"),
     )
     runs = evaluate.run_summaries(results)
