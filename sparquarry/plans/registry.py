@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
-from ..operators import chunking, evaluate, fulltext, rank, retrieve, scope, search, tables
+from ..operators import cells, chunking, evaluate, fulltext, rank, retrieve, scope, search, tables
 from ..sources.stored import stored
 from ..streaming import jobs
 from . import fixtures as fx
@@ -192,12 +192,24 @@ def x4_bm25_search(spark, d):
     return hits.select("query_id", "chunk_id", "ord", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 30")
+_NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q) SELECT query_id, chunk_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 30"
+
+
+@query(_NEAREST)
 def x5_vector_search(spark, d):
     v = read(spark, d, "embeddings")
     return search.vector_search(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), F.lit("r").alias("repo_id"), "embedding")).select("query_id", "chunk_id")
 
 
+@query(_NEAREST)
+def x5_vector_cells(spark, d):
+    """The same hits by cells: the nearest ones of each query, then what may still hold better ones."""
+    v = read(spark, d, "embeddings")
+    rows = v.select(F.col("vec_id").alias("chunk_id"), F.lit("r").alias("repo_id"), "embedding")
+    index = cells.build_cells(rows, cells.fit_centers(rows))
+    return cells.cell_search(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), index).select("query_id", "chunk_id")
+
+
 @query(f"WITH {fx.FILES}, {fx.chunks_sql()}, q AS (SELECT item_id AS query_id, unnest([text, substr(text, 1, length(text) // 2), substr(text, 31)]) AS lit FROM benchmark), h AS (SELECT query_id, chunk_id, count(DISTINCT lit) AS literals FROM q JOIN chunks_ ON length(lit) >= 3 AND contains(lower(content), lower(lit)) GROUP BY query_id, chunk_id) SELECT query_id, chunk_id, literals FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY literals DESC, chunk_id) <= 20")
 def x6_exact_search(spark, d):
     c = stored(fx.chunks(spark, d).repartition("chunk_id"), "chunks")

@@ -6,12 +6,13 @@ import random
 import tarfile
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparquarry.functions import text
-from sparquarry.operators import chunking, evaluate, fulltext, maintain, rank, retrieve, scope, search, tables
+from sparquarry.operators import cells, chunking, evaluate, fulltext, maintain, rank, retrieve, scope, search, tables
 from sparquarry.plans import fixtures, registry
 from sparquarry.sources import readers, reports, versions
 from sparquarry.sources.stored import stored
@@ -418,6 +419,44 @@ def test_vector_search_keeps_k_rows_a_task(spark):
         assert [got[i, n + 1] for n in range(7)] == [c for _, c in want]
 
 
+def _clustered(n, dims, seed, copies=0):
+    """Vectors around 40 centers, a third of them one vector over and over if copies."""
+    r = np.random.default_rng(seed)
+    around = r.normal(size=(40, dims))
+    rows = around[r.integers(0, 40, n)] + r.normal(scale=0.5, size=(n, dims))
+    rows[:copies] = rows[0]
+    return rows.astype(np.float32)
+
+
+def test_cells_hold_every_vector_and_lose_no_hit(spark):
+    rows = _clustered(3000, 16, 1, copies=1000)
+    rows[1500] = 0
+    data = [(f"c{i:05}", f"r{i % 3}", [float(y) for y in x]) for i, x in enumerate(rows)] + [("none", "r0", None), ("empty", "r0", [])]
+    v = spark.createDataFrame(data, "chunk_id string, repo_id string, embedding array<float>").repartition(5)
+    index = cells.build_cells(v, cells.fit_centers(v, cells=24, sample=800), block=100)
+    held = index.blocks.select("block", F.explode("chunk_ids").alias("c"), F.size("chunk_ids").alias("n")).toPandas()
+    assert sorted(held["c"]) == [c for c, _, e in data if e] and held["n"].max() <= 100 and index.blocks.select("block").distinct().count() == index.blocks.count()
+    asked = [(i, data[i][2]) for i in (0, 5, 1100, 1500, 1700, 2900)] + [(7000, None)]
+    q = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    want = {(r["query_id"], r["ord"], r["chunk_id"], r["repo_id"], round(r["score"], 5)) for r in search.vector_search(q.where("embedding is not null"), v.where("size(embedding) > 0"), k=20).collect()}
+    for probes in (1, 4):
+        got = {(r["query_id"], r["ord"], r["chunk_id"], r["repo_id"], round(r["score"], 5)) for r in cells.cell_search(q, index, k=20, probes=probes, group=2).collect()}
+        assert got == want and len(got) == 120
+    seen = cells.cell_search(q, index, scopes=spark.createDataFrame([(0, "r1")], "query_id long, repo_id string"), k=20).collect()
+    assert {(r["query_id"], r["repo_id"]) for r in seen} == {(0, "r1")}
+    none = v.where("false")
+    assert cells.cell_search(q, cells.build_cells(none, cells.fit_centers(none))).count() == 0
+
+
+def test_recall_of_the_nearest_cells(spark):
+    v = spark.createDataFrame([(i, "r", [float(y) for y in x]) for i, x in enumerate(_clustered(6000, 32, 2))], "chunk_id long, repo_id string, embedding array<float>")
+    q = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = cells.build_cells(v, cells.fit_centers(v, sample=2000))
+    near = cells.cell_search(q, index, exact=False).select("query_id", "chunk_id")
+    exact = search.vector_search(q, v).select("query_id", "chunk_id")
+    assert near.intersect(exact).count() >= 0.9 * exact.count() == 0.9 * 120 * 30
+
+
 def test_versions_switch_at_once(spark, tmp_path):
     v = versions.Versions(spark, f"file://{tmp_path}/t", 4)
     df = spark.range(100).select("id", (F.col("id") % 7).alias("x"))
