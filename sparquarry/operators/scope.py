@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SCOPE_STOPWORDS, ascii_edges
+from .search import _grams
 
 #: Order of index states.
 STATUS_RANK = {"PENDING": 0, "INDEXING": 1, "READY": 2, "FAILED": 2}
@@ -28,29 +29,82 @@ def _parts_hit(parts: Column, words: Column) -> Column:
     return 3 * F.size(F.filter(parts, hit))
 
 
+def _parts(name: Column, between: str) -> Column:
+    return F.filter(F.split(F.lower(name), between), lambda p: F.length(p) > 2)
+
+
 def mention_score(question: Column, repo: Column) -> Column:
     """How clearly a question names a repo: in full 100, by name 80, by the name in words 70, else 3 for each part."""
     q, name = F.lower(question), F.element_at(F.split(repo, "/"), -1)
     spaced = F.regexp_replace(name, "-", " ")
-    parts = F.filter(F.split(F.lower(name), "[-_.]+"), lambda p: F.length(p) > 2)
+    parts = _parts(name, "[-_.]+")
     as_word = F.contains(F.concat(F.lit(" "), F.regexp_replace(q, r"[^a-z0-9_.-]", " "), F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" ")))
     return F.when(F.contains(q, repo), 100).when(F.length(name) < 3, 0).when(as_word, 80).when((spaced != name) & F.contains(q, spaced), 70).otherwise(_parts_hit(parts, _words(q)))
 
 
+def _may_hold(short: DataFrame, grams: DataFrame) -> DataFrame:
+    """(literal, id): what of grams (id, gram) may hold the literals of short, as it has the gram of the literal that fewest have.
+
+    Grams are runs of three characters; a shorter literal is one itself.
+    """
+    own = F.when(F.length("literal") >= 3, _grams(F.col("literal"))).otherwise(F.array("literal"))
+    each = short.select("literal").distinct().select("literal", F.explode(own).alias("gram"))
+    often = grams.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    # A literal with a gram that is nowhere is nowhere, so its gram must be that one.
+    seldom = each.join(often, "gram", "left").groupBy("literal").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    return seldom.join(grams, "gram").select("literal", "id")
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long): which literals of the one dictionary stand within which of the other."""
+    grams = long.select(F.col("literal").alias("id"), F.explode(_grams(F.col("literal"))).alias("gram"))
+    return _may_hold(short, grams).where(F.contains("id", "literal")).select(F.col("literal").alias("short"), F.col("id").alias("long"))
+
+
+def _may_name(queries: DataFrame, rows: DataFrame, whole: Column, parts: Column) -> DataFrame:
+    """Those of the (query_id, ...) rows of which the question may hold one of the whole names, or a word that fits one of the parts.
+
+    Names meet questions, and parts meet words, by grams: once each, however many rows have them.
+    Rows then meet what their question holds, by key, so that scores are worked out for matches only.
+    """
+    named = rows.select(whole.alias("whole"), parts.alias("parts")).distinct()
+    q = F.lower("question")
+    text = F.concat(q, F.lit("\n"), F.regexp_replace(q, r"[^a-z0-9_.-]", " "))
+    grams = queries.select(F.col("query_id").alias("id"), F.explode(F.concat(F.array(F.lit("")), *[_grams(text, n) for n in (1, 2, 3)])).alias("gram"))
+    held = _may_hold(named.select(F.explode("whole").alias("literal")), grams).select(F.col("id").alias("query_id"), F.lit("whole").alias("kind"), F.col("literal").alias("key"))
+    of_question = queries.select("query_id", F.explode(F.array_distinct(_words(q))).alias("word"))
+    words, pieces = of_question.select(F.col("word").alias("literal")).distinct(), named.select(F.explode("parts").alias("literal")).distinct()
+    fits = _inside(pieces, words).select(F.col("short").alias("part"), F.col("long").alias("word")).union(_inside(words, pieces).select(F.col("long").alias("part"), F.col("short").alias("word"))).distinct()
+    fitting = of_question.join(fits, "word").select("query_id", F.lit("part").alias("kind"), F.col("part").alias("key"))
+    of_kind = lambda kind, keys: F.transform(keys, lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+    keys = F.array_distinct(F.concat(of_kind("whole", whole), of_kind("part", parts)))
+    keyed = rows.withColumn("key_", F.explode(keys)).select(*rows.columns, "key_.kind", "key_.key")
+    return keyed.join(held.unionByName(fitting), ["query_id", "kind", "key"], "left_semi").select(*rows.columns).distinct()
+
+
 def mentioned_scope(queries: DataFrame, scopes: DataFrame, least: int = 3) -> DataFrame:
-    """scopes (query_id, repo_id) cut down to the repos that the question names best; all where it names none."""
-    scored = scopes.join(queries.select("query_id", "question"), "query_id").withColumn("score", mention_score(F.col("question"), F.col("repo_id")))
-    best = scored.withColumn("best", F.max("score").over(W.partitionBy("query_id")))
+    """scopes (query_id, repo_id) cut down to the repos that the question names best; all where it names none.
+
+    query_id is unique in queries; scopes of other queries are left out. A repo without an id is named
+    by nothing.
+    """
+    repo = F.col("repo_id")
+    name = F.element_at(F.split(repo, "/"), -1)
+    whole = F.when(F.length(name) < 3, F.array(repo)).otherwise(F.array_distinct(F.array(name, F.regexp_replace(name, "-", " "))))
+    own = scopes.select("query_id", "repo_id").join(queries.select("query_id"), "query_id", "left_semi")
+    hit = _may_name(queries, own, whole, _parts(name, "[-_.]+"))
+    scored = hit.join(queries.select("query_id", "question"), "query_id").select("query_id", "repo_id", mention_score(F.col("question"), repo).alias("score"))
+    best = own.join(scored, ["query_id", "repo_id"], "left").withColumn("best", F.coalesce(F.max("score").over(W.partitionBy("query_id")), F.lit(0)))
     return best.where((F.col("best") < least) | (F.col("score") == F.col("best"))).select("query_id", "repo_id")
 
 
 def best_repo(queries: DataFrame, repos: DataFrame, least: int = 3) -> DataFrame:
-    """The repo of (query_id, full_name) candidates that each question fits best; the first by name of equals."""
-    both = queries.join(repos, "query_id")
+    """The repo of (query_id, full_name) candidates that each question fits best, with a score of at least `least`, above 0; the first by name of equals."""
     slug = F.lower(F.element_at(F.split("full_name", "/"), -1))
-    q = F.lower("question")
-    parts = F.filter(F.split(slug, "-"), lambda p: F.length(p) > 2)
-    score = F.when(F.contains(q, slug) | F.contains(q, F.regexp_replace(slug, "-", " ")), 10).otherwise(0) + _parts_hit(parts, _words(q))
+    spaced, parts, q = F.regexp_replace(slug, "-", " "), _parts(slug, "-"), F.lower("question")
+    hit = _may_name(queries, repos.select("query_id", "full_name").distinct(), F.array_distinct(F.array(slug, spaced)), parts)
+    both = queries.join(repos, "query_id").join(hit, ["query_id", "full_name"], "left_semi")
+    score = F.when(F.contains(q, slug) | F.contains(q, spaced), 10).otherwise(0) + _parts_hit(parts, _words(q))
     ranked = both.withColumn("score", score).where(F.col("score") >= least)
     return ranked.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "full_name"))).where("rn = 1").drop("rn")
 

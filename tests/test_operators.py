@@ -295,6 +295,30 @@ def test_mentions(spark):
     assert got[1] == {"acme/viper"} and got[2] == {"acme/web-portal"} == got[3] == got[4] and len(got[5]) == 4
 
 
+def test_mentions_by_index_equal_all_pairs(spark):
+    rng = random.Random(3)
+    bits = ["web", "shop", "api", "bill", "billing", "ab", "x", "core-service", "Data", "log.view", "go"]
+    names = sorted({"/".join(rng.choice(bits) + rng.choice(["", "-", "_"]) + rng.choice(bits) for _ in range(rng.choice([1, 2]))) for _ in range(60)}) + ["", "a/", "b", "own/ab", "own/web shop"]
+    words = [*bits, "webhook", "core service", "bills", "own/web-shop", "the", "web/shop", "datalog", "WEB-API", "b", "own/ab", "ices"]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3])))) for i in range(120)] + [(500, None)]
+    q = spark.createDataFrame(asked, "query_id int, question string")
+    rows = spark.createDataFrame([(i, n) for i, _ in asked for n in names if i % 5 or n] + [(1, None), (999, "web")], "query_id int, repo_id string")
+    both = rows.join(q, "query_id").withColumn("score", scope.mention_score(F.col("question"), F.col("repo_id")))
+    scored = {}
+    for r in both.collect():
+        scored.setdefault(r["query_id"], []).append((r["repo_id"], r["score"]))
+    want = {(i, n) for i, held in scored.items() for n, score in held for best in [max(s or 0 for _, s in held)] if best < 3 or score == best}
+    got = [(r["query_id"], r["repo_id"]) for r in scope.mentioned_scope(q, rows).collect()]
+    assert set(got) == want and len(got) == len(want) < rows.count()
+    slug = F.lower(F.element_at(F.split("repo_id", "/"), -1))
+    lower = F.lower("question")
+    score = F.when(F.contains(lower, slug) | F.contains(lower, F.regexp_replace(slug, "-", " ")), 10).otherwise(0) + scope._parts_hit(F.filter(F.split(slug, "-"), lambda p: F.length(p) > 2), scope._words(lower))
+    first = {}
+    for r in both.withColumn("score", score).where("score >= 3").orderBy(F.desc("score"), "repo_id").collect():
+        first.setdefault(r["query_id"], (r["repo_id"], r["score"]))
+    assert {r["query_id"]: (r["full_name"], r["score"]) for r in scope.best_repo(q, rows.withColumnRenamed("repo_id", "full_name")).collect()} == first and len(first) > 20
+
+
 def test_scores(spark):
     cite = [("o/r", "workers/src/a.ts", "exact", ["exact"]), ("o/r", "b.ts", "vector", None)]
     answers = spark.createDataFrame([("1", "in [1]", cite), ("2", "see [1] [3]", cite), ("3", "bad [1]", cite), ("4", "I do not know", cite)], "id string, answer string, citations array<struct<repoFullName:string,path:string,source:string,sources:array<string>>>")
