@@ -399,7 +399,7 @@ def test_index_jobs_leave_the_old_version_until_they_end(spark, sf, tmp_path):
     store = versions.Versions(spark, f"file://{tmp_path}/index", 3)
     tree = spark.createDataFrame([("r", f"f{i}.txt", f"one {i}\ntwo") for i in range(6)] + [("s", "a.txt", "x"), ("s", "yarn.lock", "x")], "repo_id string, path string, content string")
     tree = tree.select(F.concat_ws(":", "repo_id", "path").alias("file_id"), "repo_id", "path", F.lit("text").alias("language"), F.sha2("content", 256).alias("blob_sha"), F.length("content").cast("long").alias("size"), "content")
-    cut = lambda f: chunking.chunk_lines(f, 10, 2)
+    cut = lambda f: chunking.chunk_lines(f, 10, 2).withColumn("chunk_type", F.lit("function")).withColumn("symbol", F.lit("x"))
     edges = lambda c: c.select("repo_id", F.col("chunk_id").alias("from_node"), F.lit("CALLS").alias("edge_type"), F.lit("x").alias("to_symbol"), F.lit(1).alias("line"))
     vectors = lambda c: c.select("chunk_id", "repo_id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
     jobs_ = spark.createDataFrame([("r", "FULL_INDEX"), ("s", "FULL_INDEX")], "repo_id string, job_type string")
@@ -408,6 +408,10 @@ def test_index_jobs_leave_the_old_version_until_they_end(spark, sf, tmp_path):
     maintain.run_jobs(store, tree, jobs_, none, none, cut, edges, vectors)
     before = state()
     assert len(before["files"]) == 7 and len(before["chunks"]) == len(before["edges"]) == len(before["vectors"]) == 7
+    counters = lambda: store.manifest()["facts"]["counters"]
+    facts = lambda of="true": {f"{n}_written": store.read(n, maintain.SCHEMAS[n]).where(of).count() for n in ("symbols", "references")}
+    assert counters() == {"files_indexed": 7, "files_removed": 0, "chunks_written": 7, "chunks_removed": 0, "edges_written": 7, **facts()} and counters()["references_written"] > 0 < counters()["symbols_written"]
+    old_files, old_chunks = (stored(store.read(n, maintain.SCHEMAS[n]).where("repo_id = 'r'"), n) for n in ("files", "chunks"))
     new = tree.withColumn("content", F.when(F.col("path") == "f1.txt", "other\ntwo").otherwise(F.col("content"))).withColumn("blob_sha", F.sha2("content", 256)).where("path <> 'f2.txt'")
     step = spark.createDataFrame([("r", "INCREMENTAL_INDEX")], "repo_id string, job_type string")
     changed = spark.createDataFrame([("r", "f1.txt"), ("r", "gone.txt")], "repo_id string, path string")
@@ -421,6 +425,8 @@ def test_index_jobs_leave_the_old_version_until_they_end(spark, sf, tmp_path):
     assert state() == before and store.manifest()["version"] == 1
     s_files = {b: f for b, f in store.manifest()["tables"]["files"].items()}
     maintain.run_jobs(store, new, step, changed, removed, cut, edges, vectors)
+    told = tables.index_counters(tables.update_index(old_files, old_chunks, new.where("repo_id = 'r'"), cut)).drop("repo_id").first().asDict()
+    assert counters() == {**told, "edges_written": 1, **facts("repo_id = 'r'")} and told == {"files_indexed": 1, "files_removed": 1, "chunks_written": 1, "chunks_removed": 1}
     after = state()
     assert {p for p, _ in after["files"]} == {"f0.txt", "f1.txt", "f3.txt", "f4.txt", "f5.txt", "a.txt"} and all(len(after[n]) == 6 for n in ("chunks", "edges", "vectors"))
     assert len({c for c, _ in before["chunks"]} & {c for c, _ in after["chunks"]}) == 6 and len(set(before["chunks"]) & set(after["chunks"])) == 5
@@ -429,6 +435,7 @@ def test_index_jobs_leave_the_old_version_until_they_end(spark, sf, tmp_path):
     assert {b: f for b, f in store.manifest()["tables"]["files"].items() if b not in own} == {b: f for b, f in s_files.items() if b not in own}
     maintain.run_jobs(store, new, step, changed, removed, cut, edges, vectors)
     assert state() == after and store.manifest()["version"] == 3
+    assert counters() == {"files_indexed": 0, "files_removed": 0, "chunks_written": 0, "chunks_removed": 0, "edges_written": 0, **facts("repo_id = 'r'")}
 
 
 def test_vector_search_keeps_k_rows_a_task(spark):
