@@ -306,6 +306,23 @@ def test_url_verdicts(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_url_filters_query_by_its_contract(spark, tmp_path):
+    from sparquarry.llm.queries import op2_url_filters
+
+    link = "<link rel=canonical href='{}'>"
+    cases = [
+        ("http://a.example.com/en/6", None, "com/en/", "block"), ("http://other.com/en/7", None, "com/en/", "block"), ("http://example.com/en/70?q", None, "example.com/en/7", "allow"),
+        ("http://A.Net/de/1#x", None, "net/de/", "allow"), ("http://example.net/de/7", None, "net/de/", "allow"), ("http://m.example.net/de/81", None, "example.net/de/8", "block"),
+        ("http://b.org/es/", None, "org/es/", "block"), ("http://b.org/es", None, None, "allow"), ("http://anet/de/1", None, None, "allow"), (None, None, None, "allow"), ("//a.net/de/1", None, None, "allow"),
+        # What no rule names goes by what it is tied to: an allow by net/de/ never blocks it, and lifts the block of another alias.
+        ("http://c.info/1", link.format("http://a.net/de/2"), None, "allow"), ("http://c.info/2", link.format("http://example.net/de/8"), None, "block"),
+        ("http://c.info/3", link.format("http://a.net/de/3") + link.format("http://b.org/es/3"), None, "allow"),
+    ]
+    spark.createDataFrame([(i, u, h) for i, (u, h, _, _) in enumerate(cases)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in op2_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, verdict) for i, (_, _, rule, verdict) in enumerate(cases)}
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     words = [f"t{i}" for i in range(5000)]
