@@ -696,3 +696,35 @@ def test_reports_by_pointer(spark, tmp_path):
     assert store.versions.manifest() == base and store.history().count() == 6
     with pytest.raises(ValueError, match="without a run"):
         store.add(df([case(None, 4, "x", 1.0)]))
+
+
+def plan_rows(df, node, metric="numOutputRows"):
+    """What df has, and the most rows that a node of its plan, as it ran, made."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif name.startswith("ReusedExchange"):
+            todo.append(p.child())
+        else:
+            if node in name and p.metrics().contains(metric):
+                most = max(most, p.metrics().apply(metric).value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows, most
+
+
+def test_scopes_are_not_shuffled(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    q = df([(i, i % 3 if i % 4 else None) for i in range(400)] + [(1, 2), (1, 1), (2, None)], "query_id long, tenant_id long")
+    tenants = df([(0, True), (1, True), (1, True), (2, False)], "tenant_id long, active boolean")
+    chosen = df([(t, r, r % 5 > 0) for t in (0, 1, 2) for r in range(t * 50, t * 50 + 100)] * 2, "tenant_id long, repo_id long, enabled boolean")
+    legacy = df([(r, r % 2 == 0) for r in range(80)] * 2, "repo_id long, enabled boolean")
+    got, most = plan_rows(scope.tenant_scope(q, tenants, chosen, legacy), "ShuffleExchange", "shuffleRecordsWritten")
+    of = lambda t: {r for r in range(80) if r % 2 == 0} if t is None else {r for r in range(t * 50, t * 50 + 100) if r % 5} if t < 2 else set()
+    want = {(i, r) for i, t in [tuple(x) for x in q.collect()] for r in of(t)}
+    assert sorted((r["query_id"], r["repo_id"]) for r in got) == sorted(want)
+    assert len(want) > 15_000 and most < 6000
