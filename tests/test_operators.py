@@ -728,3 +728,22 @@ def test_scopes_are_not_shuffled(spark):
     want = {(i, r) for i, t in [tuple(x) for x in q.collect()] for r in of(t)}
     assert sorted((r["query_id"], r["repo_id"]) for r in got) == sorted(want)
     assert len(want) > 15_000 and most < 6000
+
+
+def test_callers_are_cut_before_queries_meet_them(spark):
+    chunks = spark.createDataFrame([(f"c{i:03}", f"r{i % 3}") for i in range(300)], "chunk_id string, repo_id string")
+    calls = [(f"c{i:03}", "CALLS", s) for i in range(300) for s in ("a", "b", "z") if s == "a" or i % 7 == 0] + [("gone", "CALLS", "a"), ("c001", "IMPORTS", "b"), ("c000", "CALLS", "a")]
+    edges = spark.createDataFrame(calls, "from_node string, edge_type string, to_symbol string")
+    asked = spark.createDataFrame([(q, "a") for q in range(60)] + [(60, "b"), (61, "b"), (61, "a"), (62, "no")], "query_id long, symbol string")
+    scopes = spark.createDataFrame([(q, f"r{q % 3}") for q in range(60)] + [(61, "r1"), (61, "r2")], "query_id long, repo_id string")
+    where_ = dict(tuple(r) for r in chunks.collect())
+
+    def want(sees):
+        held = {q: {c for c, kind, s in calls if kind == "CALLS" and c in where_ and (q, s) in pairs and sees(q, where_[c])} for q in range(63)}
+        return {(q, n + 1, c) for q, cs in held.items() for n, c in enumerate(sorted(cs)[:8])}
+
+    pairs = {tuple(r) for r in asked.collect()}
+    got, most = plan_rows(search.callers(asked, edges, chunks), "Join")
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want(lambda q, r: True) and most < 1500
+    seen = {tuple(r) for r in scopes.collect()}
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.callers(asked, edges, chunks, scopes).collect()} == want(lambda q, r: (q, r) in seen)
