@@ -747,3 +747,26 @@ def test_callers_are_cut_before_queries_meet_them(spark):
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want(lambda q, r: True) and most < 1500
     seen = {tuple(r) for r in scopes.collect()}
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.callers(asked, edges, chunks, scopes).collect()} == want(lambda q, r: (q, r) in seen)
+
+
+def test_expansion_meets_first_definitions_and_skips_seeds(spark):
+    defs = [(f"d{i:04}", f"r{i % 2}", f"n{i % 3}", "function") for i in range(900)] + [(f"s{q}", "r0", f"m{q}", "function") for q in range(40)] + [("d0000", "r0", "n1", "function")]
+    chunks = spark.createDataFrame(defs, "chunk_id string, repo_id string, symbol string, chunk_type string")
+    calls = [(f"s{q}", "CALLS", n) for q in range(40) for n in ("n0", "n1", "n2")] + [("s1", "IMPORTS", "m3")]
+    edges = spark.createDataFrame(calls, "from_node string, edge_type string, to_symbol string")
+    seeds = [(q, f"s{q}", f"m{q}" if q % 2 else None) for q in range(40)] + [(1, f"d{i:04}", None) for i in range(25)] + [(2, "d0004", "n1"), (2, "d0004", "n1")]
+    s = spark.createDataFrame(seeds, "query_id long, chunk_id string, symbol string")
+    scopes = spark.createDataFrame([(q, f"r{q % 2}") for q in range(40)], "query_id long, repo_id string")
+
+    def want(sees):
+        out = set()
+        for q in range(40):
+            own = {c for i, c, _ in seeds if i == q}
+            names = sorted({(0, t) for f, kind, t in calls if kind == "CALLS" and f in own} | {(1, n) for i, _, n in seeds if i == q and n})[:20]
+            hit = {c for c, r, n, _ in defs if n in {x for _, x in names} and sees(q, r)} - own
+            out |= {(q, n + 1, c) for n, c in enumerate(sorted(hit)[:10])}
+        return out
+
+    got, most = plan_rows(search.graph_expand(s, edges, chunks), "Join")
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want(lambda q, r: True) and most < 4000
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.graph_expand(s, edges, chunks, scopes).collect()} == want(lambda q, r: r == f"r{q % 2}")
