@@ -783,3 +783,29 @@ def test_equal_questions_are_looked_through_once(spark):
     # A question on the shop that can't see it names the rest by a part only.
     want += sorted((i, "own/web-api") for i in range(5, 500, 10))
     assert sorted((r["query_id"], r["repo_id"]) for r in got) == sorted(want) and most < 2500
+
+
+def test_references_are_cut_before_queries_meet_them(spark):
+    names = spark.createDataFrame([("all", "r", f"f{i}", f"f{i}") for i in range(40)] + [("one", "r", "g", "g"), ("one", "q", "g", "g")], "symbol_id string, repo_id string, symbol string, display_name string")
+    at = [("all", "r", f"p{i}", "reference", 3 + i % 5, 15, "x" if i % 2 else None) for i in range(200)] + [("one", r, "p7", "reference", 1, 30, None) for r in "qr"] + [("one", "r", "p8", "call", 1, 30, None)]
+    refs = spark.createDataFrame(at, "symbol_id string, repo_id string, path string, role string, start_line int, end_line int, enclosing_symbol string")
+    pieces = [(f"{r}{i:03}-{a:02}", r, f"p{i}", a, a + 9 + i % 3) for r in "qr" for i in range(200) for a in (1, 9, 17)]
+    chunks = spark.createDataFrame(pieces, "chunk_id string, repo_id string, path string, start_line int, end_line int")
+    q = spark.createDataFrame([(i, [f"f{i}"]) for i in range(40)] + [(40, ["g", "f1"])], "query_id long, needles array<string>")
+    scopes = spark.createDataFrame([(3, "r"), (40, "q")], "query_id long, repo_id string")
+
+    def want(asked):
+        out = set()
+        for i, wanted in asked.items():
+            hit = {}
+            for s, r, p, role, a, b, inner in at:
+                for c, cr, cp, ca, cb in pieces:
+                    if (s, r) in wanted and role == "reference" and (cr, cp) == (r, p) and a <= cb and b >= ca:
+                        hit[c] = min(hit.get(c, (2, 0)), (inner is None, cb - ca))
+            out |= {(i, n + 1, c) for n, c in enumerate(sorted(hit, key=lambda c: (hit[c], c))[:12])}
+        return out
+
+    got, most = plan_rows(search.reference_search(q, names, refs, chunks), "Join")
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want({**{i: {("all", "r")} for i in range(40)}, 40: {("all", "r"), ("one", "r"), ("one", "q")}}) and most < 2000
+    got = {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.reference_search(q, names, refs, chunks, scopes).collect()}
+    assert got == want({3: {("all", "r")}, 40: {("one", "q")}})
