@@ -809,3 +809,25 @@ def test_references_are_cut_before_queries_meet_them(spark):
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want({**{i: {("all", "r")} for i in range(40)}, 40: {("all", "r"), ("one", "r"), ("one", "q")}}) and most < 2000
     got = {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.reference_search(q, names, refs, chunks, scopes).collect()}
     assert got == want({3: {("all", "r")}, 40: {("one", "q")}})
+
+
+def test_callees_are_found_once_a_symbol(spark):
+    defs = [(f"a{i:03}", f"r{i % 2}", "a", "function") for i in range(100)] + [("b0", "r0", "b", "function")] + [(f"n{n:02}-{i:02}", f"r{i % 2}", f"n{n:02}", "function") for n in range(14) for i in range(30)]
+    chunks = spark.createDataFrame(defs, "chunk_id string, repo_id string, symbol string, chunk_type string")
+    calls = [(f"a{i:03}", "CALLS", f"n{(i + n) % 12 + 1:02}") for i in range(100) for n in range(12)] + [("b0", "CALLS", "n00"), ("b0", "IMPORTS", "n13")]
+    edges = spark.createDataFrame(calls, "from_node string, edge_type string, to_symbol string")
+    asked = [(q, "a") for q in range(60)] + [(60, "a"), (60, "b"), (61, "b")]
+    a = spark.createDataFrame(asked, "query_id long, symbol string")
+    scopes = spark.createDataFrame([(q, f"r{q % 2}") for q in range(62)], "query_id long, repo_id string")
+
+    def want(sees):
+        out = set()
+        for q in range(62):
+            own = {c for c, _, s, _ in defs if (q, s) in asked}
+            names = set(sorted({t for f, kind, t in calls if kind == "CALLS" and f in own})[:10])
+            out |= {(q, n + 1, c) for n, c in enumerate(sorted(c for c, r, s, _ in defs if s in names and sees(q, r))[:8])}
+        return out
+
+    got, most = plan_rows(search.callees(a, edges, chunks), "Join")
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want(lambda q, r: True) and most < 6000
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.callees(a, edges, chunks, scopes).collect()} == want(lambda q, r: r == f"r{q % 2}")
