@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import random
 import tarfile
 import time
@@ -831,3 +832,24 @@ def test_callees_are_found_once_a_symbol(spark):
     got, most = plan_rows(search.callees(a, edges, chunks), "Join")
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want(lambda q, r: True) and most < 6000
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in search.callees(a, edges, chunks, scopes).collect()} == want(lambda q, r: r == f"r{q % 2}")
+
+
+def test_vector_scores_are_those_of_double_precision(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(800, 48)).astype(np.float32)
+    rows[400:] = rows[:400] * np.float32(1.7)  # equal but for the last digits
+    v = spark.createDataFrame([(i, "r", x.tolist()) for i, x in enumerate(rows)], "chunk_id long, repo_id string, embedding array<float>")
+    q = spark.createDataFrame([(i, rows[i].tolist()) for i in range(0, 800, 40)], "query_id long, embedding array<float>")
+
+    def dot(a, b):
+        out = 0.0
+        for x, y in zip(a.astype(float), b.astype(float), strict=True):
+            out += float(x) * float(y)
+        return out
+
+    squares = [dot(x, x) for x in rows]
+    got = {(r["query_id"], r["ord"]): (r["chunk_id"], r["score"]) for r in search.vector_search(q, v, k=25, block=64).collect()}
+    for i in range(0, 800, 40):
+        scores = [dot(rows[i], x) / math.sqrt(squares[i] * s) * 1e6 for x, s in zip(rows, squares, strict=True)]
+        want = sorted((-math.copysign(math.floor(abs(s) + 0.5), s) / 1e6, c) for c, s in enumerate(scores))[:25]
+        assert [got[i, n + 1] for n in range(25)] == [(c, -s) for s, c in want]
