@@ -853,3 +853,32 @@ def test_vector_scores_are_those_of_double_precision(spark):
         scores = [dot(rows[i], x) / math.sqrt(squares[i] * s) * 1e6 for x, s in zip(rows, squares, strict=True)]
         want = sorted((-math.copysign(math.floor(abs(s) + 0.5), s) / 1e6, c) for c, s in enumerate(scores))[:25]
         assert [got[i, n + 1] for n in range(25)] == [(c, -s) for s, c in want]
+
+
+def kept_bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_full_text_search_keeps_less_than_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sparquarry.sources.stored.new_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    rng = random.Random(7)
+    words = [f"{rng.choice('abc')}{rng.choice('abc')}{i}x" for i in range(400)]
+    rows = [(f"{rng.getrandbits(256):064x}", f"r{i % 3}", None, f"p{i}.txt", " ".join(rng.choices(words, k=120))) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, repo_id string, symbol string, path string, content string")
+    asked = {q: [rng.choice(["aa", "ab", "c", "ba1", "no"]), rng.choice(words), f"p{q}", " ".join(rows[q][4].split()[:2])] for q in range(30)}
+    q = spark.createDataFrame([(i, n, []) for i, n in asked.items()], "query_id long, needles array<string>, symbols array<string>")
+    got = search.bm25_search(q, fulltext.stored_text_index(chunks)).collect()
+    fields = [[([w for w in t.replace(".", " ").split()], x) for t, x in ((path, 4), (content, 1))] for _, _, _, path, content in rows]
+    lengths = [sum(len(t) for t, _ in f) for f in fields]
+    mean, score = sum(lengths) / len(rows), {}
+    for i, needles in asked.items():
+        for n in needles:
+            w = n.split()
+            tf = [sum(x * sum(t[j : j + len(w) - 1] == w[:-1] and t[j + len(w) - 1].startswith(w[-1]) for j in range(len(t) - len(w) + 1)) for t, x in f) for f in fields]
+            df = sum(x > 0 for x in tf)
+            for c, x in enumerate(tf):
+                if x:
+                    score[i, rows[c][0]] = score.get((i, rows[c][0]), 0) + max(1e-6, math.log((600 - df + 0.5) / (df + 0.5))) * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * lengths[c] / mean))
+    want = {(i, n + 1, c) for i in asked for n, (_, c) in enumerate(sorted((-round(v, 9), c) for (j, c), v in score.items() if j == i)[:25])}
+    assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want
+    assert kept_bytes(tmp_path) < sum(len(r[4]) for r in rows) / 2
