@@ -882,3 +882,21 @@ def test_full_text_search_keeps_less_than_the_texts(spark, tmp_path, monkeypatch
     want = {(i, n + 1, c) for i in asked for n, (_, c) in enumerate(sorted((-round(v, 9), c) for (j, c), v in score.items() if j == i)[:25])}
     assert {(r["query_id"], r["ord"], r["chunk_id"]) for r in got} == want
     assert kept_bytes(tmp_path) < sum(len(r[4]) for r in rows) / 2
+
+
+def test_texts_are_searched_without_an_index(spark):
+    rng = random.Random(3)
+    words = ["ab", "abc", "Xabcd", "ñu", "e", "l'été", "foo.bar", "ÉTÉ", "x_y", "zz9", "..", "—"]
+    body = lambda n: "".join(rng.choice(words) + rng.choice([" ", "\n", "; ", "-"]) for _ in range(n))
+    rows = [(f"c{i:02}", f"r{i % 2}", "Sym" if i % 9 == 0 else None, f"p{i}.txt", body(rng.randint(1, 12))) for i in range(80)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, repo_id string, symbol string, path string, content string")
+    literals = ["abc", "bcd", "bc", "ñ", "É", "été", "foo.", ".bar", "o.b", "ab abc", "; e", "c; ", "---", "...", ". .", "nowhere", "abc nowhere zz", "x_y-", "XABCD\n", "p1", "sym\np", "—"]
+    asked = {i: rng.sample(literals, 4) for i in range(60)} | {100 + i: [x] for i, x in enumerate(literals)}
+    q = spark.createDataFrame([(i, n, ["Sym"] if i % 2 else []) for i, n in asked.items()], "query_id long, needles array<string>, symbols array<string>")
+    hits = {i: {r[0]: n for r in rows if (n := sum(x.lower() in r[4].lower() for x in {x for x in needles if len(x) > 2}))} for i, needles in asked.items()}
+    want = {(i, n + 1, c) for i, h in hits.items() for n, c in enumerate(sorted(h, key=lambda c: (-h[c], c))[:20])}
+    some = {(i, n + 1, c) for i, h in hits.items() for n, c in enumerate([c for c in sorted(h, key=lambda c: (-h[c], c)) if int(c[1:]) % 2 == i % 2][:20])}
+    scopes = spark.createDataFrame([(i, f"r{i % 2}") for i in asked], "query_id long, repo_id string")
+    of = lambda df: {(r["query_id"], r["ord"], r["chunk_id"]) for r in df.collect()}
+    assert of(search.exact_search(q, chunks)) == want == of(search.exact_search(q, chunks, search.build_trigrams(chunks)))
+    assert of(search.exact_search(q, chunks, scopes=scopes)) == some
