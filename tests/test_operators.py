@@ -900,3 +900,17 @@ def test_texts_are_searched_without_an_index(spark):
     of = lambda df: {(r["query_id"], r["ord"], r["chunk_id"]) for r in df.collect()}
     assert of(search.exact_search(q, chunks)) == want == of(search.exact_search(q, chunks, search.build_trigrams(chunks)))
     assert of(search.exact_search(q, chunks, scopes=scopes)) == some
+    every = {r[0]: "\n".join([r[2] or "", r[3], r[4]]).lower() for r in rows}
+    named = {r[0] for r in rows if r[2]}
+    held = {i: [c for c, x in every.items() if any(n.lower() in x for n in needles)] for i, needles in asked.items()}
+    want = {(i, n + 1, c) for i, h in held.items() for n, c in enumerate(sorted(h, key=lambda c: (not (i % 2 and c in named), c))[:25])}
+    assert of(search.substring_search(q, chunks)) == want == of(search.substring_search(q, chunks, search.build_grams(chunks)))
+
+
+def test_searches_keep_neither_grams_nor_postings(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr("sparquarry.sources.stored.new_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    queries = __spark_entry__.queries()
+    for name in ("x6_exact_search", "p11_substring_scan"):
+        queries[name](spark, sf).collect()
+    asked = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert not asked & {"chunks", "postings"} and kept_bytes(tmp_path) < 200_000
