@@ -914,3 +914,15 @@ def test_searches_keep_neither_grams_nor_postings(spark, sf, tmp_path, monkeypat
         queries[name](spark, sf).collect()
     asked = {p.name.split("-")[0] for p in tmp_path.iterdir()}
     assert not asked & {"chunks", "postings"} and kept_bytes(tmp_path) < 200_000
+
+
+def kept_names(tmp_path, monkeypatch):
+    """What is written from now on, by name."""
+    monkeypatch.setattr("sparquarry.sources.stored.new_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    return lambda: [p.name.split("-")[0] for p in tmp_path.iterdir()]
+
+
+def test_a_stored_index_has_neither_grams_nor_postings(spark, chunks, tmp_path, monkeypatch):
+    names = kept_names(tmp_path, monkeypatch)
+    made = retrieve.stored_index(chunks)
+    assert sorted(names()) == ["chunks", "lengths", "terms"] and made.grams is None
