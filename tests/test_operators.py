@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from sparquarry.functions import text
 from sparquarry.operators import cells, chunking, evaluate, fulltext, maintain, rank, retrieve, scope, search, tables
-from sparquarry.plans import fixtures, registry
+from sparquarry.plans import fixtures, registry, retrieval
 from sparquarry.sources import readers, reports, versions
 from sparquarry.sources.stored import stored
 from sparquarry.streaming import jobs
@@ -926,3 +926,9 @@ def test_a_stored_index_has_neither_grams_nor_postings(spark, chunks, tmp_path,
     names = kept_names(tmp_path, monkeypatch)
     made = retrieve.stored_index(chunks)
     assert sorted(names()) == ["chunks", "lengths", "terms"] and made.grams is None
+
+
+def test_the_index_of_retrieval_has_its_chunks_once(spark, sf, tmp_path, monkeypatch):
+    names = kept_names(tmp_path, monkeypatch)
+    retrieval.index(spark, sf)
+    assert names().count("chunks") == 1
