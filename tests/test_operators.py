@@ -932,3 +932,9 @@ def test_the_index_of_retrieval_has_its_chunks_once(spark, sf, tmp_path, monkeyp
     names = kept_names(tmp_path, monkeypatch)
     retrieval.index(spark, sf)
     assert names().count("chunks") == 1
+
+
+def test_retrieval_writes_no_grams_or_postings(spark, sf, tmp_path, monkeypatch):
+    names = kept_names(tmp_path, monkeypatch)
+    assert __spark_entry__.queries()["x10_retrieve"](spark, sf).count() == 40
+    assert not {"postings"} & set(names()) and names().count("chunks") == 1
