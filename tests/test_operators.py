@@ -938,3 +938,11 @@ def test_retrieval_writes_no_grams_or_postings(spark, sf, tmp_path, monkeypatch)
     names = kept_names(tmp_path, monkeypatch)
     assert __spark_entry__.queries()["x10_retrieve"](spark, sf).count() == 40
     assert not {"postings"} & set(names()) and names().count("chunks") == 1
+
+
+def test_evaluation_makes_no_grams_of_documents(spark, sf, monkeypatch):
+    def no(chunks):
+        raise AssertionError("grams of all texts")
+
+    monkeypatch.setattr(search, "build_trigrams", no)
+    assert __spark_entry__.queries()["x15_evaluate"](spark, sf).first()["cases"] > 0
